@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, substring_dedup, suffix_dedup
+from . import packing, simhash_dedup, substring_dedup, suffix_dedup, token_store
 
-MODULES = (suffix_dedup, simhash_dedup, substring_dedup)
+MODULES = (suffix_dedup, token_store, simhash_dedup, packing, substring_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in getattr(m, "ORACLES", {}).items()}
