@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash, table
+from .shared import stash, table, without
 
 WHITE = r" \t\n\x0B\f\r"
 WINDOW = 5
@@ -62,9 +62,10 @@ CONSISTENT = SHARE / chi_square(chi_quantile(SHARE, D), D + 2)
 
 
 def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text."""
+    """doc_id, lang, source, mark (a hash of what the verdict depends on) and the counts of every whole text."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keys = ("doc_id", "lang", "source")
+    rows = rows.withColumn("mark", _mark("lang", "source", "text"))
+    keys = ("doc_id", "lang", "source", "mark")
     cut = rows.select(
         *keys,
         F.array_remove(F.split("text", f"[{WHITE}]+"), "").alias("words"),
@@ -85,6 +86,10 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang
     return told.select(*keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.cast("long").alias("n_repeat_words"))
 
 
+def _mark(lang: Column | str, source: Column | str, text: Column | str) -> Column:
+    return F.xxhash64(lang, source, text)
+
+
 def _covered(windows: Column) -> Column:
     """Words in windows whose hash occurs twice or more."""
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -185,14 +190,21 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     size = passed.groupBy("pool").count().where(F.col("count") >= LEAST).select("pool", F.lit(True).alias("large"))
     judged = passed.join(now, "pool").withColumn("distance", distance(passed)).join(stash(size, "pool-sizes"), "pool", "left")
     out = judged.withColumn("kept", ~(F.coalesce("large", F.lit(False)) & (F.col("distance") > LIMIT)))
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    columns = ["doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = stats.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return out.select(*columns, "distance", "kept").unionByName(failed)
 
 
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Rows go by doc_id, language, source and text."""
+    gone = judge(docs, doc_id, text, lang, source).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    own = lambda d: _mark(d[lang], d[source], F.coalesce(d[text], F.lit("")))
+    return without(docs, gone, lambda d, g: d[doc_id].eqNullSafe(g["_gone"]) & (own(d) == g["_mark"]))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document, whether it fails the base, and whether it is kept."""
-    return judge(table(spark, sf_dir, "documents")).drop("distance")
+    return judge(table(spark, sf_dir, "documents")).drop("distance", "mark")
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}

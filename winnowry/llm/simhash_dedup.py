@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import chunks as C
 from .components import components
 from .golay import keys
-from .shared import stash, table, width
+from .shared import stash, table, width, without
 from .words import U64, flat, segment
 from .xxh64 import xxh64
 
@@ -170,8 +170,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
 
     A row without doc_id has no group and stays. Of repeated rows with the same doc_id all stay.
     """
-    group = near_duplicates(docs, shingle, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(group, docs[doc_id].cast("long") == group["_gone"], "left_anti")
+    gone = near_duplicates(docs, shingle, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return without(docs, gone, lambda d, g: d[doc_id].cast("long") == g["_gone"])
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
