@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import screening
+from . import scores, screening, texts
 
-MODULES = (screening,)
+MODULES = (screening, texts, scores)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
