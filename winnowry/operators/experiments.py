@@ -21,7 +21,7 @@ def with_swaps(pool: DataFrame, pairs: DataFrame, text: str = "text") -> DataFra
 
     Patterns come from rows, so one scan serves all pairs.
     """
-    return pool.crossJoin(F.broadcast(pairs)).withColumn("pattern", swap_pattern("term")).where(F.col(text).rlike(F.col("pattern"))).withColumn("swapped", F.regexp_replace(F.col(text), F.col("pattern"), F.regexp_replace("other", r"([\\$])", r"\\\\$1"))).drop("pattern")
+    return pool.crossJoin(F.broadcast(pairs)).withColumn("pattern", swap_pattern("term")).where(F.rlike(F.col(text), F.col("pattern"))).withColumn("swapped", F.regexp_replace(F.col(text), F.col("pattern"), F.regexp_replace("other", r"([\\$])", r"\\\\$1"))).drop("pattern")
 
 
 def swap_pattern(term: str) -> Column:

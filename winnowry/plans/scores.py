@@ -126,7 +126,7 @@ _TOTAL = "(SELECT doc_id, text, {} AS before FROM documents)".format(_sql_score(
 
 
 def _swap_sql() -> str:
-    """One SELECT a pair: the swap drops exactly the term's own hits, so the score after it is that without the term."""
+    """One SELECT a pair: the swap takes the term's hits in its own case, so those in another case are what it has left."""
     from ..operators.scoring import units
 
     parts = []
@@ -135,8 +135,7 @@ def _swap_sql() -> str:
         for u in units(POSTING):
             w = max(r.weight for r in u)
             total += w
-            left = [r.surface for r in u if r.surface != term]
-            hit = " OR ".join(f"{sql_count('text', s)} > 0" for s in left) or "false"
+            hit = " OR ".join(f"{sql_count('text', r.surface)} > {sql_count('text', term, 3) if r.surface == term else 0}" for r in u)
             without.append(f"CASE WHEN {hit} THEN {w} ELSE 0.0 END")
         parts.append(f"SELECT doc_id, '{term}' AS term, before, round(cast(({' + '.join(without)}) AS DOUBLE) / {total}, 4) AS after FROM p WHERE {sql_count('text', term, 3)} > 0")
     return f"""p AS (SELECT * FROM {_TOTAL}), v AS ({" UNION ALL ".join(parts)}),

@@ -1 +1 @@
-"""Sources of the screening engine."""
+"""Readers of documents and of the engine's own inputs."""
