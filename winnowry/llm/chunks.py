@@ -41,9 +41,10 @@ def from_ipc(data: pa.Buffer | bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-def pack(df: DataFrame, text: str = "text") -> DataFrame:
-    """chunk, payload (an Arrow batch of all columns): a table in the shared folder, bucketed by chunk."""
+def pack(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFrame:
+    """chunk, payload (an Arrow batch of all columns): a table in the shared folder, bucketed by chunk. limit: bytes of text of a chunk."""
     spark = df.sparkSession
+    limit = limit or CHUNK_BYTES
     at, n = df.columns.index(text), width(spark)
 
     def chunked(batches):
@@ -63,11 +64,11 @@ def pack(df: DataFrame, text: str = "text") -> DataFrame:
             first = 0
             while first < b.num_rows:
                 before = bytes_[first - 1] if first else 0
-                last = max(first + 1, int(np.searchsorted(bytes_, before + CHUNK_BYTES - size, side="right")))
+                last = max(first + 1, int(np.searchsorted(bytes_, before + limit - size, side="right")))
                 held.append(b.slice(first, last - first))
                 size += int(bytes_[last - 1] - before)
                 first = last
-                if size >= CHUNK_BYTES or first < b.num_rows:
+                if size >= limit or first < b.num_rows:
                     yield done()
         if held:
             yield done()

@@ -34,6 +34,8 @@ from .shared import table
 from .words import _BASE, U64, flat, mix, powers, segment
 
 MIN_EDIT, PARTS = 16, 4
+#: Bytes of text of a chunk: its characters, powers and deletions take some hundred bytes each.
+CHUNK_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 FULL = np.uint32(0xFFFFFFFF)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
@@ -274,7 +276,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", t
     """docs with the lines that occur earlier taken out of text; counts: and columns n_lines and n_removed."""
     names, ids, at = docs.columns, docs.columns.index(doc_id), docs.columns.index(text)
     rows = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)))
-    packed = C.pack(rows, f"c{at}")
+    packed = C.pack(rows, f"c{at}", CHUNK_BYTES)
 
     def read(batch):
         return Lines(batch.column(ids).cast(pa.int64()), batch.column(at))
