@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import metrics, scores, screening, texts
+from . import metrics, postings, scores, screening, texts
 
-MODULES = (screening, texts, scores, metrics)
+MODULES = (screening, texts, scores, metrics, postings)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
