@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from winnowry.llm import bwt, chunks, golay, line_dedup, simhash_dedup, substring_dedup, suffix_dedup
 from winnowry.llm.components import components
@@ -182,4 +181,3 @@ def test_query_digests(spark):
     assert got == {i: (n, m, brute.sha(k)) for i, n, m, k in brute.substring(docs)}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op2_suffix_array_dedup(spark, d).collect()}
     assert got == {i: (n, m, s, brute.sha(k)) for i, n, m, s, k in brute.suffix(docs, 200)}
-    assert F is not None
