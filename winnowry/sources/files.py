@@ -100,7 +100,7 @@ def read_documents(spark: SparkSession, path: str, layout_aware: bool = False) -
     odd = [r["suffix"] for r in files.select("suffix").distinct().collect() if r["suffix"] not in SUPPORTED]
     if odd:
         raise UnsupportedFormat(f"no reader for: {', '.join(sorted(odd))}")
-    plain = F.decode("content", "UTF-8")
+    plain = F.col("content").cast("string")
     text = F.when(F.col("suffix") == "docx", docx_column("content", layout_aware)).when(F.col("suffix").isin("html", "htm"), plain_text(plain)).otherwise(plain)
     return files.select("path", "suffix", text.alias("text"))
 
