@@ -208,3 +208,45 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
+
+
+def _sql() -> str:
+    """The same rows from an engine without arrays of hashes: windows are rows, each step a query on the one before."""
+    space = r"[^\x20\x09-\x0D]+"
+    stats = f"""docs AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT *, regexp_extract_all(t, '{space}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS l FROM docs),
+win AS (SELECT r, k, array_to_string(w[k:k + {WINDOW - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS k FROM cut)),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT k + j) AS n FROM twice, range(0, {WINDOW}) t(j) GROUP BY r),
+stat AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+ (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM cut LEFT JOIN rep USING (r)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stat),"""
+    named = f"""vec AS (SELECT *, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS g, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS h,
+ round(ln((word_chars + {PRIOR_CHARS}) / (n_words + {PRIOR_WORDS})::DOUBLE) * {UNIT})::BIGINT AS x0, {", ".join(f"round(sqrt({c} / n_words::DOUBLE) * {UNIT})::BIGINT AS x{i + 1}" for i, c in enumerate(("n_symbols", "n_dup_lines", "n_repeat_words")))} FROM base WHERE NOT base_failed),
+fine AS (SELECT g, h, count(*) AS n FROM vec GROUP BY ALL), coarse AS (SELECT g, sum(n) AS m FROM fine WHERE n < {LEAST} GROUP BY g),
+own AS (SELECT g, h, CASE WHEN n >= {LEAST} THEN g || chr(10) || h WHEN m >= {LEAST} THEN g ELSE '' END AS pool FROM fine LEFT JOIN coarse USING (g)),
+v AS (SELECT vec.*, pool, count(*) OVER (PARTITION BY pool) AS size FROM vec JOIN own USING (g, h)),"""
+    at = lambda i, q: f"list_sort(list(x{i}))[ceil(count(*) * {q})::BIGINT]"
+    start = ", ".join([f"{at(i, 0.5)}::DOUBLE AS m{i}" for i in range(D)] + [(f"sqrt(pow(({at(i, 0.75)} - {at(i, 0.25)}) / 1.349, 2) + pow({FLOOR[i] * UNIT}, 2))" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i, j in PAIRS])
+    steps = [f"e0 AS MATERIALIZED (SELECT pool, {start} FROM v GROUP BY pool)"]
+    near = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{j} * y{j}" for j in range(i)) + f") / l{i}{i} AS y{i}" for i in range(D))
+    square = " + ".join(f"y{i} * y{i}" for i in range(D))
+    for k in range(STEPS):
+        roots = {}
+        for i, j in PAIRS:
+            c = f"((p{i}{j} - m{i} * m{j}) * {CONSISTENT}" + (f" + {(FLOOR[i] * UNIT) ** 2})" if i == j else ")")
+            rest = c + "".join(f" - l{i}{q} * l{j}{q}" for q in range(j))
+            roots[i, j] = (f"sqrt({rest})" if i == j else f"({rest}) / l{j}{j}") + f" AS l{i}{j}"
+        sums = ", ".join([f"sum(x{i}) / count(*)::DOUBLE AS m{i}" for i in range(D)] + [f"sum(x{i} * x{j}) / count(*)::DOUBLE AS p{i}{j}" for i, j in PAIRS])
+        steps.append(
+            f"""d{k} AS (SELECT v.pool, {", ".join(f"x{i}" for i in range(D))}, {near}, floor(log2({square} + 1e-6) * {EDGE}) AS bin FROM v JOIN e{k} USING (pool)),
+o{k} AS (SELECT *, count(*) OVER (PARTITION BY pool ORDER BY bin RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY pool, bin) AS before, count(*) OVER (PARTITION BY pool) AS n FROM d{k}),
+s{k} AS (SELECT pool, {sums} FROM o{k} WHERE before < n * {SHARE} GROUP BY pool),
+e{k + 1} AS MATERIALIZED (SELECT pool, {", ".join(f"m{i}" for i in range(D))}, {", ".join(roots[p] for p in PAIRS)} FROM s{k})"""
+        )
+    columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
+    last = f"far AS (SELECT v.*, {near}, {square} AS far FROM v JOIN e{STEPS} USING (pool))"
+    return f"WITH {stats}\n{named}\n" + ",\n".join(steps) + f",\n{last}\nSELECT {columns}, NOT (size >= {LEAST} AND far > {LIMIT}) AS kept FROM far UNION ALL SELECT {columns}, false FROM base WHERE base_failed"
+
+
+ORACLES = {"op1_quality_rules": _sql()}
