@@ -266,8 +266,8 @@ ORACLES = {
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, v, len(v) AS n, least({SHINGLE}, len(v)) AS k FROM (SELECT item_id, {_WORDS} AS v FROM benchmark) WHERE len(v) > 0),
 gi AS (SELECT item_id, n, k, s, count(*) AS c FROM (SELECT item_id, n, k, unnest(list_transform(range(1, n - k + 2), lambda p: array_to_string(v[p:p + k - 1], ' '))) AS s FROM i) GROUP BY ALL),
 gd AS (SELECT doc_id, m, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM (SELECT doc_id, w, len(w) AS m, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
-at AS (SELECT DISTINCT doc_id, m, item_id, n, k, p - j AS start FROM gd JOIN gi USING (k, s), LATERAL (SELECT unnest(range(0, n - k + 1)) AS j)),
-bag AS (SELECT at.doc_id, at.item_id, at.n, at.k, start, gd.s, count(*) AS c FROM at JOIN gd ON gd.doc_id = at.doc_id AND gd.k = at.k AND gd.p BETWEEN start AND start + at.n - at.k WHERE start >= 1 AND start + at.n - 1 <= at.m GROUP BY ALL),
+place AS (SELECT DISTINCT doc_id, m, item_id, n, k, p - j AS start FROM gd JOIN gi USING (k, s), LATERAL (SELECT unnest(range(0, n - k + 1)) AS j)),
+bag AS (SELECT a.doc_id, a.item_id, a.n, a.k, start, gd.s, count(*) AS c FROM place a JOIN gd ON gd.doc_id = a.doc_id AND gd.k = a.k AND gd.p BETWEEN start AND start + a.n - a.k WHERE start >= 1 AND start + a.n - 1 <= a.m GROUP BY ALL),
 sim AS (SELECT doc_id, item_id, n, start, sum(least(bag.c, gi.c)) / (2 * (n - k + 1) - sum(least(bag.c, gi.c)))::DOUBLE AS similarity FROM bag JOIN gi USING (item_id, n, k, s) GROUP BY doc_id, item_id, n, k, start)
 SELECT doc_id, item_id, similarity, start - 1 AS start, n AS n_words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS q FROM sim WHERE similarity >= {SIMILARITY}) WHERE q = 1"""
 }
