@@ -13,6 +13,7 @@ def value(v):
 
     import pandas as pd
 
+    v = v.item() if hasattr(v, "item") else v
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return None
     return float(f"{v:.9g}") if isinstance(v, (int, float)) and not isinstance(v, bool) else v
