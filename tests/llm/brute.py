@@ -44,17 +44,25 @@ def suffix(rows, size):
     return out
 
 
-def fingerprint(text, size):
+def mixed(h):
+    """The 64-bit finalizer of splitmix."""
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return h ^ h >> 31
+
+
+def fingerprint(text, size, number=0):
     import xxhash
 
     w = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")).split()
     s = [b" ".join(w[k : k + size]) for k in range(len(w) - size + 1)] or ([b" ".join(w)] if w else [])
     h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    h = [mixed(x ^ number) for x in h] if number else h
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(rows, size=3, radius=3):
-    prints = [fingerprint(t, size) for _, t in rows]
+def components(rows, size=3, radius=3, numbers=1):
+    prints = [[fingerprint(t, size, n) for n in range(numbers)] for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
@@ -64,13 +72,13 @@ def components(rows, size=3, radius=3):
 
     for a in range(len(rows)):
         for b in range(a):
-            if bin(prints[a] ^ prints[b]).count("1") <= radius:
+            if any(bin(p ^ q).count("1") <= radius for p, q in zip(prints[a], prints[b])):
                 root[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(least.get(find(k), LAST), i)
-    return [(i, f"{p:016x}", least.get(find(k))) for k, ((i, _), p) in enumerate(zip(rows, prints))]
+    return [(i, f"{p[0]:016x}", least.get(find(k))) for k, ((i, _), p) in enumerate(zip(rows, prints))]
 
 
 def statistics(text):

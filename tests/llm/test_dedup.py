@@ -88,10 +88,27 @@ def test_simhash_large_group_makes_few_edges(spark):
 def test_keep_one(docs, rows):
     kept = simhash_dedup.keep_one(docs, 3)
     assert kept.columns == docs.columns
-    plain = brute.components([r[:2] for r in rows])
+    plain = brute.components([r[:2] for r in rows], numbers=simhash_dedup.PRINTS)
     assert kept.count() == sum(i is None or i == c for i, _, c in plain)
 
 
+def test_several_prints_find_looser_copies(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for g in range(25):
+        base = [word() for _ in range(300)]
+        rows.append((2 * g, " ".join(base)))
+        for k in range(20, 300, 70):
+            base[k] = word()
+        rows.append((2 * g + 1, " ".join(base)))
+    got = {n: simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, prints=n).collect() for n in (1, simhash_dedup.PRINTS)}
+    linked = {n: sum(x.doc_id != x.component_id for x in v) for n, v in got.items()}
+    assert {n: Counter(tuple(x) for x in v) for n, v in got.items()} == {n: Counter(brute.components(rows, 5, numbers=n)) for n in got}
+    assert linked[1] < linked[simhash_dedup.PRINTS]
+    assert all(x.doc_id // 2 == x.component_id // 2 for x in got[simhash_dedup.PRINTS])
+
+
 def test_components(spark):
     r = random.Random(0)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 80)] + [(r.randrange(2000, 2200), r.randrange(2000, 2200)) for _ in range(150)]
