@@ -16,8 +16,7 @@ import numpy as np
 from .words import U64, span_hashes
 
 #: Pieces that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 1 << 21
-_SLOTS = 1 << 23
+REMEMBERED = 1 << 20
 
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -78,16 +77,22 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.key = np.zeros(_SLOTS, U64)
-        self.slot = np.full(_SLOTS, -1, np.int32)
+        self._room(1 << 16)
         self.used = 0
         self.at = np.zeros(1 << 16, np.int64)  # first id of each remembered piece
         self.ids = np.zeros(1 << 18, np.uint32)
 
+    def _room(self, slots: int) -> None:
+        self.key = np.zeros(slots, U64)
+        self.slot = np.full(slots, -1, np.int32)
+
+    def _start(self, h: np.ndarray) -> np.ndarray:
+        return (h & U64(len(self.key) - 1)).astype(np.int64)
+
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each remembered piece, -1 for others."""
         out = np.full(len(h), -1, np.int32)
-        place = (h & U64(_SLOTS - 1)).astype(np.int64)
+        place, last = self._start(h), len(self.key) - 1
         rest = np.arange(len(h))
         while len(rest):
             slot, key = self.slot[place], self.key[place]
@@ -95,7 +100,7 @@ class Encoder:
             hit &= slot >= 0
             out[rest[hit]] = slot[hit]
             go = ~hit & (slot >= 0)
-            rest, place = rest[go], (place[go] + 1) & (_SLOTS - 1)
+            rest, place = rest[go], (place[go] + 1) & last
         return out
 
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
@@ -109,17 +114,25 @@ class Encoder:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.at[self.used + 1 : end + 1] = first + np.cumsum(size)
         self.ids[first : first + len(flat)] = flat
-        place, rest = (h & U64(_SLOTS - 1)).astype(np.int64), np.arange(len(h))
+        if 2 * end > len(self.key):
+            held = self.slot >= 0
+            key, slot = self.key[held], self.slot[held]
+            self._room(1 << (4 * end - 1).bit_length())
+            self._insert(key, slot)
+        self._insert(h, np.arange(self.used, end, dtype=np.int32))
+        self.used = end
+
+    def _insert(self, h: np.ndarray, number: np.ndarray) -> None:
+        place, rest, last = self._start(h), np.arange(len(h)), len(self.key) - 1
         while len(rest):
             free = np.flatnonzero(self.slot[place] < 0)
             _, one = np.unique(place[free], return_index=True)
             take = free[one]
             self.key[place[take]] = h[rest[take]]
-            self.slot[place[take]] = self.used + rest[take]
+            self.slot[place[take]] = number[rest[take]]
             left = np.ones(len(rest), bool)
             left[take] = False
-            rest, place = rest[left], (place[left] + 1) & (_SLOTS - 1)
-        self.used = end
+            rest, place = rest[left], (place[left] + 1) & last
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole = []
