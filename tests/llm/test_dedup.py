@@ -198,3 +198,48 @@ def test_query_digests(spark):
     assert got == {i: (n, m, brute.sha(k)) for i, n, m, k in brute.substring(docs)}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op2_suffix_array_dedup(spark, d).collect()}
     assert got == {i: (n, m, s, brute.sha(k)) for i, n, m, s, k in brute.suffix(docs, 200)}
+
+
+def jaccard(a, b, size=5):
+    a, b = ({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_finds_isolated_pairs_at_the_threshold(spark):
+    """Pairs with no third copy, from just under 0.8 up: those at 0.8 or more lose one, the others stay whole."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, alike = [], set()
+    for g in range(200):
+        base = [word() for _ in range(r.choice([60, 304]))]
+        other = list(base)
+        step = max(1, round(len(base) / (r.uniform(0.02, 0.14) * len(base) / 5 + 1)))
+        for k in range(step // 2, len(base), step):
+            other[k] = word()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            alike.add(2 * g + 1)
+    assert 50 < len(alike) < 190
+    kept = {x.doc_id for x in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows} - kept == alike
+
+
+def test_keep_one_compares_all_of_a_key(spark):
+    """Families of one base whose members are joined by their exact similarities only, in whatever order they lie."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(6):
+        base = [word() for _ in range(80)]
+        for _ in range(25):
+            own = list(base)
+            for k in r.sample(range(80), r.randint(0, 3)):
+                own[k] = word()
+            rows.append((len(rows), " ".join(own)))
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and jaccard(rows[a][1], rows[b][1]) >= 0.8:
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    kept = {x.doc_id for x in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(root)

@@ -1,0 +1,179 @@
+"""Near-duplicate texts by exact similarity: MinHash keys propose pairs, the sets of word shingles decide.
+
+1. A text's set is the XXH64 hashes of its word shingles. Texts with equal sets are one node from here on.
+2. Each node gives BANDS keys of ROWS minimums. Two sets of similarity J share no key with a probability of
+   (1 - J ** ROWS) ** BANDS: 8 in 100,000 at 0.8, 2 in 10 million at 0.85, less above.
+3. The nodes of a key are ordered by size. Neighbours are compared first; then, in rounds, those farther apart that
+   are not in one group by then, until every pair of a key is joined or compared. Sets of which one is smaller than
+   SIMILARITY times the other cannot reach it and are not compared.
+4. Pairs of a Jaccard similarity of SIMILARITY or more are edges; their components are the groups.
+
+Groups of near copies join in the first rounds and make some pairs a member. Only nodes that share a key and are not
+alike are compared pair by pair, which ROWS keeps rare. Only the sets of nodes that share a key are moved.
+
+Nulls: a null text has no shingles, and texts without any are one node; a null doc_id names no group.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .components import components
+from .shared import BROADCAST_ROWS, stash
+from .words import U64, flat, mix, segment
+from .xxh64 import xxh64
+
+SIMILARITY = 0.8
+ROWS, BANDS = 7, 40
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+_BATCH = 1 << 20
+_RANDOM = np.random.default_rng(8).integers(0, 1 << 63, (ROWS * BANDS, 2)).astype(U64)
+
+
+def shingle_hashes(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hash of each shingle (of all words where they are fewer), the number of its text, and how many texts there are."""
+    words = segment(buf, offsets)
+    if not len(words.starts):
+        return np.zeros(0, U64), np.zeros(0, np.int64), len(offsets) - 1
+    # Words with one space after each, so that a shingle is a span.
+    size = words.ends - words.starts
+    at = np.concatenate(([0], np.cumsum(size + 1)))
+    joined = np.full(int(at[-1]), 32, np.uint8)
+    shift = np.repeat(words.starts - at[:-1], size)
+    place = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
+    joined[place] = LOWER[buf[place + shift]]
+    left = words.left()
+    count = words.counts
+    short = count < shingle
+    start = np.flatnonzero((left >= shingle) | (np.repeat(short, count) & (left == np.repeat(count, count))))
+    span = np.minimum(left[start], shingle)
+    h = xxh64(joined, at[start], at[start + span] - 1, 42)
+    return h, np.searchsorted(words.offsets, start, side="right") - 1, len(count)
+
+
+def sets(column: pa.Array, shingle: int):
+    """In parts of a column: number of the first text, hashes in order, and the bounds of each text's in them."""
+    buf, offsets = flat(column)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _BATCH, side="right")) - 1)
+        h, own, n = shingle_hashes(buf[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle)
+        order = np.lexsort((h, own))
+        h, own = h[order], own[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        h, own = h[new], own[new]
+        yield first, h, np.concatenate(([0], np.cumsum(np.bincount(own, minlength=n)))).astype(np.int64)
+        first = last
+
+
+def names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    out = np.zeros(len(at) - 1, U64)
+    has = np.flatnonzero(np.diff(at))
+    if len(has):
+        out[has] = xxh64(np.ascontiguousarray(h).view(np.uint8), 8 * at[has], 8 * at[has + 1], 42)
+    return out
+
+
+def band_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each set that is not empty."""
+    first = at[:-1][np.diff(at) > 0]
+    out = np.zeros((len(first), BANDS), U64)
+    if len(first):
+        for band in range(BANDS):
+            key = np.full(len(first), band, U64)
+            for a, b in _RANDOM[band * ROWS : (band + 1) * ROWS]:
+                key = mix(key ^ np.minimum.reduceat(h * (a | U64(1)) + b, first))
+            out[:, band] = key
+    return out
+
+
+def _keyed(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, node, size and keys of each row of (doc_id, text)."""
+
+    def keyed(batches):
+        for b in batches:
+            for first, h, at in sets(b.column(1), shingle):
+                size = np.diff(at)
+                has = np.concatenate(([0], np.cumsum(size > 0))).astype(np.int32) * BANDS
+                keys = pa.ListArray.from_arrays(has, pa.array(band_keys(h, at).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(size)), pa.array(names(h, at).view(np.int64)), pa.array(size), keys], names=["doc_id", "node", "size", "keys"])
+
+    return rows.mapInArrow(keyed, "doc_id long, node long, size long, keys array<long>")
+
+
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """node and hashes (8 bytes each, in order) of each row of (doc_id, text) that has any."""
+
+    def held(batches):
+        for b in batches:
+            for _, h, at in sets(b.column(1), shingle):
+                node = names(h, at).view(np.int64)
+                has = np.flatnonzero(np.diff(at))
+                for i in range(0, len(has), 1000):
+                    some = has[i : i + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())], names=["node", "hashes"])
+
+    return rows.mapInArrow(held, "node long, hashes binary")
+
+
+def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of SIMILARITY or more."""
+
+    def verified(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for k in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[k].as_buffer(), U64) for c in (2, 3))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep[k] = both / (len(x) + len(y) - both) >= SIMILARITY
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+
+
+def _label(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of groups whose key holds nodes of several components of the edges, with column label."""
+    root = components(edges).withColumnRenamed("root", "label")
+    told = groups.join(root, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = told.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
+    return stash(told.join(mixed, "key", "left_semi"), "open")
+
+
+def groups(rows: DataFrame, shingle: int) -> DataFrame:
+    """For each row of (doc_id, text) doc_id and component_id, the least doc_id of those that similar pairs join."""
+    own = stash(_keyed(rows, shingle), "sets")
+    nodes = own.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    order = Window.partitionBy("key")
+    by_size = order.orderBy("size", "node")
+    entries = nodes.select("node", "size", F.explode("keys").alias("key"))
+    placed = entries.select("*", F.row_number().over(by_size).alias("pos"), F.count("*").over(order).alias("m"), F.lead("node").over(by_size).alias("near"), F.lead("size").over(by_size).alias("near_size"))
+    shared = stash(placed.where("m > 1"), "shared")
+    wanted = stash(shared.select("node").distinct(), "wanted")
+    held = _sets(rows, shingle).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
+    held = stash(held.groupBy("node").agg(F.first("hashes").alias("hashes")), "held")
+    tested = stash(shared.where(F.col("size") / F.col("near_size") >= SIMILARITY).select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct(), "pairs")
+    edges = stash(similar(tested, held), "similar")
+    open_, low, high = _label(edges, shared.select("key", "node", "size", "pos", "m")), 2, 8
+    while (most := open_.agg(F.max("m")).first()[0]) and low < most:
+        far = open_.where(F.col("m") - F.col("pos") >= low).select("key", "node", "size", "label", F.explode(F.sequence(F.col("pos") + low, F.least(F.col("pos") + high, F.col("m").cast("int")))).alias("pos"))
+        other = open_.select("key", "pos", F.col("node").alias("near"), F.col("size").alias("near_size"), F.col("label").alias("near_label"))
+        pairs = far.join(other, ["key", "pos"]).where((F.col("label") != F.col("near_label")) & (F.col("size") / F.col("near_size") >= SIMILARITY))
+        pairs = stash(pairs.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionAll(pairs)
+        found = stash(similar(pairs, held), "similar")
+        edges = edges.unionAll(found)
+        open_ = _label(edges, open_.drop("label"))
+        low, high = high + 1, 8 * high
+    root = components(edges)
+    least = own.groupBy("node").agg(F.min("doc_id").alias("least")).join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    least = stash(least, "least")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.select("doc_id", "node").join(least.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -26,15 +26,13 @@ from pyspark.sql import types as T
 from . import chunks as C
 from .components import components
 from .golay import keys
+from .minhash import groups, shingle_hashes
 from .shared import stash, table, width, without
-from .words import U64, flat, mix, segment
-from .xxh64 import xxh64
+from .words import U64, flat, mix
 
 RADIUS = 3
-#: Fingerprints of a text where one of each group is kept: texts of a similarity of 0.8 differ by ten bits of 64.
+#: Fingerprints of a text where looser copies are to be linked without a check of their similarity.
 PRINTS = 6
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[ord("A") : ord("Z") + 1] += 32
 _BATCH = 1 << 20
 
 
@@ -51,27 +49,11 @@ def shingle_prints(column: pa.Array, shingle: int, prints: int = 1) -> np.ndarra
 
 
 def _prints(buf: np.ndarray, offsets: np.ndarray, shingle: int, prints: int) -> np.ndarray:
-    words = segment(buf, offsets)
-    if not len(words.starts):
-        return np.zeros((len(offsets) - 1, prints), U64)
-    # Words with one space after each, so that a shingle is a span.
-    size = words.ends - words.starts
-    at = np.concatenate(([0], np.cumsum(size + 1)))
-    joined = np.full(int(at[-1]), 32, np.uint8)
-    shift = np.repeat(words.starts - at[:-1], size)
-    place = np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)
-    joined[place] = LOWER[buf[place + shift]]
-    left = words.left()
-    count = words.counts
-    short = count < shingle
-    start = np.flatnonzero((left >= shingle) | (np.repeat(short, count) & (left == np.repeat(count, count))))
-    span = np.minimum(left[start], shingle)
-    h = xxh64(joined, at[start], at[start + span] - 1, 42)
-    own = np.searchsorted(words.offsets, start, side="right") - 1
-    many = np.bincount(own, minlength=len(count))
+    h, own, n = shingle_hashes(buf, offsets, shingle)
+    many = np.bincount(own, minlength=n)
     has = np.flatnonzero(many)
     first = np.searchsorted(own, has)
-    out = np.zeros((len(count), prints), U64)
+    out = np.zeros((n, prints), U64)
     for number in range(prints):
         ones = bit_counts(mix(h ^ U64(number)) if number else h, first)
         out[has, number] = np.packbits(2 * ones > many[has][:, None], axis=1).view(">u8").ravel()
@@ -196,12 +178,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", t
     return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", prints: int = PRINTS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay if one document of each group of near duplicates does, the one of least doc_id.
 
-    A row without doc_id has no group and stays. Of repeated rows with the same doc_id all stay.
+    Near duplicates are texts of a Jaccard similarity of 0.8 or more over their shingles, found by minhash.py and
+    verified there. A row without doc_id has no group and stays. Of repeated rows with the same doc_id all stay.
     """
-    gone = near_duplicates(docs, shingle, doc_id, text, prints).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    own = groups(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle)
+    gone = own.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return without(docs, gone, lambda d, g: d[doc_id].cast("long") == g["_gone"])
 
 
