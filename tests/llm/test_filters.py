@@ -55,6 +55,19 @@ def test_outliers(spark):
     assert kept.columns == docs.columns and {k.doc_id for k in kept.collect()} == {i for i in got if got[i].kept}
 
 
+def test_menus_are_outliers(spark):
+    """Lists of links are rejected by their symbols alone; prose with a stray symbol or two is not."""
+    r = np.random.default_rng(1)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), r.integers(2, 9))) for _ in range(3000)]
+    words = lambda n: r.choice(vocabulary, n).tolist()
+    rows = [(i, " ".join(words(r.integers(20, 300)))) for i in range(600)]
+    rows += [(1000 + i, " | ".join(words(r.integers(10, 60)))) for i in range(20)]
+    rows += [(2000 + i, " ".join([*words(30), "&", *words(30), "9%"])) for i in range(20)]
+    docs = spark.createDataFrame([(*x, "en", "web") for x in rows], "doc_id long, text string, lang string, source string")
+    gone = {g.doc_id for g in quality.judge(docs).where("NOT kept AND NOT base_failed").collect()}
+    assert {1000 + i for i in range(20)} <= gone and all(i < 2000 for i in gone) and sum(i < 1000 for i in gone) <= 3
+
+
 def rows_source(rows, i):
     return next((r[2], r[3]) for r in rows if r[0] == i)
 

@@ -30,11 +30,12 @@ WINDOW = 5
 SHARE, STEPS, LEAST = 0.75, 6, 100
 UNIT, EDGE = 1024, 16
 #: Chance that a text of a normal population is rejected.
-CUTOFF = 1e-6
+CUTOFF = 1e-3
 #: Words and letters of an average text that each text's mean word length is drawn towards.
 PRIOR_WORDS, PRIOR_CHARS = 30, 150
 FEATURES = ("word length", "symbols", "repeated lines", "repeated words")
-FLOOR = (0.04, 0.2, 0.1, 0.15)
+#: Deviations that a clean text has at least. Symbols: one in a hundred words, an ampersand or a percent sign.
+FLOOR = (0.04, 0.1, 0.1, 0.15)
 D = len(FEATURES)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
