@@ -187,6 +187,26 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(table, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    """A text that is an item less some words is one window, whatever its fingerprint."""
+    r = np.random.default_rng(3)
+    items = [(j, " ".join("".join(r.choice(list("abcdefgh"), 6)) for _ in range(int(n)))) for j, n in enumerate(r.integers(4, 70, 60))]
+    rows, plain = [], {}
+    for j, t in items:
+        w = t.split()
+        for cut in (1, 2, 4, 9):
+            for own in (w[cut:], w[:-cut], w[: len(w) // 2] + w[len(w) // 2 + cut :]):
+                a, b = (Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4)) for x in (own, w))
+                if a and (s := (a & b).total() / (a | b).total()) >= 0.8:
+                    plain[len(rows)] = (j, round(s, 9), 0, len(own))
+                rows.append((len(rows), " ".join(own)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert len(plain) > 200
+    assert {g.doc_id: (g.item_id, round(g.similarity, 9), g.start, g.n_words) for g in got} == plain
+    assert {c.doc_id for c in decontaminate.clean(docs, bench).collect()} == {i for i, _ in rows} - set(plain)
+
+
 def test_radius_covers_the_threshold():
     """Pairs whose similarity is 0.8 or a little more lie within the radius, but for a few in ten thousand."""
     r = np.random.default_rng(0)

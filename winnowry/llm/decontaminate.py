@@ -4,7 +4,8 @@ Words are runs of letters and digits, lower-cased; punctuation and spacing don't
 windows of the item's number of words slide over a text. A window is a candidate if its SimHash over five-word
 shingles is within RADIUS bits of the item's. Fingerprints are cut into BLOCKS blocks; two that are so near agree
 in one block to within RADIUS // BLOCKS bits, so each item is listed under all such values of each block and a
-window looks up its own. Candidates are verified: the weighted Jaccard similarity of their shingles, weights being
+window looks up its own. A text with fewer words than an item is one window for it, the whole text; its candidates
+are the items with so many shingles in common that the threshold can be reached. Candidates are verified: the weighted Jaccard similarity of their shingles, weights being
 counts, must reach the threshold.
 
 A window without any shingle of the item can't reach it, so only windows that hold one are hashed: this is a
@@ -96,6 +97,12 @@ class Index:
         # Which sizes a shingle of each length belongs to.
         self.long = self._places([n for n in self.sizes if n >= SHINGLE])
         self.short = {n: np.unique(self.grams[n]) for n in self.sizes if n < SHINGLE}
+        # Shingles of each size in order, with their items.
+        self.postings = {}
+        for n in self.sizes:
+            own = self.grams[n].ravel()
+            order = np.argsort(own, kind="stable")
+            self.postings[n] = own[order], order // self.grams[n].shape[1]
 
     def _places(self, sizes):
         pairs = sorted({(g, n) for n in sizes for g in self.grams[n].ravel().tolist()})
@@ -119,6 +126,16 @@ class Index:
         return pair[near, 0], pair[near, 1]
 
 
+    def sharing(self, n: int, bag: np.ndarray, threshold: float) -> list[int]:
+        """The items of n words with which a bag may have a similarity of threshold, by the shingles in common."""
+        values, of = self.postings[n]
+        first, last = np.searchsorted(values, bag), np.searchsorted(values, bag, side="right")
+        # Equal shingles count once a pair, which is no less than the lesser count.
+        common = np.bincount(np.concatenate([of[a:b] for a, b in zip(first, last, strict=True)]), minlength=len(self.items[n]))
+        total = len(bag) + self.grams[n].shape[1]
+        return np.flatnonzero(common >= threshold / (1 + threshold) * total - 1e-6).tolist()
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Sum of the lesser counts over the sum of the greater counts of two bags of hashes."""
     values, of = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -127,7 +144,7 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def search(index: Index, column: pa.Array, threshold: float):
-    """(text number, item, similarity, first word, words of the item) of the best window of each text and item."""
+    """(text number, item, similarity, first word, words) of the best window of each text and item."""
     h, at = hashed(column)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     grams = {SHINGLE: windows(h, SHINGLE)}
@@ -152,6 +169,14 @@ def search(index: Index, column: pa.Array, threshold: float):
         doc = np.searchsorted(at, hit, side="right") - 1
         inside = hit + k <= at[doc + 1]
         hit, doc = hit[inside], doc[inside]
+        # Texts shorter than the items, and not so short that the threshold is out of reach: one window each.
+        length = at[doc + 1] - at[doc]
+        for d in np.unique(doc[(length < n) & (length - k + 1 >= threshold * (n - k + 1) - 1e-6)]).tolist():
+            bag = grams[k][at[d] : at[d + 1] - k + 1]
+            for j in index.sharing(n, bag, threshold):
+                s = weighted_jaccard(bag, index.grams[n][j])
+                if s >= threshold and s > best.get((d, index.items[n][j]), (0.0,))[0]:
+                    best[d, index.items[n][j]] = (s, 0, int(at[d + 1] - at[d]))
         # Windows of n words within the text that hold a shingle of an item of that size.
         first = np.unique((hit[:, None] - np.arange(n - k + 1)).ravel())
         first = first[first >= 0]
