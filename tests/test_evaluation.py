@@ -113,3 +113,30 @@ def test_alignments():
     assert concatenation_of("EducationExperience", {"education", "experience"}) and not concatenation_of("Education", {"education"})
     assert [compare_readings(a, b)["status"] for a, b in (("same text here", "same text here"), ("", "seen words"), ("x", ""), ("sametexthere", "same text here"), ("same", "same plus missing words"))] == ["ok", "image only", "nothing seen", "words run together", "text missing"]
     assert merge_wrapped([("a long exam-", 10, 198, 10), ("ple of it.", 10, 60, 10), ("- item", 10, 198, 10)], 200) == [("a long example of it.", [0, 1]), ("- item", [2])]
+
+
+def test_queries_take_whole_texts(spark, tmp_path):
+    """Words and lines behind the first 400 characters, 11 words and 6 lines count."""
+    from winnowry.plans import metrics as plans
+
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("abcdeFG") for _ in range(r.randint(4, 7))) for _ in range(40)]
+    texts = ["\n".join(" ".join(r.choice(vocabulary) for _ in range(r.randint(1, 4))) for _ in range(r.choice([1, 3, 60]))) for _ in range(40)]
+    texts[5:8] = ["", "a bc", "word"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.tp, x.fp, x.fn) for x in plans.skill_set_counts(spark, str(tmp_path)).collect()}
+    sets = [set(t.split(" ")) for t in texts]
+    assert got == {i: (len(sets[i] & sets[i - 1]), len(sets[i - 1] - sets[i]), len(sets[i] - sets[i - 1])) for i in range(1, 40)}
+    got = {x.doc_id: (x.tp, x.fp, x.fn) for x in plans.lenient_counts(spark, str(tmp_path)).collect()}
+    assert got == {i: plain_greedy(texts[i].split("\n"), texts[i - 1].split("\n"), lambda g, p: plain_close(g.lower(), p.lower())) for i in range(1, 40)}
+    got = {x.doc_id: x["items"] for x in plans.vote_list(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        w = [x for x in t.split() if len(x) > 3]
+        cut = lambda a, b: w[(k := len(w) * a // 11) : k - (-len(w) * (b - a) // 11)]
+        first, *rest = cut(0, 6), cut(3, 9), cut(7, 11)
+        assert not w or cut(7, 11) == [] or cut(7, 11)[-1] == w[-1]
+        out, low = list(first), lambda x: {y.lower() for y in x}
+        for x in [y for z in rest for y in z]:
+            if x.lower() not in low(out) and sum(x.lower() in low(z) for z in (first, *rest)) >= 2:
+                out.append(x)
+        assert got[i] == " ".join(out)

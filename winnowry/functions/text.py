@@ -57,7 +57,12 @@ def lenient_tokens(text: Column | str) -> Column:
 
 def close(gold: Column, pred: Column, extra: int = 3) -> Column:
     """All gold tokens are there, and at most `extra` more; tokens count as sets for the first, as lists for the second."""
-    return let(lenient_tokens(gold), lambda g: let(lenient_tokens(pred), lambda p: (F.size(g) > 0) & (F.size(p) > 0) & (F.size(F.array_except(g, p)) == 0) & (F.size(p) - F.size(g) <= extra)))
+    return let(lenient_tokens(gold), lambda g: let(lenient_tokens(pred), lambda p: close_tokens(g, p, extra)))
+
+
+def close_tokens(g: Column, p: Column, extra: int = 3) -> Column:
+    """close() of two texts whose tokens are known."""
+    return (F.size(g) > 0) & (F.size(p) > 0) & (F.size(F.array_except(g, p)) == 0) & (F.size(p) - F.size(g) <= extra)
 
 
 def null_if_empty(s: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import close_tokens, lenient_tokens
 from ..operators import bootstrap as B
 from ..operators import metrics as M
 from ..operators import sampling
@@ -73,7 +74,7 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of neighbouring documents' words against each other: sizes of what is shared and what isn't."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.substring("text", 1, 400), " ").alias("w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
     other = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("v"))
     return docs.join(other, "doc_id").select("doc_id", M.set_counts(F.col("w"), F.col("v")).alias("c")).select("doc_id", "c.*")
 
@@ -91,18 +92,26 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vote_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of words of three readers of each document, merged."""
-    w = F.filter(F.split(F.regexp_replace("text", r"[^A-Za-z ]+", " "), " +"), lambda x: F.length(x) > 3)
+    """Words of three readers of each document, merged: each reads about half of it, from the start, the middle and up to the end.
+
+    A word is one token, so that words are alike if they are equal but for case; this gives what metrics.vote_list does,
+    by sets of whole texts.
+    """
+    w = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]+", " "), " +"), lambda x: F.length(x) > 3)
     docs = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
-    lists = F.array(F.slice("w", 1, 6), F.slice("w", 4, 6), F.slice("w", 8, 4))
-    return docs.select("doc_id", F.array_join(M.vote_list(lists), " ").alias("items"))
+    part = lambda a, b: F.slice("w", F.floor(F.size("w") * a / 11).cast("int") + 1, F.ceil(F.size("w") * (b - a) / 11).cast("int"))
+    lists = docs.select("doc_id", part(0, 6).alias("first"), part(3, 9).alias("second"), part(7, 11).alias("third"))
+    lower = lambda c: F.split(F.lower(F.array_join(c, " ")), " ")
+    keys = lists.select("doc_id", "first", "second", lower("second").alias("k"), F.array_except(F.array_intersect(lower("second"), lower("third")), lower("first")).alias("more"))
+    added = F.transform("more", lambda x: F.get("second", F.array_position("k", x).cast("int") - 1))
+    return keys.select("doc_id", F.array_join(F.when(F.size("second") > 0, F.concat("first", added)).otherwise(F.col("first")), " ").alias("items"))
 
 
 def lenient_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy matches of the first lines of neighbouring documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", "\n"), 1, 6).alias("g"))
+    """Greedy matches of the lines of neighbouring documents, by their tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: lenient_tokens(x)).alias("g"))
     other = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("g").alias("p"))
-    return docs.join(other, "doc_id").select("doc_id", M.greedy_counts(F.col("g"), F.col("p")).alias("c")).select("doc_id", "c.*")
+    return docs.join(other, "doc_id").select("doc_id", M.greedy_counts(F.col("g"), F.col("p"), close_tokens).alias("c")).select("doc_id", "c.*")
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
