@@ -46,3 +46,13 @@ def test_patterns(spark):
     assert [hit(x) for x in ("C++", "C", "c#", "na", "GD&T", "gd&t", "GD", "x.C")] == [True, True, True, False, True, True, False, True]
     with pytest.raises(ValueError):
         term_pattern(" ")
+
+
+def test_every_item_is_explained(spark):
+    """Each document and item with a score has terms, whatever the item's number."""
+    from winnowry.plans import scores
+
+    sf = "/root/testdata/sf0.001"
+    pairs = {(r.doc_id, r.item_id) for r in scores.tfidf_explain(spark, sf).collect()}
+    assert pairs == {(r.doc_id, r.item_id) for r in scores.tfidf_score(spark, sf).collect()}
+    assert any(i >= 3 for _, i in pairs)

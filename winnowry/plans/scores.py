@@ -34,9 +34,9 @@ def tfidf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The terms that make the score of each document with the first items."""
+    """The terms that make the score of each document with each item."""
     d, b, idf = _fitted(spark, sf_dir)
-    got = S.contributions(S.weigh(d, idf), S.weigh(b.where("doc_id < 3"), idf))
+    got = S.contributions(S.weigh(d, idf), S.weigh(b, idf))
     return got.select("doc_id", F.col("posting_id").alias("item_id"), F.array_join("terms", "; ").alias("terms"))
 
 
