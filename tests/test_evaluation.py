@@ -140,3 +140,15 @@ def test_queries_take_whole_texts(spark, tmp_path):
             if x.lower() not in low(out) and sum(x.lower() in low(z) for z in (first, *rest)) >= 2:
                 out.append(x)
         assert got[i] == " ".join(out)
+
+
+def test_pools_leave_no_row_out(spark):
+    from winnowry.plans import metrics as plans
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labelled = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = plans.union_pool(spark, sf).collect()
+    assert sorted((r.doc_id, r.origin, r.n_chars) for r in got) == sorted((r.doc_id, "second" if r.doc_id in labelled else "first", r.n_chars) for r in docs.collect())
+    whole = bootstrap.mean_bounds(docs.withColumn("v", F.col("n_chars").cast("double")), "source", "v", ["lang"], plans.N_BOOT)
+    assert {(r.lang, round(r.lo, 6), round(r.hi, 6)) for r in whole.collect()} == {(r.lang, r.lo, r.hi) for r in plans.bootstrap_mean(spark, sf).collect()}

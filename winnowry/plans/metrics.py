@@ -140,7 +140,7 @@ def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("value", F.when(F.col("doc_id") % 13 != 0, F.col("n_chars").cast("double")))
+    docs = table(spark, sf_dir, "documents").withColumn("value", F.col("n_chars").cast("double"))
     return _rounded(B.mean_bounds(docs, "source", "value", ["lang"], N_BOOT), "lo", "hi")
 
 
@@ -159,9 +159,10 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and those with a label as a second pool that takes their place."""
     d = table(spark, sf_dir, "documents")
-    first = d.where("doc_id % 2 = 0").select("doc_id", F.lit("first").alias("origin"), "n_chars")
-    second = d.where("doc_id % 3 = 0").select("doc_id", F.lit("second").alias("origin"), "n_chars")
+    first = d.select("doc_id", F.lit("first").alias("origin"), "n_chars")
+    second = d.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", F.lit("second").alias("origin"), "n_chars")
     return sampling.unite(first, second, "doc_id")
 
 
