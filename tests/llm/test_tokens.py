@@ -98,3 +98,14 @@ def test_sum_of_squares_takes_the_least_sum():
         assert total(b) == min(map(total, choices))
         level[b] = level.get(b, 0) + s
     assert [level[k] for k in range(len(fill))] == fill.tolist()
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(9)
+    passage, end = r.integers(0, 5000, 500), 5000
+    ids = np.concatenate([np.append(passage, end) for _ in range(40)] + [np.append(r.integers(0, 5000, 50), end) for _ in range(20)] + [np.full(300, 7)])
+    s, rules = repair.compress(ids, 5001, end)
+    pairs, count = np.unique(np.stack([s[:-1], s[1:]]), axis=1, return_counts=True)
+    assert not (count[(pairs != end).all(axis=0)] >= repair.LEAST).any()
+    assert (s[:80:2] == s[0]).all() and repair.lengths(rules, 5001)[s[0] - 5001] == 500
+    assert (repair.Grammar(rules, repair.lengths(rules, 5001), 5001).expand(s) == ids).all()

@@ -1,6 +1,6 @@
 """Re-Pair grammars of token ids.
 
-Frequent pairs of neighbours are replaced by new symbols, round after round; each round replaces all pairs that
+Frequent pairs of neighbours are replaced by new symbols, round after round until none is left; each round replaces all pairs that
 are frequent enough, the more frequent first where they overlap and the leftmost of equals. A symbol below
 `terminals` is an id, any other is rule number symbol - terminals, a pair of earlier symbols.
 """
@@ -12,9 +12,8 @@ import numpy as np
 U64 = np.uint64
 #: A pair is worth a rule from so many occurrences on.
 LEAST = 8
-#: Rules of one round, and rounds, at most. They bound the work and the grammar, not what is encoded.
+#: Rules of one round at most; the pairs left come in the next.
 ROUND_RULES = 8192
-ROUNDS = 5
 _NONE = np.iinfo(np.int32).max
 
 
@@ -22,9 +21,8 @@ def compress(ids: np.ndarray, terminals: int, end: int) -> tuple[np.ndarray, np.
     """Symbols, and rules as pairs of symbols. The end id stays by itself, so documents keep their bounds."""
     s, rules = ids.astype(np.uint32), []
     known = terminals
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
+    # Each round takes an occurrence of its most frequent pair at least, so this ends; packed() holds symbols of 24 bits.
+    while len(s) > 1 and known + ROUND_RULES <= 1 << 24:
         free = s != end
         key = s[:-1].astype(U64) << U64(32) | s[1:]
         slot = ((key * U64(0x9E3779B97F4A7C15)) >> U64(44)).astype(np.int32)
