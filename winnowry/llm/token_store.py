@@ -8,7 +8,8 @@ Rows are dealt out by ranges of doc_id, so shards of one partition follow those
 closes after SHARD_BYTES of text, so memory is bounded by the longest text.
 
 Nulls: a null text is empty (its only id is the end); null doc_ids come first. Rows with one doc_id are ordered
-by text. An empty table gives an empty store. Other columns are ignored.
+by a hash of their text, then by text; repeated rows are stored each. A very long text is a shard of its own. An
+empty table gives an empty store. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, termi
             )
             seq += 1
 
-    dealt = rows.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id may be many (nulls): the hash parts them too.
+    rows = rows.withColumn("mixed", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(width(docs.sparkSession), "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed", "text").drop("mixed")
     dealt.mapInArrow(shards, SHARD).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
@@ -118,7 +121,7 @@ def documents(store: DataFrame, with_ids: bool = True) -> DataFrame:
                 cell = {n: b.column(n)[i] for n in b.schema.names}
                 terminals = cell["terminals"].as_py()
                 grammar = Grammar(np.frombuffer(cell["rules"].as_buffer(), np.uint32).reshape(-1, 2), np.frombuffer(cell["expansions"].as_buffer(), np.uint32).astype(np.int64), terminals)
-                ids = grammar.expand(unpacked(cell["sequence"].as_buffer()))
+                ids = grammar.expand(unpacked(cell["sequence"].as_buffer(), sum(cell["symbols"].as_py())))
                 count = cell["tokens"].values.to_numpy()
                 at = np.concatenate(([0], np.cumsum(count)))
                 data = memoryview(ids.astype("<u4").tobytes())
@@ -128,14 +131,14 @@ def documents(store: DataFrame, with_ids: bool = True) -> DataFrame:
                     out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return store.select("terminals", "doc_ids", "tokens", "rules", "expansions", "sequence", "before").mapInArrow(read, schema)
+    return store.select("terminals", "doc_ids", "tokens", "symbols", "rules", "expansions", "sequence", "before").mapInArrow(read, schema)
 
 
 def one_document(shard, number: int) -> np.ndarray:
     """The ids of document `number` of a collected shard row, expanding its own symbols only."""
     grammar = Grammar(np.frombuffer(shard["rules"], np.uint32).reshape(-1, 2), np.frombuffer(shard["expansions"], np.uint32).astype(np.int64), shard["terminals"])
     first = sum(shard["symbols"][:number])
-    return grammar.expand(unpacked(shard["sequence"], first, first + shard["symbols"][number]))
+    return grammar.expand(unpacked(shard["sequence"], sum(shard["symbols"]), first, first + shard["symbols"][number]))
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

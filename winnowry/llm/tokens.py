@@ -2,9 +2,10 @@
 
 A text is cut only where every pre-tokenizer pattern of the supported vocabularies ends a match, whatever stands
 around: between a letter and ASCII punctuation, around a single line feed, and before a single space. Pieces then
-encode alone as they do inside their text. Each Python worker keeps the ids of the pieces it has met in flat
-arrays, up to a documented bound, and looks them up for millions of pieces at once. Texts that hold the string of
-a special token are given to the library whole.
+encode alone as they do inside their text. Each Python worker keeps the bytes and ids of the pieces it has met in
+flat arrays, up to a documented bound, and looks them up for millions of pieces at once. A piece is found by a hash
+and counts as found only if its bytes are equal; one whose hash is that of another piece is encoded anew. Texts that
+hold the string of a special token are given to the library whole.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ import os
 
 import numpy as np
 
-from .words import U64, span_hashes
+from .words import U64, distinct, mix, span_hashes
 
 #: Pieces that a worker remembers; beyond it the memory starts anew, which costs time only.
 REMEMBERED = 1 << 20
+#: New pieces that the library gets as one text.
+TOGETHER = 1 << 13
 
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -65,6 +68,32 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, spaces: bool) -> tuple[np.ndarr
     return starts, ends
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on, as one number; buf has seven bytes more."""
+    return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+
+
+class Pieces:
+    """Spans of a buffer: their lengths, first and last eight bytes (all there is of up to 16 bytes) and hashes."""
+
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.starts, self.ends, self.n = starts, ends, ends - starts
+        self.buf = np.concatenate((buf, np.zeros(8, np.uint8)))
+        eights = _eights(self.buf)
+        short = np.minimum(self.n, 8)
+        self.a = eights[starts] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - (short << 3).astype(U64)))
+        self.b = eights[ends - short]
+        self.b[self.n < 8] = 0
+        self.h = mix(self.a * U64(0x9E3779B97F4A7C15) + (self.b ^ (self.b >> U64(29))) * U64(0xD6E8FEB86659FD93) + self.n.astype(U64))
+        long = np.flatnonzero(self.n > 16)
+        if len(long):
+            self.h[long] = mix(self.h[long] ^ span_hashes(buf, starts[long], ends[long]))
+
+    def bytes_of(self, some: np.ndarray) -> np.ndarray:
+        n = self.n[some]
+        return self.buf[np.arange(int(n.sum())) + np.repeat(self.starts[some] - (np.cumsum(n) - n), n)]
+
+
 class Encoder:
     """encode() gives the ids of all texts of a buffer end to end, and where each text's ids start."""
 
@@ -74,6 +103,9 @@ class Encoder:
 
         self.model, self.spaces = Tokenizer.from_file(path), spaces
         self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        #: Stands between pieces that are encoded together: one id, which no piece without its character has.
+        self.between = "\n" if spaces else " ~ "
+        self.mark = self.model.encode(self.between, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -81,6 +113,8 @@ class Encoder:
         self.used = 0
         self.at = np.zeros(1 << 16, np.int64)  # first id of each remembered piece
         self.ids = np.zeros(1 << 18, np.uint32)
+        self.a, self.b, self.n, self.from_ = np.zeros(1 << 16, U64), np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.long, self.long_used = np.zeros(1 << 16, np.uint8), 0  # bytes of pieces of over 16
 
     def _room(self, slots: int) -> None:
         self.key = np.zeros(slots, U64)
@@ -90,81 +124,125 @@ class Encoder:
         return (h & U64(len(self.key) - 1)).astype(np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Number of each remembered piece, -1 for others."""
-        out = np.full(len(h), -1, np.int32)
+        """Number of the remembered piece of each hash, -1 for others."""
         place, last = self._start(h), len(self.key) - 1
-        rest = np.arange(len(h))
+        out = self.slot[place]
+        rest = np.flatnonzero((out >= 0) & (self.key[place] != h))
+        place = (place[rest] + 1) & last
         while len(rest):
-            slot, key = self.slot[place], self.key[place]
-            hit = key == h[rest]
-            hit &= slot >= 0
-            out[rest[hit]] = slot[hit]
-            go = ~hit & (slot >= 0)
+            slot = self.slot[place]
+            out[rest] = slot
+            go = (slot >= 0) & (self.key[place] != h[rest])
             rest, place = rest[go], (place[go] + 1) & last
         return out
 
-    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
-        got = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
-        first, end = int(self.at[self.used]), self.used + len(h)
+    def _equal(self, number: np.ndarray, p: Pieces) -> np.ndarray:
+        """Whether each piece has the bytes of the remembered one."""
+        out = (self.a[number] == p.a) & (self.b[number] == p.b) & (self.n[number] == p.n)
+        long = np.flatnonzero(out & (p.n > 16))
+        if len(long):
+            n = p.n[long]
+            first = np.cumsum(n) - n
+            held = self.long[np.arange(int(n.sum())) + np.repeat(self.from_[number[long]] - first, n)]
+            out[long] = np.logical_and.reduceat(held == p.bytes_of(long), first)
+        return out
+
+    def _encoded(self, p: Pieces, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces in an order of their own, their ids end to end, and how many each has."""
+        data = p.buf.tobytes()
+        texts = [data[s:e].decode() for s, e in zip(p.starts[some].tolist(), p.ends[some].tolist(), strict=True)]
+        first = p.starts[some] + (p.buf[p.starts[some]] == 0x20)
+        head, last, before = p.buf[np.minimum(first, p.ends[some] - 1)], p.buf[p.ends[some] - 1], p.buf[np.maximum(p.ends[some] - 2, p.starts[some])]
+        plain = (SOLID[head] | (head == 0xC3)) & (SOLID[last] | (before == 0xC3) & (last >= 0x80))
+        sign = self.between.strip(" ")
+        plain &= np.fromiter((sign not in t for t in texts), bool, len(texts)) & (len(self.mark) == 1)
+        order, ids, sizes = [], [], []
+        own = np.flatnonzero(plain)
+        for i in range(0, len(own), TOGETHER):
+            k = own[i : i + TOGETHER]
+            got = np.array(self.model.encode_batch_fast([self.between.join([texts[j] for j in k.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(got == self.mark[0])
+            if len(cut) != len(k) - 1:  # cannot happen with the supported vocabularies
+                plain[k] = False
+                continue
+            order.append(k)
+            ids.append(got[got != self.mark[0]])
+            sizes.append(np.diff(np.concatenate(([-1], cut, [len(got)]))) - 1)
+        alone = np.flatnonzero(~plain)
+        if len(alone):
+            got = [x.ids for x in self.model.encode_batch_fast([texts[k] for k in alone.tolist()], add_special_tokens=False)]
+            order.append(alone)
+            ids.append(np.array([i for x in got for i in x], np.uint32))
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        return some[np.concatenate(order)], np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, p: Pieces, some: np.ndarray, named: bool) -> np.ndarray:
+        """Remember pieces, named: under their hashes, and return them in the order of their numbers."""
+        some, flat, size = self._encoded(p, some)
+        first, end = int(self.at[self.used]), self.used + len(some)
         while end + 1 > len(self.at):
-            self.at = np.concatenate((self.at, np.zeros_like(self.at)))
+            for name in ("at", "a", "b", "n", "from_"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate((old, np.zeros_like(old))))
         while first + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.at[self.used + 1 : end + 1] = first + np.cumsum(size)
         self.ids[first : first + len(flat)] = flat
-        if 2 * end > len(self.key):
-            held = self.slot >= 0
-            key, slot = self.key[held], self.slot[held]
-            self._room(1 << (4 * end - 1).bit_length())
-            self._insert(key, slot)
-        self._insert(h, np.arange(self.used, end, dtype=np.int32))
+        self.a[self.used : end], self.b[self.used : end], self.n[self.used : end] = p.a[some], p.b[some], p.n[some]
+        n = np.where(p.n[some] > 16, p.n[some], 0)
+        total = self.long_used + int(n.sum())
+        while total > len(self.long):
+            self.long = np.concatenate((self.long, np.zeros_like(self.long)))
+        self.from_[self.used : end] = self.long_used + np.cumsum(n) - n
+        self.long[self.long_used : total] = p.bytes_of(some[n > 0])
+        self.long_used = total
+        if named:
+            if 2 * end > len(self.key):
+                held = self.slot >= 0
+                key, slot = self.key[held], self.slot[held]
+                self._room(1 << (4 * end - 1).bit_length())
+                self._insert(key, slot)
+            self._insert(p.h[some], np.arange(self.used, end, dtype=np.int32))
         self.used = end
+        return some
 
     def _insert(self, h: np.ndarray, number: np.ndarray) -> None:
         place, rest, last = self._start(h), np.arange(len(h)), len(self.key) - 1
         while len(rest):
-            free = np.flatnonzero(self.slot[place] < 0)
-            _, one = np.unique(place[free], return_index=True)
-            take = free[one]
-            self.key[place[take]] = h[rest[take]]
-            self.slot[place[take]] = number[rest[take]]
-            left = np.ones(len(rest), bool)
-            left[take] = False
-            rest, place = rest[left], (place[left] + 1) & last
+            free = self.slot[place] < 0
+            self.slot[place[free]] = number[rest[free]]  # of several the last stays
+            took = free & (self.slot[place] == number[rest])
+            self.key[place[took]] = h[rest[took]]
+            rest, place = rest[~took], (place[~took] + 1) & last
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole = []
         data = buf.tobytes()
         if any(s in data for s in self.special):
             whole = [i for i in range(len(offsets) - 1) if any(s in data[offsets[i] : offsets[i + 1]] for s in self.special)]
-        if not self.spaces:
-            buf = LOWER[buf]
-            data = buf.tobytes() if not whole else data
-        starts, ends = pieces(buf, offsets, self.spaces)
-        h = span_hashes(buf, starts, ends)
+        p = Pieces(buf if self.spaces else LOWER[buf], *pieces(buf if self.spaces else LOWER[buf], offsets, self.spaces))
         if self.used > REMEMBERED:
             self.forget()
-        number = self._find(h)
+        number = self._find(p.h)
         new = np.flatnonzero(number < 0)
         if len(new):
-            _, one = np.unique(h[new], return_index=True)
-            new = new[one]
-            lowered = data if self.spaces or not whole else buf.tobytes()
-            self._learn(h[new], [lowered[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            lost = np.flatnonzero(number < 0)
-            number[lost] = self._find(h[lost])
+            h, one = distinct(p.h[new])
+            self._learn(p, new[one], True)
+            number[new] = self._find(p.h[new])
+        odd = np.flatnonzero(~self._equal(number, p))
+        if len(odd):
+            used = self.used
+            number[self._learn(p, odd, False)] = used + np.arange(len(odd), dtype=np.int32)
         first = self.at[number]
         size = self.at[number + 1] - first
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.arange(int(total[-1])) + np.repeat(first - total[:-1], size)]
-        bounds = total[np.searchsorted(starts, offsets)]
+        bounds = total[np.searchsorted(p.starts, offsets)]
         if whole:
             parts = [ids[bounds[i] : bounds[i + 1]] for i in range(len(offsets) - 1)]
             for i in whole:
                 parts[i] = np.array(self.model.encode(data[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
-            return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
         return ids, bounds
 
 

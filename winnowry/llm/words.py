@@ -32,6 +32,22 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the place of one of each. By sorting, which is faster here than np.unique."""
+    if not len(values):
+        return values, np.zeros(0, np.int64)
+    order = np.argsort(values)
+    s = values[order]
+    new = np.concatenate(([True], s[1:] != s[:-1]))
+    return s[new], order[new]
+
+
+def ascending(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    s = np.sort(values)
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer: every input bit reaches every output bit."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
