@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .words import ascending
+
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of symbols (0 to 511), and its inverse, by prefix doubling over unsettled rows."""
@@ -78,4 +80,4 @@ def long_common(symbols: np.ndarray, least: int) -> np.ndarray:
             break
         shown[high + 1] = True
     same = np.flatnonzero(~shown)
-    return np.unique(np.concatenate((sa[same], sa[same - 1])))
+    return ascending(np.concatenate((sa[same], sa[same - 1])))

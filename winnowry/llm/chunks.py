@@ -4,7 +4,8 @@ A corpus is packed once into chunks of a few MB, kept as a table that is buckete
 sending an array of hashes to each bucket of the hash space; the owner of a bucket sees what all chunks sent
 and answers each chunk; the answers, which are small, are joined to the chunks, whose texts stay where they
 are. Rows of these exchanges hold packed arrays, so that Spark moves thousands of rows in place of millions,
-and a value that many chunks hold costs its bucket one entry a chunk at most.
+and a value that many chunks hold costs its bucket one entry a chunk at most. A task sends what its chunks ask of a
+bucket in one row (one more every ASKED_BYTES), so rows of an exchange are as many as its blocks: tasks times buckets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from .shared import shared_path, stash, width
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
-ASK = "bucket int, chunk long, payload binary"
+#: Bytes of questions that a task gathers before it sends them.
+ASKED_BYTES = 16 << 20
+ASK = "bucket int, chunks array<long>, payloads array<binary>"
 ANSWER = "chunk long, bucket int, payload binary"
 _IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
 
@@ -83,7 +86,10 @@ def pack(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFra
         .bucketBy(n, "chunk")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    out = spark.table(name)
+    # The plan holds the files and their buckets; the catalog need not. The folder goes with the shared folder.
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _lengths(column: pa.Array) -> np.ndarray:
@@ -97,10 +103,25 @@ def ask(chunks: DataFrame, asker: Asker, answers: DataFrame | None = None) -> Da
     n = width(chunks.sparkSession)
 
     def sent(batches):
+        held, size = defaultdict(list), 0
+
+        def rows():
+            some = sorted(held.items())
+            for i in range(0, len(some), 512):
+                part = some[i : i + 512]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _ in part], pa.int32()), pa.array([[c for c, _ in x] for _, x in part], pa.list_(pa.int64())), pa.array([[p for _, p in x] for _, x in part], pa.list_(pa.binary()))],
+                    names=["bucket", "chunks", "payloads"],
+                )
+
         for chunk, batch, got in opened(batches):
-            out = list(asker(batch, got, n))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([p for _, p in out], pa.binary())], names=["bucket", "chunk", "payload"])
+            for bucket, payload in asker(batch, got, n):
+                held[bucket].append((chunk, payload))
+                size += len(payload) + 16
+            if size >= ASKED_BYTES:
+                yield from rows()
+                held, size = defaultdict(list), 0
+        yield from rows()
 
     return joined(chunks, answers).mapInArrow(sent, ASK)
 
@@ -111,8 +132,8 @@ def answer(asked: DataFrame, answerer: Callable[[list[tuple[int, bytes]]], Itera
     def solved(batches):
         by = defaultdict(list)
         for b in batches:
-            for k, c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                by[k].append((c, p.as_buffer().to_pybytes()))
+            for k, chunks_, payloads in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                by[k] += [(c, p.as_buffer().to_pybytes()) for c, p in zip(chunks_, payloads.values, strict=True)]
         for k in sorted(by):
             out = list(answerer(sorted(by.pop(k), key=lambda x: x[0])))
             for i in range(0, len(out), 256):
@@ -149,7 +170,8 @@ def by_bucket(hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def repeated(values: np.ndarray) -> np.ndarray:
     """The distinct values that occur more than once, ascending."""
     s = np.sort(values)
-    return np.unique(s[1:][s[1:] == s[:-1]])
+    s = s[1:][s[1:] == s[:-1]]
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
 def among(values: np.ndarray, few: np.ndarray) -> np.ndarray:

@@ -1,24 +1,28 @@
 """Benchmark passages in texts: SimHash of item-sized windows, multi-index Hamming blocks, exact similarity.
 
 Words are runs of letters and digits, lower-cased; punctuation and spacing don't count. For each benchmark item,
-windows of the item's number of words slide over a text. A window is a candidate if its SimHash over five-word
-shingles is within RADIUS bits of the item's. Fingerprints are cut into BLOCKS blocks; two that are so near agree
-in one block to within RADIUS // BLOCKS bits, so each item is listed under all such values of each block and a
-window looks up its own. A text with fewer words than an item is one window for it, the whole text; its candidates
-are the items with so many shingles in common that the threshold can be reached. Candidates are verified: the weighted Jaccard similarity of their shingles, weights being
-counts, must reach the threshold.
-
-A window without any shingle of the item can't reach it, so only windows that hold one are hashed: this is a
-condition of the result, not a shortcut past it. Items travel to the executors by broadcast while their table is
-smaller than BROADCAST bytes of text, which is counted; larger benchmarks are taken in slices of that size, each a
-pass over the corpus. Texts never move.
-
-Near 0.8 a fingerprint of 64 bits differs from its item's by about 10 bits, with a deviation of 3; RADIUS leaves
-more than three deviations.
+windows of the item's number of words slide over a text. A window is a candidate if its SimHash of BITS bits over
+five-word shingles is within RADIUS bits of the item's. Fingerprints are cut into BLOCKS blocks. Of two that are so
+near, AGREE blocks at least differ by NEAR bits or fewer, for otherwise BLOCKS - AGREE + 1 blocks would differ by
+NEAR + 1 each, more than RADIUS. So each item is listed under all values within NEAR of each of its blocks, a window
+looks up its own, and the items that it meets in AGREE blocks are compared: 4 in 100 of unlike ones (7 where few and
+evenly many shingles leave ties). A text with
+fewer words than an item is one window for it, the whole text; its candidates are the items with so many shingles in
+common that the threshold can be reached. Candidates are verified: the weighted Jaccard similarity of their
+shingles, weights being counts, must reach the threshold; it is carried on from a window to the next.
+
+A window without any shingle of an item of its size can't reach the threshold, so only windows that hold one are
+hashed: this is a condition of the result, not a shortcut past it. Items travel to the executors by broadcast, at
+most BROADCAST bytes of text and ITEMS of them, which are counted (an item's index takes some 8 kB); larger
+benchmarks are taken in slices, each a pass over the corpus. Texts never move.
+
+At a similarity of 0.8 fingerprints of 192 bits differ by about 29 bits, with a deviation of 5; RADIUS leaves three
+deviations. Items of fewer than nine shingles reach 0.8 by equality alone, and equal bags have one fingerprint.
 
 Nulls: a null text holds nothing, a null item text or item_id is no item; a null doc_id is returned as null.
-Items of fewer than five words are one shingle of all their words. Repeated rows and items are matched each. Empty
-tables give an empty result; other columns are ignored, and kept by clean().
+Items of fewer than five words are one shingle of all their words. Repeated rows and items are matched each; of
+equally similar windows the first counts. Long texts and items take memory in proportion to their length. Empty
+tables give an empty result; other columns are ignored, whatever their names, and kept by clean().
 """
 
 from __future__ import annotations
@@ -34,12 +38,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import table
-from .words import U64, flat, mix, segment, span_hashes, windows
+from .words import U64, ascending, flat, mix, segment, span_keys, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 20, 8
-#: Bytes of benchmark text that one broadcast may hold.
-BROADCAST = 32 << 20
+BITS, RADIUS, BLOCKS, NEAR, AGREE = 192, 44, 16, 2, 2
+WIDTH = BITS // BLOCKS
+#: Bytes of benchmark text, and items, that one broadcast may hold.
+BROADCAST, ITEMS = 32 << 20, 8000
+#: Windows that are hashed at a time.
+AT_ONCE = 1 << 15
 PART = 1 << 20
 FOUND = "doc_id long, item_id long, similarity double, start long, n_words long"
 
@@ -55,7 +62,7 @@ def hashed(column: pa.Array):
     """Hash of each word of the texts of a column, and each text's range of words."""
     buf, offsets = flat(column)
     words = segment(buf, offsets, BREAKS)
-    return span_hashes(LOWER[buf], words.starts, words.ends), words.offsets
+    return span_keys(LOWER[buf], words.starts, words.ends), words.offsets
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -63,12 +70,24 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return windows(h, min(SHINGLE, len(h))) if len(h) else h
 
 
-def simhash(h: np.ndarray) -> np.ndarray:
-    """SimHash of each row of hashes: a bit is set where over half of the row has it."""
-    ones = np.empty((len(h), 64), bool)
-    for b in range(64):
-        ones[:, 63 - b] = 2 * (h >> U64(b) & U64(1)).sum(axis=1) > h.shape[1]
-    return np.packbits(ones, axis=1).view(">u8").ravel().astype(U64)
+def simhashes(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the runs of `size` hashes from each start: a row of BITS bits; one is set where over half of the hashes have it."""
+    out = np.empty((len(starts), BITS), bool)
+    ones = np.zeros(len(h) + 1, np.int32)
+    salt = np.arange(BITS // 64, dtype=U64) * U64(0xA0761D6478BD642F)
+    for b in range(BITS):
+        own = mix(h + salt[b // 64]) if b % 64 == 0 else own
+        np.cumsum((own >> U64(b % 64) & U64(1)).astype(np.uint8), out=ones[1:])
+        out[:, b] = 2 * (ones[starts + size] - ones[starts]) > size
+    return out
+
+
+def _blocks(bits: np.ndarray) -> np.ndarray:
+    """The values of the blocks of each row of bits."""
+    return bits.reshape(len(bits), BLOCKS, WIDTH) @ (1 << np.arange(WIDTH))
+
+
+_VARIANTS = np.array([sum(1 << b for b in bits) for r in range(NEAR + 1) for bits in combinations(range(WIDTH), r)])
 
 
 class Index:
@@ -83,20 +102,22 @@ class Index:
         self.sizes = sorted(items)
         self.items = {n: [i for i, _ in items[n]] for n in self.sizes}
         self.grams = {n: np.stack([g for _, g in items[n]]) for n in self.sizes}
-        self.prints = {n: simhash(self.grams[n]) for n in self.sizes}
-        width = 64 // BLOCKS
-        near = np.array([sum(1 << b for b in bits) for r in range(RADIUS // BLOCKS + 1) for bits in combinations(range(width), r)])
-        self.blocks = {}
+        self.prints, self.blocks, self.bags = {}, {}, {}
         for n in self.sizes:
-            lists = [defaultdict(list) for _ in range(BLOCKS)]
-            for i, p in enumerate(self.prints[n].tolist()):
-                for b in range(BLOCKS):
-                    for v in (near ^ (p >> width * b & (1 << width) - 1)).tolist():
-                        lists[b][v].append(i)
-            self.blocks[n] = [{v: np.array(x) for v, x in one.items()} for one in lists]
+            m = self.grams[n].shape[1]
+            bits = np.concatenate([simhashes(g, np.zeros(1, np.int64), m) for g in self.grams[n]])
+            self.prints[n] = np.packbits(bits, axis=1).view(U64)
+            near = _blocks(bits)[:, :, None] ^ _VARIANTS
+            self.blocks[n] = []
+            for b in range(BLOCKS):
+                key = near[:, b].ravel()
+                order = np.argsort(key, kind="stable")
+                self.blocks[n].append((key[order].astype(np.uint16), (order // len(_VARIANTS)).astype(np.int32)))
+            # Each item's distinct shingles with their counts.
+            self.bags[n] = [np.unique(g, return_counts=True) for g in self.grams[n]]
         # Which sizes a shingle of each length belongs to.
         self.long = self._places([n for n in self.sizes if n >= SHINGLE])
-        self.short = {n: np.unique(self.grams[n]) for n in self.sizes if n < SHINGLE}
+        self.short = {n: ascending(self.grams[n].ravel()) for n in self.sizes if n < SHINGLE}
         # Shingles of each size in order, with their items.
         self.postings = {}
         for n in self.sizes:
@@ -108,23 +129,24 @@ class Index:
         pairs = sorted({(g, n) for n in sizes for g in self.grams[n].ravel().tolist()})
         return np.array([g for g, _ in pairs], U64), np.array([n for _, n in pairs], np.int64)
 
-    def candidates(self, n: int, prints: np.ndarray):
-        """(window, item) whose fingerprints are within RADIUS, by the blocks they agree in."""
-        width = 64 // BLOCKS
-        rows, items = [], []
-        for b in range(BLOCKS):
-            value = (prints >> U64(width * b) & U64((1 << width) - 1)).astype(np.int64)
-            for v in np.unique(value).tolist():
-                if v in self.blocks[n][b]:
-                    r = np.flatnonzero(value == v)
-                    rows.append(np.repeat(r, len(self.blocks[n][b][v])))
-                    items.append(np.tile(self.blocks[n][b][v], len(r)))
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pair = np.unique(np.stack([np.concatenate(rows), np.concatenate(items)], 1), axis=0)
-        near = np.bitwise_count(prints[pair[:, 0]] ^ self.prints[n][pair[:, 1]]) <= RADIUS
-        return pair[near, 0], pair[near, 1]
-
+    def met(self, n: int, bits: np.ndarray) -> np.ndarray:
+        """Rows (window, item) that agree in AGREE blocks."""
+        pairs = []
+        for b, value in enumerate(_blocks(bits).T):
+            keys, items = self.blocks[n][b]
+            low, high = np.searchsorted(keys, value), np.searchsorted(keys, value, side="right")
+            size = high - low
+            own = np.repeat(np.arange(len(value)), size)
+            pairs.append(own * len(self.items[n]) + items[np.arange(int(size.sum())) + np.repeat(low - (np.cumsum(size) - size), size)])
+        pairs = np.sort(np.concatenate(pairs))
+        many = ascending(pairs[AGREE - 1 :][pairs[AGREE - 1 :] == pairs[: len(pairs) - AGREE + 1]])
+        return np.stack(np.divmod(many, len(self.items[n])), 1)
+
+    def candidates(self, n: int, bits: np.ndarray) -> np.ndarray:
+        """Rows (window, item) whose fingerprints are within RADIUS."""
+        pair = self.met(n, bits)
+        prints = np.packbits(bits, axis=1).view(U64)
+        return pair[np.bitwise_count(prints[pair[:, 0]] ^ self.prints[n][pair[:, 1]]).sum(axis=1) <= RADIUS]
 
     def sharing(self, n: int, bag: np.ndarray, threshold: float) -> list[int]:
         """The items of n words with which a bag may have a similarity of threshold, by the shingles in common."""
@@ -143,6 +165,31 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
+def slide(h: np.ndarray, starts: np.ndarray, size: int, bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarity of a bag of `size` hashes and the windows of h from each start, which ascend."""
+    values, wanted = bag
+    first = int(starts[0])
+    some = h[first : int(starts[-1]) + size]
+    own = np.minimum(np.searchsorted(values, some), len(values) - 1)
+    own[values[own] != some] = -1
+    own, room, common, out, low, high = own.tolist(), wanted.tolist(), 0, [], 0, 0
+    for s in (starts - first).tolist():
+        while high < s + size:  # room: how many more of a shingle would count
+            g = own[high]
+            if g >= 0:
+                room[g] -= 1
+                common += room[g] >= 0
+            high += 1
+        while low < s:
+            g = own[low]
+            if g >= 0:
+                common -= room[g] >= 0
+                room[g] += 1
+            low += 1
+        out.append(common / (2 * size - common))
+    return np.array(out)
+
+
 def search(index: Index, column: pa.Array, threshold: float):
     """(text number, item, similarity, first word, words) of the best window of each text and item."""
     h, at = hashed(column)
@@ -165,43 +212,50 @@ def search(index: Index, column: pa.Array, threshold: float):
             starts[n] = hit.tolist()
     for n, places in starts.items():
         k = min(n, SHINGLE)
-        hit = np.unique(places)
+        hit = ascending(np.array(places))
         doc = np.searchsorted(at, hit, side="right") - 1
         inside = hit + k <= at[doc + 1]
         hit, doc = hit[inside], doc[inside]
         # Texts shorter than the items, and not so short that the threshold is out of reach: one window each.
         length = at[doc + 1] - at[doc]
-        for d in np.unique(doc[(length < n) & (length - k + 1 >= threshold * (n - k + 1) - 1e-6)]).tolist():
+        for d in ascending(doc[(length < n) & (length - k + 1 >= threshold * (n - k + 1) - 1e-6)]).tolist():
             bag = grams[k][at[d] : at[d + 1] - k + 1]
             for j in index.sharing(n, bag, threshold):
                 s = weighted_jaccard(bag, index.grams[n][j])
                 if s >= threshold and s > best.get((d, index.items[n][j]), (0.0,))[0]:
                     best[d, index.items[n][j]] = (s, 0, int(at[d + 1] - at[d]))
-        # Windows of n words within the text that hold a shingle of an item of that size.
-        first = np.unique((hit[:, None] - np.arange(n - k + 1)).ravel())
-        first = first[first >= 0]
-        doc = np.searchsorted(at, first, side="right") - 1
-        first = first[first + n <= at[doc + 1]]
-        for i in range(0, len(first), 4096):
-            some = first[i : i + 4096]
-            bags = grams[k][some[:, None] + np.arange(n - k + 1)]
-            rows, items = index.candidates(n, simhash(bags))
-            for r, j in zip(rows.tolist(), items.tolist(), strict=True):
-                s = weighted_jaccard(bags[r], index.grams[n][j])
-                if s >= threshold:
-                    w = int(some[r])
-                    d = int(np.searchsorted(at, w, side="right")) - 1
-                    key = (d, index.items[n][j])
-                    if s > best.get(key, (0.0,))[0]:
-                        best[key] = (s, w - int(at[d]), n)
+        # Windows of n words within the text that hold a shingle of an item of that size: ranges of starts.
+        m = n - k + 1
+        low, high = np.maximum(hit - m + 1, at[doc]), np.minimum(hit, at[doc + 1] - n)
+        low, high, doc = (x[low <= high] for x in (low, high, doc))
+        if not len(low):
+            continue
+        new = np.concatenate(([True], low[1:] > np.maximum.accumulate(high)[:-1]))
+        ends = np.maximum.reduceat(high, np.flatnonzero(new)) + 1
+        runs = [(s, min(s + AT_ONCE, b), d) for a, b, d in zip(low[new].tolist(), ends.tolist(), doc[new].tolist(), strict=True) for s in range(a, b, AT_ONCE)]
+        while runs:
+            size = np.cumsum([b - a for a, b, _ in runs])
+            batch, runs = runs[: (i := max(1, int(np.searchsorted(size, AT_ONCE)))) ], runs[i:]
+            own = np.concatenate([np.arange(a, b) for a, b, _ in batch])
+            of = np.repeat([d for _, _, d in batch], [b - a for a, b, _ in batch])
+            gap = np.repeat(np.arange(len(batch)) * (m - 1), [b - a for a, b, _ in batch])
+            pair = index.candidates(n, simhashes(np.concatenate([grams[k][a : b - 1 + m] for a, b, _ in batch]), np.arange(len(own)) + gap, m))
+            key = of[pair[:, 0]] * len(index.items[n]) + pair[:, 1]
+            order = np.argsort(key, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else ():
+                j, d, at_ = int(pair[some[0], 1]), int(of[pair[some[0], 0]]), own[pair[some, 0]]
+                similar = slide(grams[k], at_, m, index.bags[n][j])
+                w = int(similar.argmax())
+                if similar[w] >= threshold and similar[w] > best.get((d, index.items[n][j]), (0.0,))[0]:
+                    best[d, index.items[n][j]] = (float(similar[w]), int(at_[w] - at[d]), n)
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
 def slices(benchmark: DataFrame, item_id: str, text: str) -> list[DataFrame]:
-    """The items in tables of at most BROADCAST bytes of text, as their size is counted, or one item."""
+    """The items in tables of at most BROADCAST bytes of text and ITEMS rows, which are counted; a longer item is alone."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = -(-2 * total // BROADCAST) if total > BROADCAST else 1
+    total, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n = max(-(-2 * total // BROADCAST), -(-2 * count // ITEMS)) if total > BROADCAST or count > ITEMS else 1
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 

@@ -2,8 +2,10 @@
 
 A line is its words joined by single spaces; lines without a word always stay. A line goes if an equal line, or one
 that a single inserted, deleted or changed character turns into it, occurs at an earlier place: a smaller doc_id,
-or the same and a smaller line number. Lines of fewer than MIN_EDIT characters must be equal. What occurs earlier
-is judged on the input, not on what is left.
+or the same and a smaller line number. A call's min_edit says from how many characters on an edit is allowed (16,
+where none is stated: one letter changes what a short line says); shorter lines must be equal. What occurs earlier is
+judged on the input, not on what is left. Lines count as equal if two independent 64-bit hashes of them agree, of
+which one is no polynomial; among 10^12 distinct lines the chance of one mistake is 10^-15.
 
 1. Chunks send the hash and first place of each distinct line, and the hashes of the line without each of PARTS
    equal parts. Owners of the hash space tell which lines occur earlier elsewhere, and which of the rests another
@@ -15,8 +17,9 @@ is judged on the input, not on what is left.
 3. The two lines of each such pair meet and their edit distance is verified.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes after all others. Rows with the same doc_id and
-line number are equally early, so repeated rows stay. A text that loses all lines becomes empty. An empty table
-gives an empty result. Other columns are kept as they are, whatever their names.
+line number are equally early, so repeated rows stay. A text that loses all lines becomes empty. A very long text is a
+chunk of its own. An empty table gives an empty result. Other columns are kept as they are, whatever their names; with
+counts, columns n_lines and n_removed of docs give way to the counts.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ from pyspark.sql import types as T
 
 from . import chunks as C
 from .shared import table
-from .words import _BASE, U64, flat, mix, powers, segment
+from .substring_dedup import starts_of
+from .words import _BASE, U64, ascending, flat, mix, powers, segment, span_keys
 
 MIN_EDIT, PARTS = 16, 4
 #: Bytes of text of a chunk: its characters, powers and deletions take some hundred bytes each.
@@ -52,6 +56,14 @@ def inverse_powers(n: int) -> np.ndarray:
     return _inverse
 
 
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys stand together, and where each group starts in it."""
+    order = np.argsort(keys[0])
+    if len(starts_of(keys[0][order])) != len(starts_of(*(k[order] for k in keys))):  # the first key alone doesn't tell them apart
+        order = np.lexsort(keys[::-1])
+    return order, starts_of(*(k[order] for k in keys))
+
+
 class Lines:
     """The lines of a batch's texts: all of them by text, and those with a word as code points with hashes."""
 
@@ -77,6 +89,8 @@ class Lines:
         line = np.searchsorted(self.starts, words.starts, side="right") - 1
         new = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         self.number = line[new]
+        # Identity of a line besides its polynomial.
+        self.own = span_keys(joined, at[new], at[np.append(new[1:], len(size))[: len(new)]] - 1, 1)
         chars = np.concatenate(([0], np.cumsum((joined & 0xC0) != 0x80)))
         self.text = np.frombuffer(joined.tobytes().decode().encode("utf-32-le"), np.uint32)
         self.s, self.e = chars[at[new]], chars[at[np.append(new[1:], len(size))[: len(new)]] - 1] if len(new) else chars[:0]
@@ -91,15 +105,22 @@ class Lines:
         doc = np.searchsorted(self.at, self.number, side="right") - 1
         self.doc_id = ids.fill_null(LAST).to_numpy()[doc]
         self.line = (self.number - self.at[doc]).astype(np.uint32)
-        order = np.lexsort((self.line, self.doc_id, self.hash))
-        fresh = np.concatenate(([True], self.hash[order][1:] != self.hash[order][:-1])) if len(order) else np.zeros(0, bool)
-        self.first = order[fresh]  # of each distinct line
+        order, at = groups(self.own, self.hash)
+        size = np.diff(np.append(at, len(order)))
+        names = ids.fill_null(LAST).to_numpy()
+        rank = np.searchsorted(np.sort(names), names)  # documents with one id are equally early
+        place = (rank[doc].astype(np.int64) << 32 | self.line)[order]
+        least = np.repeat(np.minimum.reduceat(place, at), size) if len(at) else place
+        own = np.flatnonzero(place == least)
+        number = np.repeat(np.arange(len(at)), size)
+        own = own[np.lexsort((order[own], number[own]))] if len(own) > len(at) else own
+        self.first = order[own[starts_of(number[own])]]  # of each distinct line
         self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(fresh) - 1
+        self.of[order] = number
 
-    def rests(self) -> tuple[np.ndarray, np.ndarray]:
+    def rests(self, min_edit: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct line, hash) of lines without each part, as partners of equal or greater and of lesser length have them."""
-        own = np.flatnonzero(self.size[self.first] >= MIN_EDIT - 1)
+        own = np.flatnonzero(self.size[self.first] >= min_edit - 1)
         lines = self.first[own]
         s, e, n = self.s[lines], self.e[lines], self.size[lines]
         inverse = inverse_powers(int(n.max(initial=0)) + 2)
@@ -144,18 +165,18 @@ def _bits(p: bytes, n: int, at: int = 0) -> np.ndarray:
     return np.unpackbits(np.frombuffer(p, np.uint8, -1, at), count=n).view(bool)
 
 
-def _offer(lines: Lines, n: int):
+def _offer(lines: Lines, n: int, min_edit: int):
     """What round 1 sends to each bucket: numbers of distinct lines, and rests by their owners."""
     h = lines.hash[lines.first]
     order, at = C.by_bucket(h, n)
-    owner, rest = lines.rests()
+    owner, rest = lines.rests(min_edit)
     order2, at2 = C.by_bucket(rest, n)
     return h, order, at, owner, rest, order2, at2
 
 
-def _first_answers(lines: Lines, got: dict[int, bytes], n: int):
+def _first_answers(lines: Lines, got: dict[int, bytes], n: int, min_edit: int):
     """Which distinct lines occur earlier elsewhere, and which share a rest."""
-    _, order, at, owner, _, order2, at2 = _offer(lines, n)
+    _, order, at, owner, _, order2, at2 = _offer(lines, n, min_edit)
     gone, shares = np.zeros(len(lines.first), bool), np.zeros(len(lines.first), bool)
     for k, p in got.items():
         mine, rests = order[at[k] : at[k + 1]], order2[at2[k] : at2[k + 1]]
@@ -164,12 +185,10 @@ def _first_answers(lines: Lines, got: dict[int, bytes], n: int):
     return gone, shares
 
 
-def _least_places(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Which entries have a smaller place under the same key."""
-    order = np.argsort(key)
-    k = key[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    size = np.diff(np.append(first, len(k)))
+def _least_places(key: np.ndarray, other: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which entries have a smaller place under the same two keys."""
+    order, first = groups(key, other)
+    size = np.diff(np.append(first, len(key)))
     least = np.repeat(np.minimum.reduceat(doc[order], first), size)
     line_ = np.where(doc[order] == least, line[order].astype(np.int64), LAST)
     low = np.repeat(np.minimum.reduceat(line_, first), size)
@@ -182,13 +201,15 @@ def _round_one(asked):
     parts = []
     for c, p in asked:
         m, r = np.frombuffer(p, np.uint32, 2).tolist()
-        parts.append((c, np.frombuffer(p, U64, m, 8), np.frombuffer(p, np.int64, m, 8 + 8 * m), np.frombuffer(p, np.uint32, m, 8 + 16 * m), np.frombuffer(p, np.uint32, 2 * r, 8 + 20 * m).reshape(2, r)))
-    later = _least_places(np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])) if any(len(x[1]) for x in parts) else np.zeros(0, bool)
+        parts.append((c, np.frombuffer(p, U64, 2 * m, 8).reshape(2, m), np.frombuffer(p, np.int64, m, 8 + 16 * m), np.frombuffer(p, np.uint32, m, 8 + 24 * m), np.frombuffer(p, np.uint32, 2 * r, 8 + 28 * m).reshape(2, r)))
+    hashes = np.concatenate([x[1] for x in parts], axis=1)
+    later = _least_places(hashes[0], hashes[1], np.concatenate([x[2] for x in parts]), np.concatenate([x[3] for x in parts])) if hashes.size else np.zeros(0, bool)
     keys = np.concatenate([x[4][0] for x in parts])
-    pairs = np.unique(keys.astype(U64) << U64(32) | np.concatenate([x[4][1] for x in parts]))
+    pairs = ascending(keys.astype(U64) << U64(32) | np.concatenate([x[4][1] for x in parts]))
     shared = C.repeated((pairs >> U64(32)).astype(np.uint32))
     at = 0
     for c, h, _, _, (key, _) in parts:
+        h = h[0]
         gone, hit = later[at : at + len(h)], C.among(key, shared)
         at += len(h)
         if gone.any() or hit.any():
@@ -272,8 +293,10 @@ def _pairs(got: dict[int, bytes]):
     return sorted(ask), sorted(wanted)
 
 
-def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines that occur earlier taken out of text; counts: and columns n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", text: str = "text", min_edit: int = MIN_EDIT) -> DataFrame:
+    """docs with the lines that occur earlier taken out of text; counts: and columns n_lines and n_removed. min_edit: characters from which on one edit is allowed."""
+    if counts:
+        docs = docs.drop("n_lines", "n_removed")
     names, ids, at = docs.columns, docs.columns.index(doc_id), docs.columns.index(text)
     rows = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)))
     packed = C.pack(rows, f"c{at}", CHUNK_BYTES)
@@ -283,11 +306,11 @@ def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", t
 
     def offer(batch, _, n):
         lines = read(batch)
-        h, order, a, owner, rest, order2, b = _offer(lines, n)
-        doc, line = lines.doc_id[lines.first], lines.line[lines.first]
+        h, order, a, owner, rest, order2, b = _offer(lines, n, min_edit)
+        doc, line, other = lines.doc_id[lines.first], lines.line[lines.first], lines.own[lines.first]
         for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)):
             mine, rests = order[a[k] : a[k + 1]], order2[b[k] : b[k + 1]]
-            yield int(k), np.array([len(mine), len(rests)], np.uint32).tobytes() + h[mine].tobytes() + doc[mine].tobytes() + line[mine].tobytes() + rest[rests].astype(np.uint32).tobytes() + h[owner[rests]].astype(np.uint32).tobytes()
+            yield int(k), np.array([len(mine), len(rests)], np.uint32).tobytes() + h[mine].tobytes() + other[mine].tobytes() + doc[mine].tobytes() + line[mine].tobytes() + rest[rests].astype(np.uint32).tobytes() + h[owner[rests]].astype(np.uint32).tobytes()
 
     first = C.answer(C.ask(packed, offer), _round_one, "lines")
 
@@ -295,13 +318,14 @@ def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", t
         if not got:
             return
         lines = read(batch)
-        gone, shares = _first_answers(lines, got, n)
-        own = np.flatnonzero(shares & ~gone & (lines.size[lines.first] >= MIN_EDIT - 1))
+        gone, shares = _first_answers(lines, got, n, min_edit)
+        own = np.flatnonzero(shares & ~gone & (lines.size[lines.first] >= min_edit - 1))
         line, place, key = lines.neighbourhood(own)
         order, a = C.by_bucket(key, n)
         for k in np.flatnonzero(np.diff(a)):
             mine = order[a[k] : a[k + 1]]
-            some, of = np.unique(line[mine], return_inverse=True)
+            some = ascending(line[mine])
+            of = np.searchsorted(some, line[mine])
             where = lines.first[some]
             yield int(k), b"".join((
                 np.array([len(mine), len(some)], np.uint32).tobytes(), key[mine].tobytes(), place[mine].tobytes(), of.astype(np.uint32).tobytes(),
@@ -317,10 +341,10 @@ def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", t
         ask, wanted = _pairs(got)
         sent = defaultdict(list)
         for i, h in ask:
-            if lines.size[lines.first[i]] >= MIN_EDIT:
+            if lines.size[lines.first[i]] >= min_edit:
                 sent[(h >> 32) * n >> 32].append((h, i, lines.string(i)))
         for i in wanted:
-            if lines.size[lines.first[i]] >= MIN_EDIT:
+            if lines.size[lines.first[i]] >= min_edit:
                 h = int(lines.hash[lines.first[i]])
                 sent[(h >> 32) * n >> 32].append((h, None, lines.string(i)))
         for k, x in sent.items():
@@ -333,7 +357,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", t
     def cut(batches):
         for _, batch, one, three in C.opened(batches):
             lines = read(batch)
-            gone, _ = _first_answers(lines, one, int(n_buckets))
+            gone, _ = _first_answers(lines, one, int(n_buckets), min_edit)
             for p in three.values():
                 gone[np.frombuffer(p, np.uint32)] = True
             first_ = np.zeros(len(lines.number), bool)
@@ -380,6 +404,6 @@ hits AS (SELECT DISTINCT a FROM pairs WHERE len(list_filter(range(0, greatest(le
 judged AS (SELECT m.doc_id, m.n, m.l, m.t <> '' AND ({{'d': m.doc_id, 'n': m.n}} > p.p OR m.t IN (SELECT a FROM hits)) AS gone FROM norm m LEFT JOIN places p USING (t))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY n) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
-FROM judged GROUP BY doc_id"""
+FROM judged GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
 QUERIES = {"op9_line_dedup": op9_line_dedup}
 ORACLES = {"op9_line_dedup": _SQL}

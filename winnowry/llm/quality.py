@@ -1,18 +1,24 @@
 """Quality rules: base limits, then robust multivariate outliers by minimum-covariance-determinant estimates.
 
-Statistics of each text (words, symbols, repeated lines and words) become a vector of FEATURES. For each language
-and source the estimate starts from medians and quartile ranges and takes concentration steps: the share SHARE of
-the vectors nearest by Mahalanobis distance gives the next mean and covariance, which makes the determinant
-smaller or leaves it. Texts farther than the CUTOFF quantile of chi-square are rejected.
+Statistics of each text (words, symbols, repeated lines and words) become a vector of FEATURES. Every group of one
+language and source has its own estimate: STARTS first ones (medians and quartile ranges, mean and covariance of all
+vectors, mean and covariance of the vectors between the quartiles in every feature) each take concentration steps, in
+which the share SHARE of the vectors nearest by Mahalanobis distance gives the next mean and covariance, until none
+moves any more (at most STEPS). Of the three the one of least determinant stands. Texts farther than the CUTOFF
+quantile of chi-square are rejected.
 
 Vectors are whole multiples of 1 / UNIT, so that sums are exact and results don't depend on how rows are dealt.
-A step is one aggregation: moments by group and by bin of distance (EDGE bins a factor of two), so the nearest
-share is a prefix of the bins and no group's rows ever meet in one task. The covariance gets FLOOR^2 added on its
-diagonal, for most texts have no symbol and no repeat at all and an estimate without width would reject the rest.
-Groups of fewer than LEAST texts are pooled by language, and languages likewise; a pool below LEAST rejects none.
+A step is one aggregation: moments by group and by bin of distance (EDGE bins a factor of two), which are dealt by
+group and bin; no group's rows ever meet in one task. The nearest share is a prefix of the bins, and of the bin where
+it ends all vectors count with the fraction that is missing, so it is exact. The covariance gets FLOOR^2 added on its
+diagonal, for most texts have no symbol and no repeat at all and an estimate without width would reject the rest, and
+PRIOR texts' worth of the covariance within all groups, so that a group too small for a covariance of its own (five
+texts or fewer have none) takes the common one around its own mean. A group of one text rejects none.
 
 Nulls: a null text has no words and fails the base; null language or source is a group of its own; a null doc_id is
-returned as null. Repeated rows count each. An empty table gives an empty result. All of it is DataFrame operations.
+returned as null. Repeated rows count each; vectors at one distance are in a bin and so are treated alike. A very
+long text is one row of arrays, some 100 bytes a word. An empty table gives an empty result. Other columns are
+ignored, whatever their names, and kept by keep_good(). All of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -27,8 +33,12 @@ from .shared import stash, table, without
 
 WHITE = r" \t\n\x0B\f\r"
 WINDOW = 5
-SHARE, STEPS, LEAST = 0.75, 6, 100
-UNIT, EDGE = 1024, 16
+SHARE, STARTS, STEPS = 0.75, 3, 12
+UNIT, EDGE = 1024, 64
+#: Texts' worth of the covariance within all groups that each group's own is drawn towards.
+PRIOR = 20
+#: Estimates that differ by less have settled.
+SETTLED = 1e-9
 #: Chance that a text of a normal population is rejected.
 CUTOFF = 1e-3
 #: Words and letters of an average text that each text's mean word length is drawn towards.
@@ -120,32 +130,46 @@ def features(stats: DataFrame) -> DataFrame:
     return stats.withColumn("base_failed", failed).select("*", *(F.when(~F.col("base_failed"), F.round(p * UNIT).cast("long")).alias(f"x{i}") for i, p in enumerate(parts)))
 
 
-def pools(rows: DataFrame) -> DataFrame:
-    """rows (those that pass the base) with pool: the language and source, the language, or all, whichever is large enough."""
-    name = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("="), c))
-    rows = rows.withColumns({"_l": name("lang"), "_s": name("source")})
-    fine = rows.groupBy("_l", "_s").count()
-    small = fine.where(F.col("count") < LEAST)
-    coarse = small.groupBy("_l").agg(F.sum("count").alias("of_lang"))
-    named = fine.join(coarse, "_l", "left").select(
-        "_l", "_s", F.when(F.col("count") >= LEAST, F.concat_ws("\n", "_l", "_s")).when(F.col("of_lang") >= LEAST, F.col("_l")).otherwise("").alias("pool")
-    )
-    return rows.join(stash(named, "pools"), ["_l", "_s"]).drop("_l", "_s")
+MEANS, ROOTS = [f"m{i}" for i in range(D)], [f"l{i}{j}" for i, j in PAIRS]
+SUMS = [f"s{i}" for i in range(D)] + [f"p{i}{j}" for i, j in PAIRS]
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and scales from quartile ranges, by pool: from exact counts of each value, which are few."""
+def _pool() -> Column:
+    """Language and source as one name."""
+    return F.concat(F.coalesce(F.length("lang"), F.lit(-1)), F.lit(":"), F.coalesce("lang", F.lit("")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+
+
+def _moments(condition: Column | None = None) -> list[Column]:
+    at = lambda c: F.when(condition, c) if condition is not None else c
+    x = [F.col(f"x{i}") for i in range(D)]
+    return [F.sum(at(x[i])).alias(f"s{i}") for i in range(D)] + [F.sum(at(x[i] * x[j])).alias(f"p{i}{j}") for i, j in PAIRS]
+
+
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """pool with q1_0.. (quartiles) and q2_0.. (medians): from exact counts of each value, which are few."""
     long = rows.select("pool", F.posexplode(F.array(*(f"x{i}" for i in range(D)))).alias("j", "v")).groupBy("pool", "j", "v").count()
+    long = stash(long, "counts")  # dealt by value; the running sums below see a row a value
     run = Window.partitionBy("pool", "j")
     long = long.select("pool", "j", "v", F.sum("count").over(run.orderBy("v")).alias("upto"), F.sum("count").over(run).alias("n"))
-    at = [F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("v"))) for q in (0.25, 0.5, 0.75)]
-    each = long.groupBy("pool", "j").agg(at[0].alias("q1"), at[1].alias("q2"), at[2].alias("q3"))
-    floor = F.array(*(F.lit(f * UNIT) for f in FLOOR))[F.col("j")]
-    each = each.select("pool", "j", "q2", F.sqrt(F.pow((F.col("q3") - F.col("q1")) / 1.349, 2) + F.pow(floor, 2)).alias("s"))
-    wide = each.groupBy("pool").agg(
-        *(F.max(F.when(F.col("j") == i, F.col("q2"))).cast("double").alias(f"m{i}") for i in range(D)), *(F.max(F.when(F.col("j") == i, F.col("s"))).alias(f"l{i}{i}") for i in range(D))
-    )
-    return wide.select("pool", *(f"m{i}" for i in range(D)), *((F.col(f"l{i}{j}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS))
+    at = {k: F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("v"))).alias(k) for k, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
+    each = long.groupBy("pool", "j").agg(*at.values())
+    return each.groupBy("pool").agg(*(F.max(F.when(F.col("j") == i, F.col(k))).alias(f"{k}_{i}") for k in at for i in range(D)))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The first estimates: pool, start, means and roots."""
+    quarts = stash(_quartiles(rows), "quartiles")
+    inside = F.lit(True)
+    for i in range(D):
+        inside = inside & F.col(f"x{i}").between(F.col(f"q1_{i}"), F.col(f"q3_{i}"))
+    both = rows.join(quarts, "pool")
+    every = both.groupBy("pool").agg(F.count("*").cast("double").alias("w"), *_moments(), F.count_if(inside).cast("double").alias("cw"), *(m.alias(f"c{n}") for m, n in zip(_moments(inside), SUMS, strict=True)))
+    every = stash(every, "moments")
+    core = every.select("pool", F.lit(2).alias("start"), F.col("cw").alias("w"), *(F.col(f"c{n}").alias(n) for n in SUMS)).where("w > 0")
+    plain = every.select("pool", F.lit(1).alias("start"), "w", *SUMS)
+    spread = [F.sqrt(F.pow((F.col(f"q3_{i}") - F.col(f"q1_{i}")) / 1.349, 2) + F.lit((FLOOR[i] * UNIT) ** 2)) for i in range(D)]
+    wide = quarts.select("pool", F.lit(0).alias("start"), *(F.col(f"q2_{i}").cast("double").alias(f"m{i}") for i in range(D)), *((spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS))
+    return stash(wide.unionByName(_roots(plain.unionByName(core), 1.0)), "estimate")
 
 
 def distance(rows: DataFrame) -> Column:
@@ -162,35 +186,58 @@ def distance(rows: DataFrame) -> Column:
     return total
 
 
-def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
-    """The estimate from the share of the vectors that is nearest by the estimate `now`."""
-    bin_ = F.floor(F.log2(distance(rows) + 1e-6) * EDGE).alias("bin")
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS]
-    bins = rows.join(now, "pool").select("pool", *(f"x{i}" for i in range(D)), bin_).groupBy("pool", "bin").agg(F.count("*").alias("n"), *sums)
-    run = Window.partitionBy("pool")
-    bins = bins.withColumns({"before": F.sum("n").over(run.orderBy("bin")) - F.col("n"), "all": F.sum("n").over(run)}).where(F.col("before") < F.col("all") * SHARE)
-    near = bins.groupBy("pool").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in (*(f"s{i}" for i in range(D)), *(f"p{i}{j}" for i, j in PAIRS))))
-    mean = near.select("pool", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(D)), *((F.col(f"p{i}{j}") / F.col("n")).alias(f"p{i}{j}") for i, j in PAIRS))
-    out = mean.select("pool", *(f"m{i}" for i in range(D)), *(((F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (F.lit((FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0))).alias(f"c{i}{j}") for i, j in PAIRS))
+def _roots(near: DataFrame, consistent: float) -> DataFrame:
+    """Means and the root of the covariance from weighted moments (w, SUMS) by pool and start."""
+    own = near.select("pool", "start", "w", *((F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in range(D)), *(F.col(f"p{i}{j}") / F.col("w") - F.col(f"s{i}") / F.col("w") * F.col(f"s{j}") / F.col("w") for i, j in PAIRS))
+    own = own.toDF("pool", "start", "w", *MEANS, *(f"c{i}{j}" for i, j in PAIRS))
+    common = own.groupBy("start").agg(*((F.sum(F.col("w") * F.col(f"c{i}{j}")) / F.sum("w")).alias(f"g{i}{j}") for i, j in PAIRS))
+    out = own.join(F.broadcast(common), "start")  # STARTS rows
     for i, j in PAIRS:  # Cholesky decomposition, row by row
-        rest = F.col(f"c{i}{j}")
+        rest = (F.col(f"c{i}{j}") * F.col("w") + F.col(f"g{i}{j}") * PRIOR) / (F.col("w") + PRIOR) * consistent + (F.lit((FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0))
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("pool", *(f"m{i}" for i in range(D)), *(f"l{i}{j}" for i, j in PAIRS))
+    return out.select("pool", "start", *MEANS, *ROOTS)
+
+
+def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """The estimates from the share of the vectors that is nearest by each of the estimates `now`."""
+    bin_ = F.floor(F.log2(distance(rows) + 1e-6) * EDGE).alias("bin")
+    bins = rows.join(now, "pool").select("pool", "start", *(f"x{i}" for i in range(D)), bin_).groupBy("pool", "start", "bin").agg(F.count("*").alias("n"), *_moments())
+    bins = stash(bins, "bins")  # dealt by bin; the running sum below sees a row a bin
+    run = Window.partitionBy("pool", "start")
+    bins = bins.withColumns({"before": F.sum("n").over(run.orderBy("bin")) - F.col("n"), "share": F.sum("n").over(run) * SHARE})
+    part = F.least(F.lit(1.0), (F.col("share") - F.col("before")) / F.col("n"))
+    near = bins.where("before < share").withColumn("f", part).groupBy("pool", "start").agg(F.sum(F.col("n") * F.col("f")).alias("w"), *(F.sum(F.col(c) * F.col("f")).alias(c) for c in SUMS))
+    return stash(_roots(near, CONSISTENT), "estimate")
+
+
+def _moved(now: DataFrame, before: DataFrame) -> float:
+    """The greatest change of any estimate's mean or root: one number."""
+    names = [*MEANS, *ROOTS]
+    both = now.join(before.toDF("pool", "start", *(f"_{n}" for n in names)), ["pool", "start"])
+    return both.agg(F.max(F.greatest(*(F.abs(F.col(n) - F.col(f"_{n}")) for n in names)))).first()[0] or 0.0
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """pool, mean and root of the covariance: of each group's settled estimates the one of least determinant."""
+    now = _starts(rows)
+    for _ in range(STEPS):
+        now, before = _step(rows, now), now
+        if _moved(now, before) < SETTLED * UNIT:
+            break
+    size = sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
+    best = now.groupBy("pool").agg(F.min_by(F.struct(*MEANS, *ROOTS), F.struct(F.round(size, 6), "start")).alias("e"))
+    return stash(best.select("pool", "e.*"), "estimate")
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """For each row its statistics, base_failed, distance (squared, null if it failed the base) and kept."""
-    stats = stash(features(statistics(docs, doc_id, text, lang, source)), "statistics")
-    passed = stash(pools(stats.where(~F.col("base_failed"))), "vectors")
-    enough = passed.select("pool", *(f"x{i}" for i in range(D)))
-    now = stash(_start(enough), "estimate")
-    for _ in range(STEPS):
-        now = stash(_step(enough, now), "estimate")
-    size = passed.groupBy("pool").count().where(F.col("count") >= LEAST).select("pool", F.lit(True).alias("large"))
-    judged = passed.join(now, "pool").withColumn("distance", distance(passed)).join(stash(size, "pool-sizes"), "pool", "left")
-    out = judged.withColumn("kept", ~(F.coalesce("large", F.lit(False)) & (F.col("distance") > LIMIT)))
+    stats = stash(features(statistics(docs, doc_id, text, lang, source)).withColumn("pool", _pool()), "statistics")
+    passed = stats.where(~F.col("base_failed"))
+    best = estimates(passed.select("pool", *(f"x{i}" for i in range(D))))
+    judged = passed.join(best, "pool").withColumn("distance", distance(passed))
+    out = judged.withColumn("kept", F.col("distance") <= LIMIT)
     columns = ["doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = stats.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return out.select(*columns, "distance", "kept").unionByName(failed)
@@ -222,32 +269,47 @@ rep AS (SELECT r, count(DISTINCT k + j) AS n FROM twice, range(0, {WINDOW}) t(j)
 stat AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM cut LEFT JOIN rep USING (r)),
 base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM stat),"""
-    named = f"""vec AS (SELECT *, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS g, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS h,
- round(ln((word_chars + {PRIOR_CHARS}) / (n_words + {PRIOR_WORDS})::DOUBLE) * {UNIT})::BIGINT AS x0, {", ".join(f"round(sqrt({c} / n_words::DOUBLE) * {UNIT})::BIGINT AS x{i + 1}" for i, c in enumerate(("n_symbols", "n_dup_lines", "n_repeat_words")))} FROM base WHERE NOT base_failed),
-fine AS (SELECT g, h, count(*) AS n FROM vec GROUP BY ALL), coarse AS (SELECT g, sum(n) AS m FROM fine WHERE n < {LEAST} GROUP BY g),
-own AS (SELECT g, h, CASE WHEN n >= {LEAST} THEN g || chr(10) || h WHEN m >= {LEAST} THEN g ELSE '' END AS pool FROM fine LEFT JOIN coarse USING (g)),
-v AS (SELECT vec.*, pool, count(*) OVER (PARTITION BY pool) AS size FROM vec JOIN own USING (g, h)),"""
+    named = f"""v AS (SELECT *, concat(coalesce(length(lang), -1), ':', coalesce(lang, ''), coalesce('=' || source, '-')) AS pool,
+ round(ln((word_chars + {PRIOR_CHARS}) / (n_words + {PRIOR_WORDS})::DOUBLE) * {UNIT})::BIGINT AS x0, {", ".join(f"round(sqrt({c} / n_words::DOUBLE) * {UNIT})::BIGINT AS x{i + 1}" for i, c in enumerate(("n_symbols", "n_dup_lines", "n_repeat_words")))} FROM base WHERE NOT base_failed),"""
     at = lambda i, q: f"list_sort(list(x{i}))[ceil(count(*) * {q})::BIGINT]"
-    start = ", ".join([f"{at(i, 0.5)}::DOUBLE AS m{i}" for i in range(D)] + [(f"sqrt(pow(({at(i, 0.75)} - {at(i, 0.25)}) / 1.349, 2) + pow({FLOOR[i] * UNIT}, 2))" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i, j in PAIRS])
-    steps = [f"e0 AS MATERIALIZED (SELECT pool, {start} FROM v GROUP BY pool)"]
+    quarts = ", ".join(f"{at(i, q)} AS q{k}_{i}" for i in range(D) for k, q in ((1, 0.25), (2, 0.5), (3, 0.75)))
+    xs = ", ".join(f"x{i}" for i in range(D))
+    sums = ", ".join([f"sum(x{i}) AS s{i}" for i in range(D)] + [f"sum(x{i} * x{j}) AS p{i}{j}" for i, j in PAIRS])
+    inside = " AND ".join(f"x{i} BETWEEN q1_{i} AND q3_{i}" for i in range(D))
+    means = ", ".join(MEANS)
+
+    def roots(source: str, name: str, consistent: float) -> str:
+        """Means and roots from weighted moments."""
+        own = ", ".join([f"s{i} / w AS m{i}" for i in range(D)] + [f"p{i}{j} / w - s{i} / w * s{j} / w AS c{i}{j}" for i, j in PAIRS])
+        common = ", ".join(f"sum(w * c{i}{j}) / sum(w) AS g{i}{j}" for i, j in PAIRS)
+        chol = []
+        for i, j in PAIRS:
+            rest = f"((c{i}{j} * w + g{i}{j} * {PRIOR}) / (w + {PRIOR}) * {consistent!r}" + (f" + {(FLOOR[i] * UNIT) ** 2!r})" if i == j else ")") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            chol.append((f"sqrt({rest})" if i == j else f"({rest}) / l{j}{j}") + f" AS l{i}{j}")
+        return f"""own{name} AS (SELECT pool, start, w, {own} FROM ({source})), all{name} AS (SELECT start, {common} FROM own{name} GROUP BY start),
+r{name} AS (SELECT pool, start, {means}, {", ".join(chol)} FROM own{name} JOIN all{name} USING (start))"""
+
+    spread = ", ".join((f"sqrt(pow((q3_{i} - q1_{i}) / 1.349::DOUBLE, 2) + {(FLOOR[i] * UNIT) ** 2!r})" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i, j in PAIRS)
+    first = f"SELECT pool, 1 AS start, count(*)::DOUBLE AS w, {sums} FROM v GROUP BY pool UNION ALL SELECT pool, 2, count(*)::DOUBLE, {sums} FROM v JOIN quarts USING (pool) WHERE {inside} GROUP BY pool"
+    steps = [
+        f"quarts AS MATERIALIZED (SELECT pool, {quarts} FROM v GROUP BY pool)",
+        roots(first, "s", 1.0),
+        f"e0 AS MATERIALIZED (SELECT pool, 0 AS start, {', '.join(f'q2_{i}::DOUBLE AS m{i}' for i in range(D))}, {spread} FROM quarts UNION ALL SELECT pool, start, {means}, {', '.join(ROOTS)} FROM rs)",
+    ]
     near = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{j} * y{j}" for j in range(i)) + f") / l{i}{i} AS y{i}" for i in range(D))
     square = " + ".join(f"y{i} * y{i}" for i in range(D))
     for k in range(STEPS):
-        roots = {}
-        for i, j in PAIRS:
-            c = f"((p{i}{j} - m{i} * m{j}) * {CONSISTENT}" + (f" + {(FLOOR[i] * UNIT) ** 2})" if i == j else ")")
-            rest = c + "".join(f" - l{i}{q} * l{j}{q}" for q in range(j))
-            roots[i, j] = (f"sqrt({rest})" if i == j else f"({rest}) / l{j}{j}") + f" AS l{i}{j}"
-        sums = ", ".join([f"sum(x{i}) / count(*)::DOUBLE AS m{i}" for i in range(D)] + [f"sum(x{i} * x{j}) / count(*)::DOUBLE AS p{i}{j}" for i, j in PAIRS])
-        steps.append(
-            f"""d{k} AS (SELECT v.pool, {", ".join(f"x{i}" for i in range(D))}, {near}, floor(log2({square} + 1e-6) * {EDGE}) AS bin FROM v JOIN e{k} USING (pool)),
-o{k} AS (SELECT *, count(*) OVER (PARTITION BY pool ORDER BY bin RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY pool, bin) AS before, count(*) OVER (PARTITION BY pool) AS n FROM d{k}),
-s{k} AS (SELECT pool, {sums} FROM o{k} WHERE before < n * {SHARE} GROUP BY pool),
-e{k + 1} AS MATERIALIZED (SELECT pool, {", ".join(f"m{i}" for i in range(D))}, {", ".join(roots[p] for p in PAIRS)} FROM s{k})"""
-        )
+        parts = ", ".join(f"sum({c} * f) AS {c}" for c in SUMS)
+        steps.append(f"""d{k} AS (SELECT pool, start, {xs}, {near}, floor(log2({square} + 1e-6) * {EDGE}) AS bin FROM v JOIN e{k} USING (pool)),
+b{k} AS (SELECT pool, start, bin, count(*) AS n, {sums} FROM d{k} GROUP BY ALL),
+o{k} AS (SELECT *, sum(n) OVER (PARTITION BY pool, start ORDER BY bin) - n AS before, sum(n) OVER (PARTITION BY pool, start) * {SHARE}::DOUBLE AS share FROM b{k}),
+n{k} AS (SELECT *, least(1.0::DOUBLE, (share - before) / n) AS f FROM o{k} WHERE before < share),
+{roots(f"SELECT pool, start, sum(n * f) AS w, {parts} FROM n{k} GROUP BY pool, start", str(k), CONSISTENT)},
+e{k + 1} AS MATERIALIZED (SELECT * FROM r{k})""")
     columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
-    last = f"far AS (SELECT v.*, {near}, {square} AS far FROM v JOIN e{STEPS} USING (pool))"
-    return f"WITH {stats}\n{named}\n" + ",\n".join(steps) + f",\n{last}\nSELECT {columns}, NOT (size >= {LEAST} AND far > {LIMIT}) AS kept FROM far UNION ALL SELECT {columns}, false FROM base WHERE base_failed"
+    size = " + ".join(f"ln(l{i}{i})" for i in range(D))
+    last = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY round({size}, 6), start) AS turn FROM e{STEPS}) WHERE turn = 1),\nfar AS (SELECT v.*, {near}, {square} AS far FROM v JOIN best USING (pool))"
+    return f"WITH {stats}\n{named}\n" + ",\n".join(steps) + f",\n{last}\nSELECT {columns}, far <= {LIMIT!r} AS kept FROM far UNION ALL SELECT {columns}, false FROM base WHERE base_failed"
 
 
 ORACLES = {"op1_quality_rules": _sql()}

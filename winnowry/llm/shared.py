@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set and there is one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="winnowry-"))
     return sc.getCheckpointDir()
 

@@ -6,13 +6,9 @@
    node has over three neighbours there), so no group makes more than one edge a member and key.
 4. Components of these edges are the groups; the least doc_id names each.
 
-A text may have several fingerprints, each of other hashes: texts are then linked if their fingerprints of any one
-number are. Two texts of similarity J are missed only if every number differs in over 3 bits, so more of them bring
-links down to lower similarities, while unlike texts stay apart.
-
 Nulls: a null text has no words, fingerprint zero; a null doc_id never names a component unless all of it are
-null. Repeated rows are all returned. An empty table gives an empty result. Other columns are ignored here and
-kept by keep_one().
+null. Repeated rows are all returned. A very long text is read in one piece. An empty table gives an empty result.
+Other columns are ignored here, whatever their names, and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -28,35 +24,31 @@ from .components import components
 from .golay import keys
 from .minhash import groups, shingle_hashes
 from .shared import stash, table, width, without
-from .words import U64, flat, mix
+from .words import U64, flat
 
 RADIUS = 3
-#: Fingerprints of a text where looser copies are to be linked without a check of their similarity.
-PRINTS = 6
 _BATCH = 1 << 20
 
 
-def shingle_prints(column: pa.Array, shingle: int, prints: int = 1) -> np.ndarray:
-    """The fingerprints of each text of a column, a row of `prints` a text."""
+def shingle_prints(column: pa.Array, shingle: int) -> np.ndarray:
+    """The fingerprint of each text of a column."""
     buf, offsets = flat(column)
-    out = np.zeros((len(column), prints), U64)
+    out = np.zeros(len(column), U64)
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _BATCH, side="right")) - 1)
-        out[first:last] = _prints(buf[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle, prints)
+        out[first:last] = _prints(buf[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle)
         first = last
     return out
 
 
-def _prints(buf: np.ndarray, offsets: np.ndarray, shingle: int, prints: int) -> np.ndarray:
+def _prints(buf: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     h, own, n = shingle_hashes(buf, offsets, shingle)
     many = np.bincount(own, minlength=n)
     has = np.flatnonzero(many)
     first = np.searchsorted(own, has)
-    out = np.zeros((n, prints), U64)
-    for number in range(prints):
-        ones = bit_counts(mix(h ^ U64(number)) if number else h, first)
-        out[has, number] = np.packbits(2 * ones > many[has][:, None], axis=1).view(">u8").ravel()
+    out = np.zeros(n, U64)
+    out[has] = np.packbits(2 * bit_counts(h, first) > many[has][:, None], axis=1).view(">u8").ravel()
     return out
 
 
@@ -72,19 +64,18 @@ def bit_counts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", prints: int = 1) -> DataFrame:
-    """docs with a column fingerprint (long, the 64 bits) and others (array of long), the fingerprints after the first."""
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataFrame:
+    """docs with a column fingerprint (long, the 64 bits); a column of docs of that name gives way."""
+    docs = docs.drop("fingerprint")
     at = docs.columns.index(text)
     rows = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)))
-    schema = T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType()), T.StructField("others", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])
 
     def printed(batches):
         for b in batches:
-            got = shingle_prints(b.column(at), shingle, prints).view(np.int64)
-            rest = pa.ListArray.from_arrays(np.arange(len(got) + 1, dtype=np.int32) * (prints - 1), pa.array(got[:, 1:].ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.ascontiguousarray(got[:, 0])), rest], names=[*b.schema.names, "fp", "others"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shingle_prints(b.column(at), shingle).view(np.int64))], names=[*b.schema.names, "fp"])
 
-    return rows.mapInArrow(printed, schema).toDF(*docs.columns, "fingerprint", "others")
+    return rows.mapInArrow(printed, schema).toDF(*docs.columns, "fingerprint")
 
 
 def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -103,20 +94,15 @@ def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints (column fp) that join the same components as all links do.
-
-    With a column number, fingerprints of different numbers share no key.
-    """
+    """Edges (a, b) of distinct fingerprints (column fp) that join the same components as all links do."""
     n = width(prints.sparkSession)
-    number = F.col("number") if "number" in prints.columns else F.lit(0)
 
     def keyed(batches):
         for b in batches:
-            fp, own_space = b.column(0).to_numpy().view(U64), mix(b.column(1).to_numpy().astype(U64))
+            fp = b.column(0).to_numpy().view(U64)
             for i in range(0, len(fp), 1 << 15):
                 some = fp[i : i + (1 << 15)]
                 owner, key = keys(some)
-                key ^= own_space[i : i + (1 << 15)][owner]
                 order, at = C.by_bucket(key, n)
                 low, own = key.astype(np.uint32)[order], some[owner][order]
                 used = np.flatnonzero(np.diff(at))
@@ -146,32 +132,15 @@ def links(prints: DataFrame) -> DataFrame:
             if len(e):
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    return prints.select("fp", number.cast("int")).mapInArrow(keyed, "bucket int, payload binary").repartitionById(n, F.col("bucket")).mapInArrow(verified, "a long, b long")
+    return prints.select("fp").mapInArrow(keyed, "bucket int, payload binary").repartitionById(n, F.col("bucket")).mapInArrow(verified, "a long, b long")
 
 
-def _links_of_any(own: DataFrame) -> DataFrame:
-    """Edges of first fingerprints (fp) whose texts are linked by any of their fingerprints (fp and others).
-
-    The least first fingerprint that has another stands for it: it is joined to all that have it, and to those of the
-    fingerprints linked to that other.
-    """
-    rest = stash(own.select("fp", F.posexplode("others").alias("number", "p")).select("fp", F.expr("number + 1").alias("number"), "p").distinct(), "others")
-    heads = stash(rest.groupBy("number", "p").agg(F.min("fp").alias("head")), "heads")
-    first = own.select(F.lit(0).alias("number"), F.col("fp").alias("p"), F.col("fp").alias("head")).distinct()
-    heads_all = first.unionByName(heads)
-    near = stash(links(heads_all.select(F.col("p").alias("fp"), "number")).distinct(), "links")
-    of = heads_all.select("p", "head").distinct()
-    linked = near.join(of.toDF("a", "to_a"), "a").join(of.toDF("b", "to_b"), "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
-    same = rest.join(heads, ["number", "p"]).where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    return linked.unionByName(same).where("a <> b").distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text", prints: int = 1) -> DataFrame:
-    """For each row doc_id, fingerprint (16 lowercase hex digits, the first) and component_id, the least doc_id that links reach."""
-    printed = fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle, prints=prints)
-    own = stash(printed.select("doc_id", F.col("fingerprint").alias("fp"), "others"), "prints")
+def near_duplicates(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row doc_id, fingerprint (16 lowercase hex digits) and component_id, the least doc_id that links reach."""
+    printed = fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle)
+    own = stash(printed.select("doc_id", F.col("fingerprint").alias("fp")), "prints")
     least = stash(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    root = components(links(least) if prints == 1 else _links_of_any(own))
+    root = components(links(least))
     of = least.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stash(of.join(named, "root").select("fp", "component_id"), "named")

@@ -3,12 +3,13 @@
 1. Every text is cut into words. Non-overlapping blocks of (window + 1) // 2 words are the index; every rolling
    window of that size is a probe. A repeat of `window` words holds a whole block of its first occurrence, so
    the other occurrence probes that block.
-2. Hits extend to whole windows: windows of `window` words around a hit are matched by their 64-bit hashes, each
-   against the smallest doc_id that has it. The union of the windows that match are the maximal repeats.
+2. Hits extend to whole windows: windows of `window` words around a hit are matched, each against the smallest
+   doc_id that has it. The union of the windows that match are the maximal repeats.
 
 Blocks and probes travel as 32-bit values inside buckets of the hash space (chunks.py), so the index holds no
 document twice in one task and a hot passage costs one entry a chunk. A probe's false hit only adds a window to
-step 2, which decides.
+step 2, which decides. There a chunk names each distinct window once, with the least of its own doc_ids, by two
+independent 64-bit hashes of the words; of 10^13 windows the chance that any two unlike ones agree in both is 10^-13.
 
 Nulls: a null text has no words; a null doc_id counts as larger than any other and is returned as null. Repeated
 rows with one doc_id don't count as earlier than each other. An empty table gives an empty result. Other columns
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .shared import table
-from .words import covered, flat, runs, segment, span_hashes, windows
+from .words import covered, flat, runs, segment, span_keys, windows
 
 LAST = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:long,end:long>>"
@@ -33,7 +34,35 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, spans arr
 def _read(batch: pa.RecordBatch):
     buf, offsets = flat(batch.column(1))
     words = segment(buf, offsets)
-    return buf, words, span_hashes(buf, words.starts, words.ends)
+    return buf, words, span_keys(buf, words.starts, words.ends)
+
+
+class Found:
+    """The windows of a batch that hold a block hit, and the distinct ones: two hashes and the least doc_id of each."""
+
+    def __init__(self, batch: pa.RecordBatch, size: int, block: int, hits: dict[int, bytes], n: int):
+        buf, words, hashes = _read(batch)
+        self.start = _candidates(words, hashes, size, block, hits, n)
+        h = windows(hashes, size)[self.start]
+        other = windows(span_keys(buf, words.starts, words.ends, 1), size)[self.start]
+        self.doc = batch.column(0).fill_null(LAST).to_numpy()[np.searchsorted(words.offsets, self.start, side="right") - 1]
+        order = np.argsort(h)
+        if len(h) and ((h[order][1:] == h[order][:-1]) & (other[order][1:] != other[order][:-1])).any():
+            order = np.lexsort((other, h))
+        first = starts_of(h[order], other[order])
+        self.h, self.other = h[order][first], other[order][first]
+        self.least = np.minimum.reduceat(self.doc[order], first) if len(first) else self.doc[:0]
+        self.of = np.empty(len(h), np.int64)  # number of each window's distinct one
+        self.of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        self.order, self.at = C.by_bucket(self.h, n)
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
 
 
 def _candidates(words, hashes, size, block, hits: dict[int, bytes], n: int) -> np.ndarray:
@@ -87,46 +116,44 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc_id: str = "doc_id",
     def extend(batch, got, n):
         if not got:
             return
-        _, words, hashes = _read(batch)
-        found = _candidates(words, hashes, window, block, got, n)
-        h = windows(hashes, window)[found]
-        doc = np.searchsorted(words.offsets, found, side="right") - 1
-        ids = batch.column(0).fill_null(LAST).to_numpy()
-        order, at = C.by_bucket(h, n)
-        for k in np.flatnonzero(np.diff(at)):
-            mine = order[at[k] : at[k + 1]]
-            docs_, of = np.unique(doc[mine], return_inverse=True)
-            yield int(k), np.array([len(mine), len(docs_)], np.uint64).tobytes() + h[mine].tobytes() + ids[docs_].tobytes() + of.astype(np.uint32).tobytes() + found[mine].astype(np.uint32).tobytes()
+        found = Found(batch, window, block, got, n)
+        for k in np.flatnonzero(np.diff(found.at)):
+            mine = found.order[found.at[k] : found.at[k + 1]]
+            yield int(k), found.h[mine].tobytes() + found.other[mine].tobytes() + found.least[mine].tobytes()
 
     def later(asked):
-        hashes, ids, places = [], [], []
-        for _, p in asked:
-            m, d = np.frombuffer(p, np.uint64, 2).astype(int)
-            hashes.append(np.frombuffer(p, np.uint64, m, 16))
-            of = np.frombuffer(p, np.uint32, m, 16 + 8 * (m + d))
-            ids.append(np.frombuffer(p, np.int64, d, 16 + 8 * m)[of])
-            places.append(np.frombuffer(p, np.uint32, m, 16 + 8 * (m + d) + 4 * m))
-        h, i = np.concatenate(hashes), np.concatenate(ids)
+        """Which of the windows that a chunk names start in a smaller doc_id than its own."""
+        sent = [np.frombuffer(p, np.uint64).reshape(3, -1) for _, p in asked]
+        h, other, least = np.concatenate(sent, axis=1)
         order = np.argsort(h)
-        s = h[order]
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        least = np.minimum.reduceat(i[order], first)
+        if ((h[order][1:] == h[order][:-1]) & (other[order][1:] != other[order][:-1])).any():
+            order = np.lexsort((other, h))
+        first = starts_of(h[order], other[order])
+        least = least.view(np.int64)
         gone = np.empty(len(h), bool)
-        gone[order] = i[order] > np.repeat(least, np.diff(np.append(first, len(s))))
-        at = np.concatenate(([0], np.cumsum([len(x) for x in places])))
-        for j, (c, _) in enumerate(asked):
-            mine = places[j][gone[at[j] : at[j + 1]]]
-            if len(mine):
-                yield c, mine.tobytes()
+        gone[order] = least[order] > np.repeat(np.minimum.reduceat(least[order], first), np.diff(np.append(first, len(h))))
+        at = 0
+        for (c, _), x in zip(asked, sent, strict=True):
+            mine = gone[at : at + x.shape[1]]
+            at += x.shape[1]
+            if mine.any():
+                yield c, np.packbits(mine).tobytes()
 
     gone = C.answer(C.ask(packed, extend, hit), later, "repeats")
 
     def cut(batches):
-        for _, batch, got in C.opened(batches):
+        for _, batch, hits_, got in C.opened(batches):
             buf, offsets = flat(batch.column(1))
             words = segment(buf, offsets)
             n = len(words.starts)
-            start = np.concatenate([np.frombuffer(p, np.uint32) for p in got.values()]).astype(np.int64) if got else np.zeros(0, np.int64)
+            start = np.zeros(0, np.int64)
+            if hits_:
+                found = Found(batch, window, block, hits_, buckets)
+                earlier = np.zeros(len(found.h), bool)
+                for k, p in got.items():
+                    mine = found.order[found.at[k] : found.at[k + 1]]
+                    earlier[mine[np.unpackbits(np.frombuffer(p, np.uint8), count=len(mine)).view(bool)]] = True
+                start = found.start[earlier[found.of] | (found.doc > found.least[found.of])]
             drop = covered(n, start, start + window)
             first, last = runs_by_text(drop, words.offsets)
             doc = np.searchsorted(words.offsets, first, side="right") - 1
@@ -142,7 +169,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc_id: str = "doc_id",
             spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(last - base, pa.int64())], names=["start", "end"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), spans], names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
-    return C.joined(packed, gone).mapInArrow(cut, SCHEMA)
+    buckets = C.width(docs.sparkSession)
+    return C.joined(packed, hit, gone).mapInArrow(cut, SCHEMA)
 
 
 def runs_by_text(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

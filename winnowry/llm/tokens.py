@@ -14,7 +14,8 @@ import os
 
 import numpy as np
 
-from .words import U64, distinct, mix, span_hashes
+from .words import U64, distinct, eights, ends_of, mix
+from .xxh64 import xxh64
 
 #: Pieces that a worker remembers; beyond it the memory starts anew, which costs time only.
 REMEMBERED = 1 << 20
@@ -68,26 +69,17 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, spaces: bool) -> tuple[np.ndarr
     return starts, ends
 
 
-def _eights(buf: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place of buf on, as one number; buf has seven bytes more."""
-    return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
-
-
 class Pieces:
     """Spans of a buffer: their lengths, first and last eight bytes (all there is of up to 16 bytes) and hashes."""
 
     def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         self.starts, self.ends, self.n = starts, ends, ends - starts
-        self.buf = np.concatenate((buf, np.zeros(8, np.uint8)))
-        eights = _eights(self.buf)
-        short = np.minimum(self.n, 8)
-        self.a = eights[starts] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - (short << 3).astype(U64)))
-        self.b = eights[ends - short]
-        self.b[self.n < 8] = 0
+        self.buf = buf
+        self.a, self.b = ends_of(eights(buf), starts, self.n)
         self.h = mix(self.a * U64(0x9E3779B97F4A7C15) + (self.b ^ (self.b >> U64(29))) * U64(0xD6E8FEB86659FD93) + self.n.astype(U64))
         long = np.flatnonzero(self.n > 16)
         if len(long):
-            self.h[long] = mix(self.h[long] ^ span_hashes(buf, starts[long], ends[long]))
+            self.h[long] = mix(xxh64(buf, starts[long], ends[long]))
 
     def bytes_of(self, some: np.ndarray) -> np.ndarray:
         n = self.n[some]

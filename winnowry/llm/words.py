@@ -48,6 +48,21 @@ def ascending(values: np.ndarray) -> np.ndarray:
     return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on, as one little-endian number, with zeros after the end. Nothing is copied but buf."""
+    buf = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+
+
+def ends_of(word: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last eight bytes of spans of n bytes: all there is of up to 16 bytes. A span of fewer than eight has no last ones."""
+    short = np.minimum(n, 8)
+    a = word[starts] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - (short << 3).astype(U64)))
+    b = word[starts + n - short]
+    b[n < 8] = 0
+    return a, b
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer: every input bit reaches every output bit."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -78,6 +93,19 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: in
     return mix(out)
 
 
+def span_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each of the non-empty spans; other seeds give independent ones. Not a polynomial: spans of over 16 bytes go by XXH64."""
+    from .xxh64 import xxh64
+
+    n = ends - starts
+    a, b = ends_of(eights(buf), starts, n)
+    out = mix(mix(a + mix(n.astype(U64) + U64(seed) * _BASE)) ^ (b * _STEP + U64(seed)))
+    long = np.flatnonzero(n > 16)
+    if len(long):
+        out[long] = xxh64(buf, starts[long], ends[long], seed)
+    return out
+
+
 @dataclass
 class Words:
     """Words of all texts: byte spans, and the range of words of each text."""

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
+
+from .words import eights
 
 U64 = np.uint64
+#: Spans of so many bytes go to the library one at a time.
+LONG = 1 << 12
 # The primes that the XXH64 specification fixes.
 P1, P2, P3, P4, P5 = (U64(int(x, 16)) for x in ("9E3779B185EBCA87", "C2B2AE3D27D4EB4F", "165667B19E3779F9", "85EBCA77C2B2AE63", "27D4EB2F165667C5"))
 
@@ -20,13 +25,12 @@ def _round(acc, word):
 def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42) -> np.ndarray:
     size = ends - starts
     at = starts.astype(np.int64)
-    word = np.concatenate((buf, np.zeros(8, np.uint8))).astype(U64)  # little-endian 8 bytes from each place
-    for j in (1, 2, 4):
-        word = word[:-j] | word[j:] << U64(8 * j)
+    word = eights(buf)
+    alone = np.flatnonzero(size >= LONG)
     s = U64(seed)
     with np.errstate(over="ignore"):
         h = np.full(len(at), s + P5)
-        long = np.flatnonzero(size >= 32)
+        long = np.flatnonzero((size >= 32) & (size < LONG))
         if len(long):
             lanes = np.tile(np.array([s + P1 + P2, s + P2, s, s - P1], U64)[:, None], (1, len(long)))
             left, place, own = size[long] // 32, at[long].copy(), np.arange(len(long))
@@ -43,6 +47,7 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42)
             at[long] = place
         h += size.astype(U64)
         rest = ends - at
+        rest[alone] = 0
         for _ in range(3):
             own = np.flatnonzero(rest >= 8)
             if not len(own):
@@ -63,4 +68,7 @@ def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 42)
             rest[own] -= 1
         h = (h ^ h >> U64(33)) * P2
         h = (h ^ h >> U64(29)) * P3
-        return h ^ h >> U64(32)
+        h = h ^ h >> U64(32)
+    for i in alone.tolist():
+        h[i] = xxhash.xxh64_intdigest(memoryview(buf[starts[i] : ends[i]]), seed)
+    return h
