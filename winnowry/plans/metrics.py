@@ -232,7 +232,7 @@ ORACLES = {
     + ", ".join(f"max(CASE WHEN engine = {i} THEN round(f1, 6) END) AS engine_{i}" for i in range(3)) + " FROM p GROUP BY source",
     "baseline_join": f"WITH {_COUNTS}, s AS (SELECT engine, source, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY ALL), p AS (SELECT *, {_PRF} FROM s) SELECT a.source, 'e' || a.engine AS engine, round(a.f1, 6) AS f1, round(100 * (1 - a.f1 / nullif(b.f1, 0)), 4) AS drop FROM p a JOIN p b ON a.source = b.source AND b.engine = 0",
     "confusion": f"SELECT lang, {_sql_pred(ENGINES[0])} AS pred, count(*) AS n FROM documents GROUP BY ALL",
-    "skill_set_counts": """WITH d AS (SELECT doc_id, list_distinct(string_split(left(text, 400), ' ')) AS w FROM documents)
+    "skill_set_counts": """WITH d AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents)
 SELECT a.doc_id, len(list_intersect(a.w, b.w))::BIGINT AS tp, len(b.w) - len(list_intersect(a.w, b.w)) AS fp, len(a.w) - len(list_intersect(a.w, b.w)) AS fn FROM d a JOIN d b ON b.doc_id + 1 = a.doc_id""",
     "vote": "WITH p AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS r, {_sql_pred(e)} AS v FROM documents" for i, e in enumerate(ENGINES)) + """), g AS (SELECT doc_id, v, count(*) AS votes, min(r) AS first FROM p WHERE v IS NOT NULL GROUP BY ALL)
 SELECT doc_id, v AS value, votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first, v) AS n FROM g) WHERE n = 1""",
@@ -242,7 +242,7 @@ SELECT doc_id, v AS value, votes FROM (SELECT *, row_number() OVER (PARTITION BY
     "heading_coverage": "SELECT line, count(*) AS count FROM (SELECT string_split(text, chr(10))[1] AS line FROM documents) WHERE length(line) <= 30 GROUP BY line ORDER BY count DESC, line LIMIT 10",
     "summary_stats": """SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS high, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, round(quantile_cont(value, 0.5), 6) AS median,
  round(list_sort(list(value))[(count(value) // 2)::INT + 1], 6) AS upper_median, count(DISTINCT user_id) AS users FROM events GROUP BY event_type""",
-    "bootstrap_mean": f"""WITH d AS (SELECT source, lang, n_chars::DOUBLE AS v FROM documents WHERE doc_id % 13 <> 0), s AS (SELECT lang, source, sum(v) AS s, count(*) AS n FROM d GROUP BY ALL),
+    "bootstrap_mean": f"""WITH d AS (SELECT source, lang, n_chars::DOUBLE AS v FROM documents), s AS (SELECT lang, source, sum(v) AS s, count(*) AS n FROM d GROUP BY ALL),
 m AS (SELECT s.lang, w.boot, sum(s.s * w.times) / sum(s.n * w.times) AS m FROM s JOIN {_draws(_CASES.format("source", "d"))} w ON w.c = s.source GROUP BY ALL)
 SELECT lang, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY lang""",
     "paired_bootstrap_drop": f"""WITH {_COUNTS}, s AS (SELECT c.engine, w.boot, sum(tp * w.times) AS tp, sum(fp * w.times) AS fp, sum(fn * w.times) AS fn FROM c JOIN {_draws(_CASES.format("source", "c"))} w ON w.c = c.source GROUP BY ALL),
@@ -252,7 +252,7 @@ SELECT engine, round(quantile_cont(f1, 0.025), 6) AS f1_lo, round(quantile_cont(
  JOIN {_draws(_CASES.format("doc_id % 12", "c"), 1)} w ON w.c = c.doc_id % 12 JOIN {_draws(_CASES.format("doc_id % 5", "c"), 0)} o ON o.boot = w.boot AND o.c = c.doc_id % 5 GROUP BY ALL), p AS (SELECT *, {_PRF} FROM s)
 SELECT engine, round(quantile_cont(f1, 0.025), 6) AS f1_lo, round(quantile_cont(f1, 0.975), 6) AS f1_hi FROM p GROUP BY engine""",
     "stratified_sample": "SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS n FROM documents) WHERE n <= 5",
-    "union_pool": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'second' ELSE 'first' END AS origin, n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "union_pool": "SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'second' ELSE 'first' END AS origin, n_chars FROM documents",
     "newest_rows": "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 100",
     "join_semi_anti": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'has' ELSE 'none' END AS kind FROM customer",
     "rank_orders": "SELECT o_orderkey, CASE WHEN e THEN rank() OVER (PARTITION BY o_custkey, e ORDER BY p DESC) END AS rank FROM (SELECT o_orderkey, o_custkey, o_orderstatus <> 'P' AS e, round(o_totalprice, -3) AS p FROM orders)",

@@ -153,7 +153,7 @@ ORACLES = {
     "tfidf_fit": f"WITH {_TEXTS}, {_BAG} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "tfidf_score": f"WITH {_TEXTS}, {_BAG}, {_WEIGHED} SELECT a.doc_id, -1 - b.doc_id AS item_id, round(sum(a.w * b.w), 6) AS score FROM unit a JOIN unit b USING (term) WHERE a.doc_id >= 0 AND b.doc_id < 0 GROUP BY ALL",
     "tfidf_explain": f"""WITH {_TEXTS}, {_BAG}, {_WEIGHED}, e AS (SELECT a.doc_id, -1 - b.doc_id AS item_id, a.term, row_number() OVER (PARTITION BY a.doc_id, b.doc_id ORDER BY round(a.w * b.w, 9) DESC, a.term) AS n
- FROM unit a JOIN unit b USING (term) WHERE a.doc_id >= 0 AND b.doc_id < 0 AND b.doc_id >= -3) SELECT doc_id, item_id, string_agg(term, '; ' ORDER BY n) AS terms FROM e WHERE n <= 8 GROUP BY ALL""",
+ FROM unit a JOIN unit b USING (term) WHERE a.doc_id >= 0 AND b.doc_id < 0) SELECT doc_id, item_id, string_agg(term, '; ' ORDER BY n) AS terms FROM e WHERE n <= 8 GROUP BY ALL""",
     "vector_score": f"{_VECTOR} SELECT vec_id, score FROM s",
     "vector_rank": f"{_VECTOR}, t AS (SELECT vec_id, label, round(score, 3) AS score FROM s) SELECT vec_id, score, CASE WHEN score > 0 THEN rank() OVER (PARTITION BY label, score > 0 ORDER BY score DESC) END AS rank FROM t",
     "centroid_by_label": f"WITH {_CENTROID} SELECT label, i - 1 AS i, round(x, 5) AS x FROM c",

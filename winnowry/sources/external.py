@@ -33,6 +33,9 @@ def run_jsonl(command: list[str], files: DataFrame, batch: int = 64, timeout: fl
                         continue
                     if isinstance(one, dict) and "file" in one:
                         got.append((one["file"], line))
+                lost = set(names[i : i + batch]) - {f for f, _ in got}
+                if done.returncode and lost:
+                    raise RuntimeError(f"{command[0]} ended with {done.returncode} and left out {len(lost)} of {len(names[i : i + batch])} files: {done.stderr[-300:].strip()}")
                 yield pd.DataFrame(got, columns=["file", "json"])
 
     return files.select("file").mapInPandas(each, "file string, json string")

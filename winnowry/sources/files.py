@@ -100,9 +100,12 @@ def read_documents(spark: SparkSession, path: str, layout_aware: bool = False) -
     odd = [r["suffix"] for r in files.select("suffix").distinct().collect() if r["suffix"] not in SUPPORTED]
     if odd:
         raise UnsupportedFormat(f"no reader for: {', '.join(sorted(odd))}")
+    # A scan for each kind of reader: a Python reader in a CASE would be given the files of the other kinds too.
     plain = F.col("content").cast("string")
-    text = F.when(F.col("suffix") == "docx", docx_column("content", layout_aware)).when(F.col("suffix").isin("html", "htm"), plain_text(plain)).otherwise(plain)
-    return files.select("path", "suffix", text.alias("text"))
+    markup = ("html", "htm")
+    kinds = ((F.col("suffix") == "docx", docx_column("content", layout_aware)), (F.col("suffix").isin(*markup), plain_text(plain)), (~F.col("suffix").isin("docx", *markup), plain))
+    parts = [files.where(own).select("path", "suffix", text.alias("text")) for own, text in kinds]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
 def read_layout(spark: SparkSession, path: str, **parts: str) -> DataFrame:
