@@ -27,16 +27,22 @@ def test_scores_and_order(docs):
     assert [r.doc_id for r in B.search(docs, "NOT python").collect()] == ["b", "c", "d"]
 
 
-@pytest.mark.parametrize("query", ["", "(a", "AND a", "a )", ")", "a OR", '""', "NOT"])
+def test_a_page_holds_one_to_fifty(docs):
+    assert B.page_of_results(docs, "NOT python", 0).count() == 1 and B.page_of_results(docs, "NOT python", 1000).count() == 3
+
+
+@pytest.mark.parametrize("query", ["", "(a", "AND a", "a )", ")", "a OR", '""', "NOT", 'a "b'])
 def test_errors(query):
     with pytest.raises(B.QueryError):
         B.parse(query)
 
 
 def test_precedence():
-    t = B.Term
-    assert B.parse("a OR b c") == B.Any_((t("a"), B.All((t("b"), t("c")))))
-    assert B.parse("not a AND b") == B.All((B.Not(t("a")), t("b")))
+    t = lambda x: B.Node("term", x)
+    both = lambda *x: B.Node("and", parts=x)
+    assert B.parse("a OR b c") == B.Node("or", parts=(t("a"), both(t("b"), t("c"))))
+    assert B.parse("not a AND b") == both(B.Node("not", parts=(t("a"),)), t("b"))
+    assert B.symbols('-"x y" -z a-b (or)') == [("NOT", "-"), ("term", "x y"), ("NOT", "-"), ("term", "z"), ("term", "a-b"), ("(", "("), ("OR", "or"), (")", ")")]
     assert B.positive_terms(B.parse("a -b NOT (c NOT d) a")) == ["a", "d"]
 
 

@@ -37,6 +37,9 @@ FIELD = r"\bin[ \t]+((?:[A-Z][A-Za-z&]*)(?:[ \t]+(?:and|of|&|[A-Z][A-Za-z&]*))*)
 SCHOOL = r"\b((?:[A-Z][A-Za-z.&'-]+[ \t]+)*(?:University|College|Institute|Polytechnic)(?:[ \t]+(?:of|at|for)(?:[ \t]+[A-Z][A-Za-z.&'-]+)+)?)"
 AFTER_SCHOOL = r"\s+(?:Expected|GPA|Graduated|Class)\b.*$"
 AFTER_FIELD = r"\s+(?:Minor|GPA|Expected|Graduated)\b"
+SKILL_GROUP = r"\b[A-Z][A-Za-z ]{2,20}:\s*"
+SKILL_SEPARATOR = "[,;•|]"
+SKILL_EDGE = r"^[ .•\-]+|[ .•\-]+$"
 NAME_WORD = r"^[A-Z][a-zA-Z'.-]*$"
 
 
@@ -141,8 +144,8 @@ def gpa(text: Column | str) -> Column:
 
 def skill_items(text: Column | str) -> Column:
     flat = F.regexp_replace(_col(text), r"\s*\n\s*", " ")
-    flat = F.regexp_replace(flat, r"\b[A-Z][A-Za-z ]{2,20}:\s*", ", ")
-    return F.filter(F.transform(F.split(flat, "[,;•|]"), lambda x: F.regexp_replace(x, r"^[ .•\-]+|[ .•\-]+$", "")), lambda x: x != "")
+    flat = F.regexp_replace(flat, SKILL_GROUP, ", ")
+    return F.filter(F.transform(F.split(flat, SKILL_SEPARATOR), lambda x: F.regexp_replace(x, SKILL_EDGE, "")), lambda x: x != "")
 
 
 def experience(text: Column | str) -> Column:

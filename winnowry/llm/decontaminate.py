@@ -5,19 +5,18 @@ windows of the item's number of words slide over a text. A window is a candidate
 five-word shingles is within RADIUS bits of the item's. Fingerprints are cut into BLOCKS blocks. Of two that are so
 near, AGREE blocks at least differ by NEAR bits or fewer, for otherwise BLOCKS - AGREE + 1 blocks would differ by
 NEAR + 1 each, more than RADIUS. So each item is listed under all values within NEAR of each of its blocks, a window
-looks up its own, and the items that it meets in AGREE blocks are compared: 4 in 100 of unlike ones (7 where few and
-evenly many shingles leave ties). A text with
+looks up its own, and the items that it meets in AGREE blocks are compared: 3 in 100 of unlike ones. A text with
 fewer words than an item is one window for it, the whole text; its candidates are the items with so many shingles in
 common that the threshold can be reached. Candidates are verified: the weighted Jaccard similarity of their
 shingles, weights being counts, must reach the threshold; it is carried on from a window to the next.
 
 A window without any shingle of an item of its size can't reach the threshold, so only windows that hold one are
 hashed: this is a condition of the result, not a shortcut past it. Items travel to the executors by broadcast, at
-most BROADCAST bytes of text and ITEMS of them, which are counted (an item's index takes some 8 kB); larger
+most BROADCAST bytes of text and ITEMS of them, which are counted (an item's index takes some 10 kB); larger
 benchmarks are taken in slices, each a pass over the corpus. Texts never move.
 
-At a similarity of 0.8 fingerprints of 192 bits differ by about 29 bits, with a deviation of 5; RADIUS leaves three
-deviations. Items of fewer than nine shingles reach 0.8 by equality alone, and equal bags have one fingerprint.
+At a similarity of 0.8 fingerprints of 256 bits differ by about 39 bits, with a deviation of 5.7; RADIUS leaves 3.5
+deviations: two in 10,000 windows of that very similarity are lost, and as good as none above 0.82. Items of fewer than nine shingles reach 0.8 by equality alone, and equal bags have one fingerprint.
 
 Nulls: a null text holds nothing, a null item text or item_id is no item; a null doc_id is returned as null.
 Items of fewer than five words are one shingle of all their words. Repeated rows and items are matched each; of
@@ -41,8 +40,8 @@ from .shared import table
 from .words import U64, ascending, flat, mix, segment, span_keys, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, RADIUS, BLOCKS, NEAR, AGREE = 192, 44, 16, 2, 2
-WIDTH = BITS // BLOCKS
+BITS, RADIUS, BLOCKS, NEAR, AGREE = 256, 59, 22, 2, 3
+EDGES = [b * BITS // BLOCKS for b in range(BLOCKS + 1)]
 #: Bytes of benchmark text, and items, that one broadcast may hold.
 BROADCAST, ITEMS = 32 << 20, 8000
 #: Windows that are hashed at a time.
@@ -82,12 +81,18 @@ def simhashes(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _blocks(bits: np.ndarray) -> np.ndarray:
-    """The values of the blocks of each row of bits."""
-    return bits.reshape(len(bits), BLOCKS, WIDTH) @ (1 << np.arange(WIDTH))
+def _block(bits: np.ndarray, b: int) -> np.ndarray:
+    """The value of a block of each row of bits."""
+    own = bits[:, EDGES[b] : EDGES[b + 1]]
+    return own @ (1 << np.arange(own.shape[1]))
 
 
-_VARIANTS = np.array([sum(1 << b for b in bits) for r in range(NEAR + 1) for bits in combinations(range(WIDTH), r)])
+def _listed(bits: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """All values within NEAR bits of a block of each row, in order, with the rows they belong to."""
+    near = np.array([sum(1 << i for i in some) for r in range(NEAR + 1) for some in combinations(range(EDGES[b + 1] - EDGES[b]), r)])
+    key = (_block(bits, b)[:, None] ^ near).ravel()
+    order = np.argsort(key, kind="stable")
+    return key[order].astype(np.uint16), (order // len(near)).astype(np.int32)
 
 
 class Index:
@@ -107,12 +112,7 @@ class Index:
             m = self.grams[n].shape[1]
             bits = np.concatenate([simhashes(g, np.zeros(1, np.int64), m) for g in self.grams[n]])
             self.prints[n] = np.packbits(bits, axis=1).view(U64)
-            near = _blocks(bits)[:, :, None] ^ _VARIANTS
-            self.blocks[n] = []
-            for b in range(BLOCKS):
-                key = near[:, b].ravel()
-                order = np.argsort(key, kind="stable")
-                self.blocks[n].append((key[order].astype(np.uint16), (order // len(_VARIANTS)).astype(np.int32)))
+            self.blocks[n] = [_listed(bits, b) for b in range(BLOCKS)]
             # Each item's distinct shingles with their counts.
             self.bags[n] = [np.unique(g, return_counts=True) for g in self.grams[n]]
         # Which sizes a shingle of each length belongs to.
@@ -132,8 +132,8 @@ class Index:
     def met(self, n: int, bits: np.ndarray) -> np.ndarray:
         """Rows (window, item) that agree in AGREE blocks."""
         pairs = []
-        for b, value in enumerate(_blocks(bits).T):
-            keys, items = self.blocks[n][b]
+        for b, (keys, items) in enumerate(self.blocks[n]):
+            value = _block(bits, b).astype(np.uint16)
             low, high = np.searchsorted(keys, value), np.searchsorted(keys, value, side="right")
             size = high - low
             own = np.repeat(np.arange(len(value)), size)

@@ -13,21 +13,23 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-AHEAD, AROUND, PREFIX = 400, 3000, 16
+# Letters to look ahead and around, the first letters of a key that may stand for it, and from what length on.
+AHEAD, AROUND, PREFIX, LONG, LEAST = 400, 3000, 16, 24, 2
 
 
 def key(text: str) -> str:
     return re.sub("[^a-z0-9]", "", text.lower())
 
 
-def find_near(stream: str, wanted: str, cursor: int) -> int:
-    """Place of a key close to the cursor: a little ahead, else farther around it, else that of its first letters; -1 if none."""
-    at = stream.find(wanted, cursor, cursor + AHEAD + len(wanted))
-    if at < 0:
-        at = stream.find(wanted, max(0, cursor - AROUND), cursor + AROUND)
-    if at < 0 and len(wanted) > PREFIX:
-        at = stream.find(wanted[:PREFIX], max(0, cursor - AROUND), cursor + AROUND)
-    return at
+def find_near(stream: str, wanted: str, cursor: int) -> tuple[int, int]:
+    """Range of a key's letters close to the cursor: beginning at most AHEAD letters on, else within AROUND of it; of a
+    long key that isn't there, the range of its first letters. Empty at -1 if there is none."""
+    for probe in (wanted, wanted[:PREFIX] if len(wanted) >= LONG else ""):
+        places = (stream.find(probe, cursor, cursor + AHEAD + len(probe)), stream.find(probe, max(0, cursor - AROUND), cursor + AROUND)) if probe else ()
+        at = next((p for p in places if p >= 0), -1)
+        if at >= 0:
+            return at, at + len(probe)
+    return -1, -1
 
 
 def labels_by_position(lines: list[str], events: list[tuple[str, str]]) -> list[str | None]:
@@ -37,11 +39,10 @@ def labels_by_position(lines: list[str], events: list[tuple[str, str]]) -> list[
     out, cursor = [], 0
     for line in lines:
         k = key(line)
-        at = find_near(stream, k, cursor) if k else -1
+        at, end = find_near(stream, k, cursor) if len(k) >= LEAST else (-1, -1)
         if at < 0:
             out.append(None)
             continue
-        end = min(at + len(k), len(stream))
         out.append(Counter(owner[at:end]).most_common(1)[0][0])
         cursor = max(cursor, end)
     return out

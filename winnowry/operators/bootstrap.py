@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of draws that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def drawn(rows: DataFrame, case: str, n_boot: int, seed: int = 0) -> DataFrame:
+    """draws() of the rows' cases, sent to all executors while cases times resamples, which are counted, are few."""
+    got = draws(rows, case, n_boot, seed)
+    return F.broadcast(got) if rows.select(F.count_distinct(case)).first()[0] * n_boot <= BROADCAST_ROWS else got
+
+
 def draws(cases: DataFrame, case: str, n_boot: int, seed: int = 0) -> DataFrame:
     """(boot, case, times): how often each case is drawn in each resample of as many cases.
 
-    cases: the distinct cases, a small table. Slot j of resample b takes case number hash(seed, b, j) mod n, so any
+    Distinct cases are numbered in their order, which takes one pass over them alone. Slot j of resample b takes case number hash(seed, b, j) mod n, so any
     engine can repeat it, and every cell of an experiment sees the same draw.
     """
     from pyspark.sql.window import Window
@@ -46,7 +56,7 @@ def paired_f1(counts: DataFrame, case: str, cell: list[str], base: Column, n_boo
     from .metrics import prf
 
     own = counts.groupBy(*cell, case).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    each = own.join(F.broadcast(draws(counts, case, n_boot, seed)), case).groupBy(*cell, "boot").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn"))).withColumns(prf())
+    each = own.join(drawn(counts, case, n_boot, seed), case).groupBy(*cell, "boot").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn"))).withColumns(prf())
     group = Window.partitionBy("boot", *(within or []))
     each = each.withColumn("base", F.max(F.when(base, F.col("f1"))).over(group)).withColumn("drop", 100 * (1 - F.try_divide("f1", "base")))
     f, d = bounds("f1"), bounds("drop")
@@ -58,8 +68,8 @@ def two_level(counts: DataFrame, outer: str, case: str, cell: list[str], n_boot:
     from .metrics import prf
 
     own = counts.groupBy(*cell, outer, case).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    outer_draws = draws(counts, outer, n_boot, seed).withColumnRenamed("times", "outer_times")
-    each = own.join(F.broadcast(draws(counts, case, n_boot, seed + 1)), case).join(F.broadcast(outer_draws), ["boot", outer])
+    outer_draws = drawn(counts, outer, n_boot, seed).withColumnRenamed("times", "outer_times")
+    each = own.join(drawn(counts, case, n_boot, seed + 1), case).join(outer_draws, ["boot", outer])
     weight = F.col("times") * F.col("outer_times")
     each = each.groupBy(*cell, "boot").agg(*(F.sum(F.col(c) * weight).alias(c) for c in ("tp", "fp", "fn"))).withColumns(prf())
     low, high = bounds("f1")
@@ -70,6 +80,11 @@ def mean_bounds(rows: DataFrame, case: str, value: str, by: list[str], n_boot: i
     """Bounds of a mean by group; nulls are left out. Cases are drawn over the whole table, so groups stay paired."""
     own = rows.where(F.col(value).isNotNull())
     sums = own.groupBy(*by, case).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    each = sums.join(F.broadcast(draws(own, case, n_boot, seed)), case).groupBy(*by, "boot").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
+    each = sums.join(drawn(own, case, n_boot, seed), case).groupBy(*by, "boot").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
     low, high = bounds("m")
     return each.groupBy(*by).agg(low.alias("lo"), high.alias("hi"))
+
+
+def with_bounds(summary: DataFrame, bounds_: DataFrame, *cell: str) -> DataFrame:
+    """A summary with the bounds of the same cells; cells without bounds are left out."""
+    return summary.join(bounds_, list(cell))

@@ -8,12 +8,20 @@ from pyspark.sql.window import Window
 
 from ..functions.terms import has_term, replace_term
 from ..functions.text import show_date
-from .screening import TOLERANCE
-
-# Verbs and what a small edit makes of them.
-VERBS = {"built": "created", "designed": "developed", "led": "managed", "improved": "enhanced", "tested": "evaluated", "analyzed": "examined"}
-EDITS = ("verb_swap", "reorder", "numeric_dates", "extra_bullet", "all_edits")
-EXTRA_BULLET = "Worked with a team on several projects."
+from .screening import standings, step
+
+# Verbs and what a small edit makes of them, the edits, and the bullet that one of them adds.
+VERBS = {
+    "Built": "Developed", "Designed": "Created", "Trained": "Developed", "Wrote": "Authored",
+    "Ran": "Performed", "Used": "Applied", "Led": "Headed", "Analyzed": "Evaluated", "Modeled": "Simulated",
+    "Supported": "Assisted with", "Managed": "Oversaw", "Created": "Produced", "Maintained": "Kept up",
+    "Followed": "Adhered to", "Revised": "Updated", "Applied": "Used", "Grew": "Increased",
+    "Tracked": "Monitored", "Prepared": "Made", "Mentored": "Coached", "Resolved": "Fixed",
+    "Tutored": "Taught", "Fine-tuned": "Adapted", "Shipped": "Delivered", "Optimized": "Improved",
+}
+EDITS = ("verb_swap", "reorder_bullets", "date_format", "add_teamwork_bullet", "all_edits")
+EXTRA_BULLET = "Collaborated with cross-functional teams to meet project deadlines"
+TOP_K = 5
 
 
 def with_swaps(pool: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,24 +51,24 @@ def changes(rows: DataFrame, before: str = "before", after: str = "after") -> Da
     return rows.withColumns({"delta": F.col(after) - F.col(before), "rel_delta": F.try_divide(F.col(after) - F.col(before), F.nullif(F.col(before), F.lit(0.0)))})
 
 
-def rank_changes(pool: DataFrame, variants: DataFrame, before: str = "before", after: str = "after", doc_id: str = "doc_id", case: str = "case") -> DataFrame:
-    """For variants (case, doc_id, before, after): rank among pool scores (doc_id, before) with the own entry replaced.
+def rank_changes(pool: DataFrame, variants: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """variants with rank_before and rank_after: one more than the pool scores that are better, the own entry left out.
 
-    A rank is one more than the number of others that score higher beyond TOLERANCE. All of it comes from the
-    distribution of the pool's scores: scores with their counts, running from the top, joined by position with the
-    scores looked for, in one ordered pass; pairs of pool rows and variants never meet.
+    pool: a row a document with its score `before`, of at most four decimals. Ranks come from the distribution of these
+    scores, at most 10,001 steps; pool rows and variants never meet.
     """
-    steps = pool.groupBy(F.col(before).alias("s")).agg(F.count("*").alias("n"))
-    looked = variants.select(F.explode(F.array(before, after)).alias("s")).distinct()
-    line = steps.select("s", "n", F.lit(0).alias("q")).unionAll(looked.select((F.col("s") + TOLERANCE).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("q")))
-    above = Window.orderBy(F.desc("s"), F.desc("q")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = line.withColumn("better", F.sum("n").over(above)).where("q = 1").select((F.col("s") - TOLERANCE).alias("s"), "better")
-    # Subtracting what was added may miss the last bit, so positions are matched by the rounded score.
-    key = lambda c: F.round(c, 9)
-    ranks = ranks.groupBy(key(F.col("s")).alias("k")).agg(F.min("better").alias("better"))
-    out = variants.join(ranks.toDF("_kb", "_b"), key(F.col(before)) == F.col("_kb")).join(ranks.toDF("_ka", "_a"), key(F.col(after)) == F.col("_ka"))
-    own = (F.col(before) > F.col(after) + TOLERANCE).cast("long")  # the own entry doesn't stand above its variant
-    return out.select(*variants.columns, (F.col("_b") + 1).alias("rank_before"), (F.col("_a") + 1 - own).alias("rank_after"))
+    steps = F.broadcast(standings(pool.select(F.col(before).alias("score")), variants.select(F.col(after).alias("score"))))
+    out = variants
+    for name, score in (("_before", before), ("_after", after)):
+        out = out.join(steps.select(F.col("step").alias(f"{name}_step"), F.col("better").alias(name)), step(F.col(score)) == F.col(f"{name}_step"))
+    own = (F.col("_before_step") > F.col("_after_step")).cast("long")  # the own entry doesn't stand above its variant
+    return out.select(*variants.columns, (F.col("_before") + 1).alias("rank_before"), (F.col("_after") + 1 - own).alias("rank_after"))
+
+
+def stability(pool: DataFrame, variants: DataFrame, top: int = TOP_K) -> DataFrame:
+    """variants (before, after) with ranks, abs_rank_change, and whether the row enters or leaves the first `top`."""
+    got = rank_changes(pool, variants)
+    return got.withColumns({"abs_rank_change": F.abs(F.col("rank_after") - F.col("rank_before")), "top_k_flip": (F.col("rank_before") <= top) != (F.col("rank_after") <= top)})
 
 
 def stuffing(posting_text: str, terms: list[str], attack: str) -> str:
@@ -79,36 +87,43 @@ def stuffed(text: Column | str, added: Column | str, visible: bool, drop_invisib
 
 
 def edited_bullets(bullets: Column | str, edit: str) -> Column:
-    """An edit that should not matter: the first word's verb swapped, the order reversed, one bullet more, or all of it."""
-    b = F.col(bullets) if isinstance(bullets, str) else bullets
+    """An edit of a job's bullets that should not matter: a verb in the first place swapped, the order reversed, one bullet more, or all of it."""
+    b = swapped_verbs(bullets) if edit in ("verb_swap", "all_edits") else F.col(bullets) if isinstance(bullets, str) else bullets
+    if edit in ("reorder_bullets", "all_edits"):
+        b = F.reverse(b)
+    if edit in ("add_teamwork_bullet", "all_edits"):
+        b = F.array_append(b, F.lit(EXTRA_BULLET))
+    return b
+
+
+def swapped_verbs(bullets: Column | str) -> Column:
+    """Bullets whose first word is one of VERBS, in that spelling, with the other verb in its place."""
     verbs = F.create_map(*(F.lit(x) for kv in VERBS.items() for x in kv))
 
     def swapped(x):
-        first = F.regexp_extract(x, r"^(\S+)", 1)
-        other = F.element_at(verbs, F.lower(first))
-        return F.when(other.isNotNull(), F.concat(F.when(first.rlike("^[A-Z]"), F.initcap(other)).otherwise(other), F.substring(x, F.length(first) + 1, F.lit(1 << 30)))).otherwise(x)
+        first = F.regexp_substr(x, F.lit(r"\S+"))
+        other = F.element_at(verbs, first)
+        return F.when(other.isNotNull() & x.startswith(first), F.concat(other, F.substring(x, F.length(first) + 1, F.lit(1 << 30)))).otherwise(x)
 
-    if edit in ("verb_swap", "all_edits"):
-        b = F.transform(b, swapped)
-    if edit in ("reorder", "all_edits"):
-        b = F.reverse(b)
-    if edit in ("extra_bullet", "all_edits"):
-        b = F.array_append(b, F.lit(EXTRA_BULLET))
-    return b
+    return F.transform(bullets, swapped)
 
 
 def edited_date(iso: Column | str, edit: str) -> Column:
-    return show_date(iso, "numeric" if edit in ("numeric_dates", "all_edits") else "short")
+    return show_date(iso, "numeric" if edit in ("date_format", "all_edits") else "short")
 
 
 def plain_resume(people: DataFrame, edit: str | None = None) -> Column:
     """A person of the schema of sources.people as text: name, contacts, education, experience with bullets, projects, skills."""
     title = lambda t: F.concat(F.lit("\n\n"), F.lit(t), F.lit("\n"))
 
-    def job(x):
+    def job(x, i):
         when = F.concat_ws(" - ", edited_date(x["start"], edit or ""), F.coalesce(edited_date(x["end"], edit or ""), F.lit("Present")))
         head = F.concat_ws(" | ", x["title"], x["company"], when)
-        own = edited_bullets(x["bullets"], edit or "")
+        # One more bullet goes to the first job alone.
+        more = edited_bullets(x["bullets"], edit or "")
+        plain = edited_bullets(x["bullets"], {"add_teamwork_bullet": ""}.get(edit or "", edit or ""))
+        plain = F.slice(plain, 1, F.size(plain) - 1) if edit == "all_edits" else plain
+        own = F.when(i == 0, more).otherwise(plain)
         return F.concat(head, F.array_join(F.transform(own, lambda b: F.concat(F.lit("\n- "), b)), ""))
 
     e = people["education"]
@@ -116,7 +131,7 @@ def plain_resume(people: DataFrame, edit: str | None = None) -> Column:
     return F.concat(
         people["name"], F.lit("\n"), F.concat_ws(" | ", people["email"], people["phone"], people["location"]), title("EDUCATION"), study,
         title("EXPERIENCE"), F.array_join(F.transform(people["experience"], job), "\n"),
-        title("PROJECTS"), F.array_join(F.transform(people["projects"], lambda p: F.concat(p["name"], F.array_join(F.transform(p["bullets"], lambda b: F.concat(F.lit("\n- "), b)), ""))), "\n"),
+        title("PROJECTS"), F.array_join(F.transform(people["projects"], lambda p: F.concat(p["name"], F.array_join(F.transform(swapped_verbs(p["bullets"]) if edit in ("verb_swap", "all_edits") else p["bullets"], lambda b: F.concat(F.lit("\n- "), b)), ""))), "\n"),
         title("SKILLS"), F.array_join(people["skills"], ", "),
     )
 

@@ -18,26 +18,63 @@ def visible_chars(chars: Column | str, smallest: float = 4.0, white: float = 0.9
     return F.filter(chars, shown)
 
 
-def gutter(words: DataFrame, step: float = 2.0, middle: float = 0.7, least_words: int = 20, side: float = 0.15, crossing: float = 0.01) -> DataFrame:
-    """(doc_id, page, x): of the places every `step` points over the middle of the page the one fewest words cross, if it parts the page.
+# Fixed values of the search for a gutter: step and padding in points, the part of the page, and shares of its words.
+GUTTER = {"step": 2, "pad": 4.0, "from": 0.15, "to": 0.85, "least_words": 20, "side": 0.15, "crossing": 0.01}
+PAGE = ["doc_id", "page"]
 
-    words: doc_id, page, width (of the page), x0, x1. A word meets the places it spans and no others.
+
+def crossings(words: DataFrame) -> DataFrame:
+    """(doc_id, page, n, x, cross, left): for every place x of the middle of a page the words that cross it, padded, and those that end before it.
+
+    words: doc_id, page, width (of the page), x0, x1. Running counts over places: a word meets its first and last place only.
     """
-    keys = ["doc_id", "page"]
-    pages = words.groupBy(*keys).agg(F.max("width").alias("width"), F.count("*").alias("n")).where(F.col("n") >= least_words)
-    start = F.col("width") * (1 - middle) / 2
-    places = pages.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("width") * middle / step).cast("int"))).alias("i"), start.alias("s")).withColumn("x", F.col("s") + F.col("i") * step)
-    own = words.join(pages.select(*keys, "n", start.alias("s"), F.floor(F.col("width") * middle / step).cast("int").alias("last")), keys)
-    # Words that end at or before a place, and that begin at or after it, as running counts over places.
-    ends = own.select(*keys, F.greatest(F.ceil((F.col("x1") - F.col("s")) / step), F.lit(0)).cast("int").alias("i")).groupBy(*keys, "i").agg(F.count("*").alias("left"))
-    begins = own.select(*keys, F.floor((F.col("x0") - F.col("s")) / step).cast("int").alias("i")).where("i >= 0").withColumn("i", F.least("i", F.lit(1 << 20))).groupBy(*keys, "i").agg(F.count("*").alias("right"))
-    line = places.select(*keys, "i", "x", "n", F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"))
-    line = line.unionByName(ends, allowMissingColumns=True).unionByName(begins, allowMissingColumns=True)
-    up, down = Window.partitionBy(*keys).orderBy("i"), Window.partitionBy(*keys).orderBy(F.desc("i"))
-    each = line.withColumns({"left": F.sum(F.coalesce("left", F.lit(0))).over(up.rangeBetween(Window.unboundedPreceding, 0)), "right": F.sum(F.coalesce("right", F.lit(0))).over(down.rangeBetween(Window.unboundedPreceding, 0))}).where(F.col("x").isNotNull())
-    each = each.withColumn("cross", F.col("n") - F.col("left") - F.col("right"))
-    good = (F.col("cross") <= F.col("n") * crossing) & (F.least("left", "right") >= F.col("n") * side)
-    return each.where(good).groupBy(*keys).agg(F.min_by("x", F.struct("cross", "x")).alias("x"))
+    g = GUTTER
+    pages = words.groupBy(*PAGE).agg(F.max("width").alias("width"), F.count("*").alias("n")).where(F.col("n") >= g["least_words"])
+    pages = pages.withColumns({"first": F.floor(F.col("width") * g["from"]).cast("int"), "stop": F.floor(F.col("width") * g["to"]).cast("int")})
+    places = pages.where("first < stop").select(*PAGE, "n", "first", F.explode(F.sequence(F.col("first"), F.col("stop") - 1, F.lit(g["step"]))).alias("x"))
+    places = places.select(*PAGE, "n", ((F.col("x") - F.col("first")) / g["step"]).cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+    own = words.join(pages.select(*PAGE, "first"), PAGE)
+    # Number of the first place beyond an edge (open), or at it (closed).
+    beyond = lambda e: F.greatest(F.floor((e - F.col("first")) / g["step"]) + 1, F.lit(0))
+    at = lambda e: F.greatest(F.ceil((e - F.col("first")) / g["step"]), F.lit(0))
+    moves = own.select(*PAGE, F.explode(F.array(
+        F.struct(beyond(F.col("x0") - g["pad"]).alias("i"), F.lit(1).alias("cross"), F.lit(0).alias("left")),
+        F.struct(at(F.col("x1") + g["pad"]).alias("i"), F.lit(-1).alias("cross"), F.lit(0).alias("left")),
+        F.struct(at(F.col("x1")).alias("i"), F.lit(0).alias("cross"), F.lit(1).alias("left")),
+    )).alias("m")).select(*PAGE, "m.*").groupBy(*PAGE, "i").agg(F.sum("cross").alias("cross"), F.sum("left").alias("left"))
+    line = places.unionByName(moves, allowMissingColumns=True)
+    run = Window.partitionBy(*PAGE).orderBy("i").rangeBetween(Window.unboundedPreceding, 0)
+    line = line.withColumns({c: F.coalesce(F.sum(c).over(run), F.lit(0)) for c in ("cross", "left")})
+    return line.where(F.col("x").isNotNull()).select(*PAGE, "n", "x", "cross", "left")
+
+
+def gutter(words: DataFrame) -> DataFrame:
+    """(doc_id, page, x): the place that fewest words cross, the leftmost of equals, if it parts the page into columns.
+
+    Either side needs its share of the words. Right-aligned fragments are no column, and a place within a line of
+    running text is no gutter. words: doc_id, page, width, top, x0, x1.
+    """
+    g = GUTTER
+    each = crossings(words).where(F.least(F.col("left"), F.col("n") - F.col("left") - F.col("cross")) >= F.col("n") * g["side"])
+    best = each.groupBy(*PAGE).agg(F.min(F.struct("cross", "x")).alias("b"), F.max("n").alias("n")).where(F.col("b.cross") <= F.col("n") * g["crossing"]).select(*PAGE, "b.x")
+    own = words.join(best, PAGE)
+    aligned = right_aligned(row_numbers(own.where("x0 >= x")).groupBy(*PAGE, "row").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")), *PAGE).where("aligned")
+    cut = cuts_a_line(row_numbers(own)).where("cuts").select(*PAGE).distinct()
+    return best.join(aligned, PAGE, "left_anti").join(cut, PAGE, "left_anti")
+
+
+def row_numbers(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """words with the number of their row on the page: a row is what lies within the tolerance of its first word, from the top down."""
+    tops = words.groupBy(*PAGE).agg(F.array_sort(F.collect_set(F.col("top").cast("double"))).alias("tops"))  # a page's lines
+
+    def step(acc, t):
+        new = (F.size(acc) == 0) | (t - F.element_at(acc, -1)["first"] > tolerance)
+        row = F.struct(t.alias("top"), F.when(new, t).otherwise(F.get(acc, F.size(acc) - 1)["first"]).alias("first"), F.when(new, F.coalesce(F.get(acc, F.size(acc) - 1)["row"], F.lit(-1)) + 1).otherwise(F.get(acc, F.size(acc) - 1)["row"]).alias("row"))
+        return F.concat(acc, F.array(row))
+
+    start = F.array().cast("array<struct<top:double,first:double,row:int>>")
+    rows = tops.select(*PAGE, F.inline(F.aggregate("tops", start, step))).select(*PAGE, F.col("top").alias("_top"), "row")
+    return words.withColumn("_top", F.col("top").cast("double")).join(rows, [*PAGE, "_top"]).select(*words.columns, "row")
 
 
 def rows_of(words: Column | str, tolerance: float = 2.0) -> Column:
@@ -63,8 +100,8 @@ def cuts_a_line(words: DataFrame, x: str = "x", gap: float = 8.0) -> DataFrame:
     left = F.max(F.when(F.col("x1") <= F.col(x), F.col("x1")))
     right = F.min(F.when(F.col("x0") >= F.col(x), F.col("x0")))
     straddles = F.max(((F.col("x0") < F.col(x)) & (F.col("x1") > F.col(x))).cast("int"))
-    out = words.groupBy("doc_id", "page", "row").agg(left.alias("l"), right.alias("r"), straddles.alias("s"), F.count("*").alias("n"))
-    return out.select("doc_id", "page", "row", F.coalesce(((F.col("s") == 1) & (F.col("n") > 1)) | (F.col("r") - F.col("l") < gap), F.lit(False)).alias("cuts"))
+    out = words.groupBy("doc_id", "page", "row").agg(left.alias("l"), right.alias("r"), straddles.alias("s"))
+    return out.select("doc_id", "page", "row", F.coalesce(((F.col("s") == 1) & (F.col("l").isNotNull() | F.col("r").isNotNull())) | (F.col("r") - F.col("l") < gap), F.lit(False)).alias("cuts"))
 
 
 def boxes(rectangles: DataFrame, tables: DataFrame) -> DataFrame:

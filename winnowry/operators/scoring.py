@@ -113,20 +113,40 @@ def fit_idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
 def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(doc_id, term, w): unit vectors of tf * idf; terms the fit doesn't know are left out."""
     raw = counts.join(idf.select("term", "idf"), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("x") / F.col("norm")).alias("w"))
+    each = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.struct("term", "x")).alias("terms"))
+    return each.select("doc_id", "norm", F.inline("terms")).select("doc_id", "term", (F.col("x") / F.col("norm")).alias("w"))
+
+
+def weigh_against(counts: DataFrame, idf: DataFrame, postings: DataFrame) -> DataFrame:
+    """weigh(), with only those terms left that a posting has: one shuffle by term, one by document, each row a document's own.
+
+    A document's length takes all its terms, so it is summed before the others go.
+    """
+    known = idf.select("term", "idf").join(postings.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left")
+    raw = counts.join(known, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("x"), "wanted")
+    each = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("wanted"), F.struct("term", "x"))).alias("terms"))
+    return each.select("doc_id", "norm", F.inline("terms")).select("doc_id", "term", (F.col("x") / F.col("norm")).alias("w"))
+
+
+#: Rows of posting vectors that a broadcast may hold; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """rows, sent to all executors while they are few, which is counted."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def cosine(docs: DataFrame, posting: DataFrame) -> DataFrame:
     """(doc_id, posting_id, score) from two tables of unit vectors; pairs without a common term score nothing and have no row."""
     other = posting.select(F.col("doc_id").alias("posting_id"), "term", F.col("w").alias("v"))
-    return docs.join(other, "term").groupBy("doc_id", "posting_id").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
+    return docs.join(small(other), "term").groupBy("doc_id", "posting_id").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
 
 
 def contributions(docs: DataFrame, posting: DataFrame, k: int = 8) -> DataFrame:
     """(doc_id, posting_id, terms): the k terms that add most to the score, ties by term."""
     other = posting.select(F.col("doc_id").alias("posting_id"), "term", F.col("w").alias("v"))
-    each = docs.join(other, "term").select("doc_id", "posting_id", F.struct((-F.round(F.col("w") * F.col("v"), 9)).alias("x"), "term").alias("e"))
+    each = docs.join(small(other), "term").select("doc_id", "posting_id", F.struct((-F.round(F.col("w") * F.col("v"), 9)).alias("x"), "term").alias("e"))
     return each.groupBy("doc_id", "posting_id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("e")).select("doc_id", "posting_id", F.transform("e", lambda x: x["term"]).alias("terms"))
 
 
@@ -147,6 +167,9 @@ def vector_score(a: Column | str, b: Column | str) -> Column:
 
 
 def mean_vector(chunks: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, vector): mean of a document's chunk vectors at length one."""
-    each = chunks.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
-    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select(key, unit(F.transform("v", lambda e: e["x"])).alias("vector"))
+    """(key, vector): mean of a document's chunk vectors at length one. Vectors are summed whole, on the map side first."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    each = chunks.groupBy(key).agg(Summarizer.mean(array_to_vector(vector)).alias("m"))
+    return each.select(key, unit(vector_to_array("m")).alias("vector"))

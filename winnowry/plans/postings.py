@@ -62,28 +62,11 @@ def aligned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_labels(p.select("doc_id", F.transform("e", lambda x: x["text"]).alias("lines"), label.alias("events")))
 
 
-def _words(spark, sf_dir) -> DataFrame:
-    """Line items as words of pages in two columns; some orders' words straddle the middle."""
-    r = table(spark, sf_dir, "lineitem")
-    side = F.col("l_linenumber") % 2
-    x0 = F.when(side == 0, 50.0).otherwise(320.0) + F.col("l_partkey") % 40
-    long = F.when(F.col("l_suppkey") % 97 == 0, 300.0).otherwise(120.0)
-    return r.select((F.col("l_orderkey") % 50).alias("doc_id"), (F.col("l_suppkey") % 3).alias("page"), F.lit(600.0).alias("width"), x0.alias("x0"), (x0 + long).alias("x1"))
-
-
-def page_gutter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.gutter(_words(spark, sf_dir))
-
-
-def right_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.right_aligned(_words(spark, sf_dir), "doc_id", "page")
-
-
 def body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.body_size(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")), "brand")
 
 
-QUERIES = {f.__name__: f for f in (prose_rules, requirement_groups, posting_sections, skills_found, skill_share_of_item, html_sections, heading_events, aligned_labels, page_gutter, right_aligned, body_size)}
+QUERIES = {f.__name__: f for f in (prose_rules, requirement_groups, posting_sections, skills_found, skill_share_of_item, html_sections, heading_events, aligned_labels, body_size)}
 
 
 def _found() -> str:
@@ -92,7 +75,6 @@ def _found() -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'{sql_count("text", f)} > 0' for f in s.forms)} THEN '{s.name}' END" for s in TAXONOMY.skills) + "], lambda x: x IS NOT NULL)"
 
 
-_W = "(SELECT l_orderkey % 50 AS doc_id, l_suppkey % 3 AS page, 600.0 AS width, x0, x0 + CASE WHEN l_suppkey % 97 = 0 THEN 300.0 ELSE 120.0 END AS x1 FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 50.0 ELSE 320.0 END + l_partkey % 40 AS x0 FROM lineitem))"
 ORACLES = {
     "prose_rules": """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'BS' WHEN 1 THEN 'MS' ELSE 'PHD' END AS min_degree_level, CASE c_custkey % 3 WHEN 0 THEN 'Biology' WHEN 1 THEN 'Physics; Chemistry' ELSE 'Art' END AS fields, c_custkey % 2 = 1 AS fields_enforced,
  round(2 + c_custkey % 2 + (c_custkey % 10) / 10.0::DOUBLE, 2) AS min_gpa, (2020 + c_custkey % 7) || '-06' AS low, (2021 + c_custkey % 7) || '-12' AS high, c_custkey % 5 = 0 AS require_work_authorization, c_custkey % 4 = 0 AS no_sponsorship FROM customer""",
@@ -101,9 +83,5 @@ ORACLES = {
     "skill_share_of_item": f"SELECT doc_id, round(len(list_filter({_found()}, lambda x: list_contains(['the', 'that', 'of'], x))) / 3.0::DOUBLE, 6) AS share FROM documents",
     "heading_events": """WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS h FROM pages), b AS (SELECT page_id, unnest(h) AS x, unnest(range(0, len(h))) AS n FROM a)
 SELECT page_id, n, trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS heading FROM b""",
-    "page_gutter": f"""WITH w AS (SELECT * FROM {_W}), p AS (SELECT doc_id, page, count(*) AS n FROM w GROUP BY ALL HAVING count(*) >= 20), x AS (SELECT doc_id, page, n, 90.0 + 2 * unnest(range(0, 211)) AS x FROM p),
-c AS (SELECT x.doc_id, x.page, x.n, x.x, count(*) FILTER (w.x0 < x.x AND w.x1 > x.x) AS k, count(*) FILTER (w.x1 <= x.x) AS l, count(*) FILTER (w.x0 >= x.x) AS r FROM x JOIN w ON w.doc_id = x.doc_id AND w.page = x.page GROUP BY ALL),
-g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k, x) AS i FROM c WHERE k <= n * 0.01 AND least(l, r) >= n * 0.15) SELECT doc_id, page, x::DOUBLE AS x FROM g WHERE i = 1""",
-    "right_aligned": f"SELECT doc_id, page, count(*) >= 3 AND stddev_pop(x1) < stddev_pop(x0) / 2 AS aligned FROM {_W} GROUP BY ALL",
     "body_size": "SELECT p_brand AS brand, quantile_cont(p_size, 0.5) AS body, max(p_size) AS largest FROM part GROUP BY ALL",
 }

@@ -15,8 +15,7 @@ from .tables import table
 
 def _fitted(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    d = S.term_counts(docs)
-    b = S.term_counts(items, "item_id")
+    d, b = S.term_counts(docs), S.term_counts(items, "item_id")
     n = docs.select(F.lit(1).alias("x")).unionAll(items.select(F.lit(1))).agg(F.count("*").alias("n"))
     corpus = d.unionAll(b.withColumn("doc_id", -1 - F.col("doc_id")))
     return d, b, S.fit_idf(corpus, n)
@@ -30,13 +29,15 @@ def tfidf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against each benchmark item, whose texts stand in for postings."""
     d, b, idf = _fitted(spark, sf_dir)
-    return S.cosine(S.weigh(d, idf), S.weigh(b, idf)).select("doc_id", F.col("posting_id").alias("item_id"), F.round("score", 6).alias("score"))
+    own = S.weigh(b, idf)
+    return S.cosine(S.weigh_against(d, idf, own), own).select("doc_id", F.col("posting_id").alias("item_id"), F.round("score", 6).alias("score"))
 
 
 def tfidf_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms that make the score of each document with each item."""
     d, b, idf = _fitted(spark, sf_dir)
-    got = S.contributions(S.weigh(d, idf), S.weigh(b, idf))
+    own = S.weigh(b, idf)
+    got = S.contributions(S.weigh_against(d, idf, own), own)
     return got.select("doc_id", F.col("posting_id").alias("item_id"), F.array_join("terms", "; ").alias("terms"))
 
 
@@ -90,28 +91,16 @@ def synonym_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stuffing_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool's score with the posting's terms added three times, visibly and hidden, with and without a reader that drops hidden text."""
     added = X.stuffing("", [r.surface for r in POSTING], "keyword_list")
-    pool = _scored(spark, sf_dir).withColumn("added", F.lit(added))
-    out = None
-    for visible, drop in ((True, False), (False, False), (False, True)):
-        own = pool.withColumn("after", F.round(Keyword().score(X.stuffed("text", "added", visible, drop), POSTING), 4))
-        own = own.select("doc_id", F.lit(visible).alias("visible"), F.lit(drop).alias("drop_invisible"), "before", "after")
-        out = own if out is None else out.unionAll(own)
-    best = pool.agg(F.max("before").alias("best"))
+    ways = ((True, False), (False, False), (False, True))
+    # One scan: what is added says by itself which terms it brings, so a text's variants are scored side by side.
+    each = F.array(*(F.struct(F.lit(v).alias("visible"), F.lit(d).alias("drop_invisible"), F.round(Keyword().score(X.stuffed("text", "added", v, d), POSTING), 4).alias("after")) for v, d in ways))
+    out = _scored(spark, sf_dir).withColumn("added", F.lit(added)).select("before", F.inline(each))
+    best = _scored(spark, sf_dir).agg(F.max("before").alias("best"))
     return out.crossJoin(F.broadcast(best)).groupBy("visible", "drop_invisible").agg(
         F.count("*").alias("candidates"), F.round(F.avg((F.col("after") >= F.col("best")).cast("double")), 4).alias("reaches_best"), F.round(F.percentile("after", F.lit(0.5)), 4).alias("median_score"), F.round(F.avg(F.col("after") - F.col("before")), 4).alias("mean_gain")
     )
 
 
-def bullet_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small edits of a conversation's turns as bullets, and the change of the keyword score they make."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("b"))
-    out = None
-    for edit in X.EDITS:
-        own = rows.select("conv_id", F.lit(edit).alias("edit"), F.md5(F.array_join(X.edited_bullets("b", edit), "\n")).alias("digest"), F.round(Keyword().score(F.array_join(X.edited_bullets("b", edit), "\n"), POSTING), 4).alias("score"))
-        out = own if out is None else out.unionAll(own)
-    return out
-
-
 _BAG = """
 words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pM\\pN_][\\pL\\pM\\pN_+#]*'), lambda w: NOT list_contains({stop}, w)) AS w FROM texts),
 terms AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
@@ -148,7 +137,7 @@ _STUFFED = f"""WITH p AS (SELECT before, 1.0 AS top FROM {_TOTAL}), v AS (
 SELECT visible, drop_invisible, count(*) AS candidates, round(avg(CASE WHEN after >= (SELECT max(before) FROM p) THEN 1.0 ELSE 0.0 END), 4) AS reaches_best,
   round(quantile_cont(after, 0.5), 4) AS median_score, round(avg(after - before), 4) AS mean_gain FROM v GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (tfidf_fit, tfidf_score, tfidf_explain, vector_score, vector_rank, centroid_by_label, synonym_delta, synonym_summary, stuffing_gain, bullet_edits)}
+QUERIES = {f.__name__: f for f in (tfidf_fit, tfidf_score, tfidf_explain, vector_score, vector_rank, centroid_by_label, synonym_delta, synonym_summary, stuffing_gain)}
 ORACLES = {
     "tfidf_fit": f"WITH {_TEXTS}, {_BAG} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "tfidf_score": f"WITH {_TEXTS}, {_BAG}, {_WEIGHED} SELECT a.doc_id, -1 - b.doc_id AS item_id, round(sum(a.w * b.w), 6) AS score FROM unit a JOIN unit b USING (term) WHERE a.doc_id >= 0 AND b.doc_id < 0 GROUP BY ALL",

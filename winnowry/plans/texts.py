@@ -78,25 +78,12 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.chunks("text")).alias("n", "chunk"))
 
 
-def prose_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(text.sentences("text")).alias("n", "sentence"))
-
-
 def doubled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.regexp_replace("text", r"(?s)(.)", "$1$1")
     own = F.when(F.col("doc_id") % 3 == 0, twice).otherwise(F.col("text"))
     return _docs(spark, sf_dir).withColumn("own", own).select("doc_id", F.size(text.doubled_words("own")).cast("long").alias("doubled"), text.looks_doubled("own").alias("flagged"))
 
 
-def likely_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.likely_headings("text"), "|").alias("headings"))
-
-
-def document_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _docs(spark, sf_dir).select("doc_id", diagnose.risks("text").alias("r"))
-    return got.select("doc_id", diagnose.level(F.col("r")).alias("level"), F.array_join(F.transform("r", lambda x: x["kind"]), "; ").alias("kinds"))
-
-
 def mask_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.exploded(_docs(spark, sf_dir)).select("doc_id", "line_no", diagnose.mask("line").alias("m"))
     return rows.select("doc_id", "line_no", F.md5("m.line").alias("line"), F.col("m.masked").cast("long").alias("masked"))
@@ -136,7 +123,7 @@ _RESUME = (
     "SELECT doc_id, name, email, phone, degree_level, field_of_study, school, grad_date, gpa, 'Python; SQL; ' || skill AS skills, 'Analyst; Quell Labs; Jun 2019 - 08/2020' AS job FROM p"
 )
 
-QUERIES = {f.__name__: f for f in (extract_email, extract_phone, line_explode, section_fill, section_map, line_shape, neighbor_lines, heading_context, nearest_number, normal_values, guess_title, text_chunks, prose_sentences, doubled_letters, likely_headings, document_risks, mask_pii, resume_fields)}
+QUERIES = {f.__name__: f for f in (extract_email, extract_phone, line_explode, section_fill, section_map, line_shape, neighbor_lines, heading_context, nearest_number, normal_values, guess_title, text_chunks, doubled_letters, mask_pii, resume_fields)}
 _W = "OVER (PARTITION BY doc_id ORDER BY line_no"
 ORACLES = {
     "extract_email": f"SELECT doc_id, nullif(regexp_extract(text, '{fields.EMAIL}'), '') AS email FROM documents",
