@@ -236,6 +236,10 @@ ORACLES = {
 SELECT a.doc_id, len(list_intersect(a.w, b.w))::BIGINT AS tp, len(b.w) - len(list_intersect(a.w, b.w)) AS fp, len(a.w) - len(list_intersect(a.w, b.w)) AS fn FROM d a JOIN d b ON b.doc_id + 1 = a.doc_id""",
     "vote": "WITH p AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS r, {_sql_pred(e)} AS v FROM documents" for i, e in enumerate(ENGINES)) + """), g AS (SELECT doc_id, v, count(*) AS votes, min(r) AS first FROM p WHERE v IS NOT NULL GROUP BY ALL)
 SELECT doc_id, v AS value, votes FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, first, v) AS n FROM g) WHERE n = 1""",
+    "vote_list": """WITH a AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[^A-Za-z ]+', ' ', 'g'), ' +'), lambda x: length(x) > 3) AS w FROM documents), n AS (SELECT doc_id, w, len(w) AS n FROM a),
+p AS (SELECT doc_id, w[1:ceil(n * 6 / 11.0)::BIGINT] AS x, w[floor(n * 3 / 11.0)::BIGINT + 1:floor(n * 3 / 11.0)::BIGINT + ceil(n * 6 / 11.0)::BIGINT] AS y, w[floor(n * 7 / 11.0)::BIGINT + 1:floor(n * 7 / 11.0)::BIGINT + ceil(n * 4 / 11.0)::BIGINT] AS z FROM n),
+k AS (SELECT doc_id, x, y, list_transform(x, lambda v: lower(v)) AS kx, list_transform(y, lambda v: lower(v)) AS ky, list_transform(z, lambda v: lower(v)) AS kz FROM p)
+SELECT doc_id, array_to_string(list_concat(x, list_transform(list_filter(range(1, len(y) + 1), lambda i: list_position(ky, ky[i]) = i AND list_contains(kz, ky[i]) AND NOT list_contains(kx, ky[i])), lambda i: y[i])), ' ') AS items FROM k""",
     "agreement": "WITH p AS (" + " UNION ALL ".join(f"SELECT doc_id, {_sql_pred(e)} AS v FROM documents" for e in ENGINES) + ") SELECT doc_id, count(v) AS filled, count(*) AS of, count(DISTINCT v) = 1 AS agree FROM p GROUP BY doc_id",
     "transitions": f"SELECT source, before, after, count(*) AS count FROM (SELECT source, {_sql_pred(ENGINES[0])} AS before, {_sql_pred(ENGINES[1])} AS after FROM documents) WHERE before IS DISTINCT FROM after GROUP BY ALL",
     "label_accuracy": "SELECT source, round(avg(CASE WHEN quality = (n_chars > 1000)::INT THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS lines FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY source",

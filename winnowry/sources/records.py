@@ -25,6 +25,22 @@ def postings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(POSTINGS).json(path, multiLine=True).withColumn("file", F.input_file_name()).orderBy("file")
 
 
+def posting_from_file(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, text, knockouts) of one file: JSON with rules, or plain text, whose title is guessed and which states no rules."""
+    from ..functions.text import guess_title
+
+    if path.endswith(".json"):
+        return postings(spark, path).drop("file")
+    name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    none = F.lit(None).cast(POSTINGS.split("knockouts ", 1)[1])
+    return spark.read.text(path, wholetext=True).select(F.lit(name).alias("id"), guess_title("value").alias("title"), F.col("value").alias("text"), none.alias("knockouts"))
+
+
+def write_vectors(vectors: DataFrame, path: str, backend: str) -> None:
+    """Vectors by the hash of their chunk, added to those of the backend."""
+    vectors.select(F.lit(backend).alias("backend"), F.xxhash64("chunk").alias("key"), "vector").write.mode("append").parquet(path)
+
+
 def skills(spark: SparkSession, path: str) -> DataFrame:
     """name, aliases, category, broader and the order in the file."""
     return spark.read.schema(SKILLS).json(path, multiLine=True).select(F.posexplode("skills").alias("ord", "s")).select("ord", "s.*")
