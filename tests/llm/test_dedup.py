@@ -34,13 +34,29 @@ def test_suffix_small_blocks(docs, rows, monkeypatch):
     """Long texts are scanned in parts that overlap."""
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     buf = np.frombuffer((brute.words(rows[-3][1])[0] * 300).encode(), np.uint8)
-    h, starts, ends = suffix_dedup.anchors(buf, np.array([0, len(buf)]), 200)
+    h, starts, ends, _ = suffix_dedup.anchors(buf, np.array([0, len(buf)]), 200)
     covered = np.zeros(len(buf) - 199, int)
     for s, e in zip(starts, ends):
         covered[s : e - 199] += 1
     assert (covered == 1).all()
 
 
+@pytest.mark.parametrize("hot", [2, 5])
+def test_suffix_hot_anchors(docs, rows, monkeypatch, hot):
+    """Windows of hot anchors are dealt by more of their bytes, with the same result."""
+    from winnowry.llm import suffix_dedup as S
+
+    text = " ".join(brute.words(rows[-3][1])[:60])
+    for s, e, p in ((0, 330, 150), (3, 203, 3), (10, 380, 190)):
+        own = [(a, b) for _, a, b in S.parted(text.encode() * 3, s, e, p, 200)]
+        covered = [w for a, b in own for w in range(a, b - 199)]
+        assert sorted(covered) == list(range(s, e - 199))
+    buf, own = rows, S.dedup_bytes
+    monkeypatch.setattr(S, "HOT", hot)
+    got = own(docs, 40).collect()
+    assert Counter((g.doc_id, g.n_bytes, g.n_removed, len(g.spans), bytes(g.kept)) for g in got) == Counter(brute.suffix([r[:2] for r in buf], 40))
+
+
 def test_long_common_matches_counting():
     for t in range(60):
         r = np.random.default_rng(t)

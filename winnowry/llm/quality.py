@@ -24,12 +24,13 @@ ignored, whatever their names, and kept by keep_good(). All of it is DataFrame o
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stash, table, without
+from .shared import BROADCAST_ROWS, stash, table, without
 
 WHITE = r" \t\n\x0B\f\r"
 WINDOW = 5
@@ -156,13 +157,12 @@ def _quartiles(rows: DataFrame) -> DataFrame:
     return each.groupBy("pool").agg(*(F.max(F.when(F.col("j") == i, F.col(k))).alias(f"{k}_{i}") for k in at for i in range(D)))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, quarts: DataFrame, sent: Callable) -> DataFrame:
     """The first estimates: pool, start, means and roots."""
-    quarts = stash(_quartiles(rows), "quartiles")
     inside = F.lit(True)
     for i in range(D):
         inside = inside & F.col(f"x{i}").between(F.col(f"q1_{i}"), F.col(f"q3_{i}"))
-    both = rows.join(quarts, "pool")
+    both = rows.join(sent(quarts), "pool")
     every = both.groupBy("pool").agg(F.count("*").cast("double").alias("w"), *_moments(), F.count_if(inside).cast("double").alias("cw"), *(m.alias(f"c{n}") for m, n in zip(_moments(inside), SUMS, strict=True)))
     every = stash(every, "moments")
     core = every.select("pool", F.lit(2).alias("start"), F.col("cw").alias("w"), *(F.col(f"c{n}").alias(n) for n in SUMS)).where("w > 0")
@@ -200,10 +200,10 @@ def _roots(near: DataFrame, consistent: float) -> DataFrame:
     return out.select("pool", "start", *MEANS, *ROOTS)
 
 
-def _step(rows: DataFrame, now: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, now: DataFrame, sent: Callable) -> DataFrame:
     """The estimates from the share of the vectors that is nearest by each of the estimates `now`."""
     bin_ = F.floor(F.log2(distance(rows) + 1e-6) * EDGE).alias("bin")
-    bins = rows.join(now, "pool").select("pool", "start", *(f"x{i}" for i in range(D)), bin_).groupBy("pool", "start", "bin").agg(F.count("*").alias("n"), *_moments())
+    bins = rows.join(sent(now), "pool").select("pool", "start", *(f"x{i}" for i in range(D)), bin_).groupBy("pool", "start", "bin").agg(F.count("*").alias("n"), *_moments())
     bins = stash(bins, "bins")  # dealt by bin; the running sum below sees a row a bin
     run = Window.partitionBy("pool", "start")
     bins = bins.withColumns({"before": F.sum("n").over(run.orderBy("bin")) - F.col("n"), "share": F.sum("n").over(run) * SHARE})
@@ -221,14 +221,17 @@ def _moved(now: DataFrame, before: DataFrame) -> float:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """pool, mean and root of the covariance: of each group's settled estimates the one of least determinant."""
-    now = _starts(rows)
+    quarts = stash(_quartiles(rows), "quartiles")
+    # Groups are counted: while their estimates fit a broadcast, vectors stay where they are and only sums are dealt.
+    sent = F.broadcast if STARTS * quarts.count() <= BROADCAST_ROWS else lambda table: table
+    now = _starts(rows, quarts, sent)
     for _ in range(STEPS):
-        now, before = _step(rows, now), now
+        now, before = _step(rows, now, sent), now
         if _moved(now, before) < SETTLED * UNIT:
             break
     size = sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
     best = now.groupBy("pool").agg(F.min_by(F.struct(*MEANS, *ROOTS), F.struct(F.round(size, 6), "start")).alias("e"))
-    return stash(best.select("pool", "e.*"), "estimate")
+    return sent(stash(best.select("pool", "e.*"), "estimate"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

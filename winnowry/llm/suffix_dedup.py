@@ -3,26 +3,34 @@
 A repeat of `least` bytes holds, in both places, the same least-hashed gram of its first window (its anchor), so
 only strings around a gram that is some window's anchor twice in the corpus need to meet.
 
-1. Chunks send the hashes of their anchors to the owners of the hash space; owners answer which occur again.
+1. Chunks send the hashes of their anchors to the owners of the hash space; owners answer which occur again, and
+   which occur HOT times or more.
 2. Around each of these a chunk sends the bytes of all windows that have it as anchor (its context). Equal
    contexts become one with a count; an owner joins the distinct ones of an anchor, builds their transform
    (bwt.py) and expands intervals until common prefixes reach the minimum. Windows of a context that occurs
    more than once are repeats by its count, whatever the transform finds.
 3. Chunks cut out the union of the repeats.
 
+The windows of a hot anchor are dealt by more of their bytes: by the place of the anchor in them, in CLASSES ranges,
+and by all bytes that the windows of a range have in common around the anchor (seven eighths of a window). Equal
+windows meet as before, but a gram that a third of all texts hold doesn't bring their surroundings into one task.
+
 A context is at most 2 * least - gram bytes, however long the text, and copies of it travel as positions, so
 neither a long run of one byte nor thousands of copies make the exchanged bytes grow with their square.
 
 Nulls: a null text is empty; a null doc_id is returned as null. Repeated rows repeat each other. An empty table
-gives an empty result. Other columns are ignored.
+gives an empty result. A very long text is scanned in parts that overlap. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +42,10 @@ from .words import U64, covered, flat, mix
 
 GRAM = 16
 #: Symbols that one transform covers; groups of an anchor stay together.
-TRANSFORM = 1 << 20
+TRANSFORM = 1 << 18
 BLOCK = 1 << 20
+#: Places of an anchor from which on its windows are dealt by more bytes, and the ranges of its place in a window then.
+HOT, CLASSES = 1 << 14, 8
 SCHEMA = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
 
 
@@ -59,9 +69,9 @@ def _least(h: np.ndarray, size: int) -> np.ndarray:
     return (key & U64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, and the start and end of the bytes of the windows that have it."""
-    hashes, starts, ends = [], [], []
+def anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor, the start and end of the bytes of the windows that have it, and its place."""
+    hashes, starts, ends, places = [], [], [], []
     size = least - GRAM + 1
     for first, last in _spans(offsets, least):
         h = _grams(buf[first:last])
@@ -80,9 +90,19 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarra
         hashes.append(mix(h[at[own[new]]] + U64(1)))
         starts.append(own[new] + first)
         ends.append(own[np.append(new[1:], len(own)) - 1] + first + least)
+        places.append(at[own[new]] + first)
     if not hashes:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends), np.concatenate(places)
+
+
+def parted(data: bytes, start: int, end: int, place: int, least: int):
+    """(key, start, end) of the windows between start and end by the range in which the place of their anchor lies."""
+    edges = [k * (least - GRAM + 1) // CLASSES for k in range(CLASSES + 1)]
+    for k, (a, b) in enumerate(itertools.pairwise(edges)):  # the anchor is a to b - 1 bytes after a window's start
+        first, last = max(start, place - b + 1), min(end - least, place - a)
+        if first <= last:
+            yield xxhash.xxh64_intdigest(data[place - a : place - b + 1 + least], k), first, last + least
 
 
 def _spans(offsets: np.ndarray, least: int):
@@ -122,7 +142,7 @@ def dedup_bytes(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text:
     packed = C.pack(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
 
     def offer(batch, _, n):
-        h, _, _ = anchors(*flat(batch.column(1)), least)
+        h = anchors(*flat(batch.column(1)), least)[0]
         order, at = C.by_bucket(h, n)
         low = h.astype(np.uint32)[order]
         for k in np.flatnonzero(np.diff(at)):
@@ -130,11 +150,14 @@ def dedup_bytes(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text:
 
     def shared(asked):
         sent = [np.frombuffer(p, np.uint32) for _, p in asked]
-        again = C.repeated(np.concatenate(sent))
+        every = np.sort(np.concatenate(sent))
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        count = np.diff(np.append(first, len(every)))
+        again, often = every[first[count > 1]], every[first[count >= HOT]]
         for (c, _), s in zip(asked, sent, strict=True):
             hit = C.among(s, again)
             if hit.any():
-                yield c, np.packbits(hit).tobytes()
+                yield c, np.packbits(hit).tobytes() + (np.packbits(C.among(s, often)).tobytes() if len(often) else b"")
 
     hit = C.answer(C.ask(packed, offer), shared, "anchors")
 
@@ -142,15 +165,23 @@ def dedup_bytes(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text:
         if not got:
             return
         buf, offsets = flat(batch.column(1))
-        h, starts, ends = anchors(buf, offsets, least)
+        h, starts, ends, where = anchors(buf, offsets, least)
         order, at = C.by_bucket(h, n)
         data = buf.tobytes()
+        sent: dict[int, dict] = defaultdict(lambda: defaultdict(list))
         for k, bits in got.items():
             mine = order[at[k] : at[k + 1]]
-            mine = mine[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(mine)).view(bool)]
-            places = defaultdict(list)
-            for a, s, e in zip(h[mine].tolist(), starts[mine].tolist(), ends[mine].tolist(), strict=True):
-                places[a, data[s:e]].append(s)
+            bits, size = np.frombuffer(bits, np.uint8), -(-len(mine) // 8)
+            hit = np.unpackbits(bits[:size], count=len(mine)).view(bool)
+            hot = np.unpackbits(bits[size:], count=len(mine)).view(bool) if len(bits) > size else np.zeros(len(mine), bool)
+            some = mine[hit & ~hot]
+            for a, s, e in zip(h[some].tolist(), starts[some].tolist(), ends[some].tolist(), strict=True):
+                sent[k][a, data[s:e]].append(s)
+            some = mine[hit & hot]
+            for s, e, p in zip(starts[some].tolist(), ends[some].tolist(), where[some].tolist(), strict=True):
+                for a, first, last in parted(data, s, e, p, least):
+                    sent[(a >> 32) * n >> 32][a, data[first:last]].append(first)
+        for k, places in sent.items():
             yield k, b"".join((
                 np.uint64(len(places)).tobytes(),
                 np.array([a for a, _ in places], np.uint64).tobytes(),
