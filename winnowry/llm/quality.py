@@ -225,9 +225,9 @@ def estimates(rows: DataFrame) -> DataFrame:
     # Groups are counted: while their estimates fit a broadcast, vectors stay where they are and only sums are dealt.
     sent = F.broadcast if STARTS * quarts.count() <= BROADCAST_ROWS else lambda table: table
     now = _starts(rows, quarts, sent)
-    for _ in range(STEPS):
+    for turn in range(STEPS):
         now, before = _step(rows, now, sent), now
-        if _moved(now, before) < SETTLED * UNIT:
+        if turn % 3 == 2 and _moved(now, before) < SETTLED * UNIT:  # a look in three steps
             break
     size = sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
     best = now.groupBy("pool").agg(F.min_by(F.struct(*MEANS, *ROOTS), F.struct(F.round(size, 6), "start")).alias("e"))
