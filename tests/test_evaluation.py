@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnowry.operators import bootstrap, experiments, layout, lines, metrics
-from winnowry.operators.alignment import compare_readings, concatenation_of, labels_by_position, match_lines, merge_wrapped
+from winnowry.operators.alignment import compare_readings, concatenation_of, find_near, labels_by_position, match_lines, merge_wrapped, reading_risks
 from winnowry.operators.diagnose import level, mask, risks
 
 
@@ -111,7 +111,15 @@ def test_alignments():
     assert labels_by_position(["Work", "did things", "nowhere at all", "Python"], [("WORK", "heading"), ("did  things", "experience"), ("Skills", "heading"), ("Python", "skills")]) == ["heading", "experience", None, "skills"]
     assert match_lines(["b c", "a b c d"], ["a", "b", "c", "d", "b", "c"]) in ([[4, 5], [0, 1, 2, 3]], [[1, 2], [0]])
     assert concatenation_of("EducationExperience", {"education", "experience"}) and not concatenation_of("Education", {"education"})
-    assert [compare_readings(a, b)["status"] for a, b in (("same text here", "same text here"), ("", "seen words"), ("x", ""), ("sametexthere", "same text here"), ("same", "same plus missing words"))] == ["ok", "image only", "nothing seen", "words run together", "text missing"]
+    page = "Jordan Avery worked on several machines in the laboratory and wrote reports about them"
+    kinds = lambda a, b: [k for _, k in reading_risks(compare_readings(a, b))]
+    assert kinds(page, page) == ["readings agree"] and kinds("", page) == ["image only"] and kinds(page, "") == ["readings agree"]
+    assert kinds(page.replace("several machines", "severalmachines"), page) == ["words run together"]
+    assert kinds(page, page + " certificate of completion") == ["text missing"] and kinds(page, page + " odd") == ["readings agree"]
+    assert compare_readings(page, page + " certificate of completion")["missing"] == ["certificate of completion"] or compare_readings(page, page + " certificate of completion")["missing"] == ["certificate completion"]
+    assert find_near("x" * 500 + "abcd", "abcd", 0) == (500, 504) and find_near("x" * 4000 + "abcd", "abcd", 0) == (-1, -1)
+    long = "abcdefghijklmnopqrstuvwxyz"
+    assert find_near("--" + long[:16] + "--", long, 0) == (2, 18) and find_near("--" + long[:16], long[:20], 0) == (-1, -1)
     assert merge_wrapped([("a long exam-", 10, 198, 10), ("ple of it.", 10, 60, 10), ("- item", 10, 198, 10)], 200) == [("a long example of it.", [0, 1]), ("- item", [2])]
 
 

@@ -96,30 +96,78 @@ def match_lines(lines: list[str], words: list[str]) -> list[list[int]]:
     return out
 
 
+# Letters that a gap must have to count, that a page and a run-together word need, the share of them that
+# makes a page an image, the share that makes a gap bad, and words whose marks are no run-together words.
+MIN_MISSING, MIN_PAGE, MIN_GLUED, IMAGE_SHARE, BAD_SHARE = 12, 60, 8, 0.2, 0.05
+NOT_GLUED = re.compile(r"@|/|www\.|https?:|\.(?:com|org|edu|net|io)\b", re.IGNORECASE)
+
+
+class Letters:
+    """Words of a reading, their letters end to end, and the word that each letter belongs to."""
+
+    def __init__(self, text: str):
+        self.words = re.sub(r"\(cid:\d+\)", " ", text).split()
+        self.keys = [key(w) for w in self.words]
+        self.stream = "".join(self.keys)
+        self.owner = [i for i, k in enumerate(self.keys) for _ in k]
+
+
 def compare_readings(extracted: str, seen: str) -> dict:
-    """What one reading of a page has that the other lacks: shares, glued words and words seen only."""
-    a, b = key(extracted), key(seen)
-    if not b:
-        return {"status": "nothing seen", "missing": [], "glued": 0, "share": 0.0}
-    if not a:
-        return {"status": "image only", "missing": seen.split(), "glued": 0, "share": 0.0}
-    same = sum(n for _, _, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-    own, letters = {key(w) for w in extracted.split()}, a
-    missing = [w for w in seen.split() if len(key(w)) > 2 and key(w) not in letters]
-    glued = sum(1 for w in seen.split() if len(key(w)) > 2 and key(w) not in own and key(w) in letters)
-    status = "text missing" if len(missing) > 0.1 * len(seen.split()) else "words run together" if glued > 0.2 * len(seen.split()) else "ok"
-    return {"status": status, "missing": missing, "glued": glued, "share": same / len(b)}
+    """What one reading of a page has that the other lacks.
+
+    The letters of both are aligned. Where the page shows MIN_MISSING letters more than the text, its words that the text
+    holds nowhere are missing. A word of the text is run together if its letters are those of several words of the page.
+    """
+    e, v = Letters(extracted), Letters(seen)
+    missing, lost, matched, parts = [], 0, 0, {}
+    for kind, a, a_end, b, b_end in difflib.SequenceMatcher(None, e.stream, v.stream, autojunk=False).get_opcodes():
+        if kind == "equal":
+            matched += a_end - a
+            for i, j in zip(range(a, a_end), range(b, b_end), strict=True):
+                parts.setdefault(e.owner[i], set()).add(v.owner[j])
+        elif (b_end - b) - (a_end - a) >= MIN_MISSING:
+            gone = [i for i in sorted(set(v.owner[b:b_end])) if v.keys[i] not in e.stream]
+            letters = sum(len(v.keys[i]) for i in gone)
+            if letters >= MIN_MISSING:
+                missing.append(" ".join(v.words[i] for i in gone))
+                lost += letters
+    glued = []
+    for i, own in sorted(parts.items()):
+        pieces = sorted(own)
+        apart = len(pieces) > 1 and len(re.sub("[^A-Za-z0-9]", "", e.words[i])) >= MIN_GLUED and not NOT_GLUED.search(e.words[i])
+        if apart and "".join(v.keys[j] for j in pieces) == e.keys[i] and sum(len(v.keys[j]) > 1 for j in pieces) > 1:
+            glued.append(e.words[i])
+    n = len(v.stream)
+    return {
+        "coverage": round(matched / n, 3) if n else 1.0, "missing": missing, "missing_share": round(lost / n, 3) if n else 0.0,
+        "glued": glued, "image_only": n >= MIN_PAGE and len(e.stream) < IMAGE_SHARE * n,
+    }
+
+
+def reading_risks(compared: dict) -> list[tuple[str, str]]:
+    """(level, kind) of what a comparison shows; one ok if nothing."""
+    out = []
+    if compared["image_only"]:
+        out.append(("bad", "image only"))
+    elif compared["missing"]:
+        out.append(("bad" if compared["missing_share"] >= BAD_SHARE else "warn", "text missing"))
+    if compared["glued"]:
+        out.append(("warn", "words run together"))
+    return out or [("ok", "readings agree")]
 
 
 def visual_risks(pages: DataFrame) -> DataFrame:
-    """(doc_id, status, glued, share, missing) of pages(doc_id, text, seen): seen comes from a reader of the image."""
+    """(doc_id, level, kind, coverage, missing, glued), a row a risk, of pages(doc_id, text, seen): seen comes from a reader of the image."""
 
     def each(frames):
         for f in frames:
-            got = [compare_readings(t or "", s or "") for t, s in zip(f["text"], f["seen"], strict=True)]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "status": [g["status"] for g in got], "glued": [g["glued"] for g in got], "share": [g["share"] for g in got], "missing": [g["missing"] for g in got]})
+            rows = []
+            for d, t, s in zip(f["doc_id"], f["text"], f["seen"], strict=True):
+                c = compare_readings(t or "", s or "")
+                rows += [(d, level, kind, c["coverage"], c["missing"], c["glued"]) for level, kind in reading_risks(c)]
+            yield pd.DataFrame(rows, columns=["doc_id", "level", "kind", "coverage", "missing", "glued"])
 
-    return pages.select("doc_id", "text", "seen").mapInPandas(each, "doc_id long, status string, glued int, share double, missing array<string>")
+    return pages.select("doc_id", "text", "seen").mapInPandas(each, "doc_id long, level string, kind string, coverage double, missing array<string>, glued array<string>")
 
 
 def concatenation_of(text: str, parts: set[str]) -> bool:
