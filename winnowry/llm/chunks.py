@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_path, stash, width
+from .shared import freed, shared_path, stash, width
 
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -78,7 +78,7 @@ def pack(df: DataFrame, text: str = "text", limit: int | None = None) -> DataFra
 
     name = f"winnowry_{shared_path(spark, 'x')[-32:]}"
     (
-        df.mapInArrow(chunked, "chunk long, payload binary")
+        df.mapInArrow(freed(chunked), "chunk long, payload binary")
         .write.format("parquet")
         .option("path", shared_path(spark, "chunks"))
         .option("compression", "none")
@@ -123,7 +123,7 @@ def ask(chunks: DataFrame, asker: Asker, answers: DataFrame | None = None) -> Da
                 held, size = defaultdict(list), 0
         yield from rows()
 
-    return joined(chunks, answers).mapInArrow(sent, ASK)
+    return joined(chunks, answers).mapInArrow(freed(sent), ASK)
 
 
 def answer(asked: DataFrame, answerer: Callable[[list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]], label: str) -> DataFrame:
@@ -140,7 +140,7 @@ def answer(asked: DataFrame, answerer: Callable[[list[tuple[int, bytes]]], Itera
                 some = out[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in some], pa.int64()), pa.array([k] * len(some), pa.int32()), pa.array([p for _, p in some], pa.binary())], names=["chunk", "bucket", "payload"])
 
-    return stash(asked.repartitionById(width(asked.sparkSession), F.col("bucket")).mapInArrow(solved, ANSWER), label)
+    return stash(asked.repartitionById(width(asked.sparkSession), F.col("bucket")).mapInArrow(freed(solved), ANSWER), label)
 
 
 def joined(chunks: DataFrame, *answers: DataFrame | None) -> DataFrame:

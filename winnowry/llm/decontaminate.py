@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table
+from .shared import freed, table
 from .words import U64, ascending, flat, mix, segment, span_keys, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -308,7 +308,7 @@ def _search(rows: DataFrame, part: DataFrame, threshold: float, schema: str) ->
                     d, i, s, w, n = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first).take(pa.array(d)), pa.array(i, pa.int64()), pa.array(s), pa.array(w, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "similarity", "start", "n_words"])
 
-    return rows.mapInArrow(found, schema)
+    return rows.mapInArrow(freed(found), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -328,7 +328,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
                     if stay.any():
                         yield some.filter(pa.array(stay))
 
-        out = out.mapInArrow(kept, schema)
+        out = out.mapInArrow(freed(kept), schema)
     return out.toDF(*docs.columns)
 
 

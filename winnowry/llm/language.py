@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import freed, table
 from .words import U64, flat
 
 FEATURES = 1 << 11
@@ -124,7 +124,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         y = words[np.searchsorted(names, langs[keep].tolist())].astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((names, words, *fit(x, y)))], pa.binary())], names=["model"])
 
-    got = some.mapInArrow(vector, "lang string, place double, x binary").repartition(1).mapInArrow(train, "model binary").collect()
+    got = some.mapInArrow(freed(vector), "lang string, place double, x binary").repartition(1).mapInArrow(freed(train), "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else None  # written by train() above
 
 
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(np.where(has, scores, 0.0)), pa.array(unsure)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInArrow(predicted, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(freed(predicted), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

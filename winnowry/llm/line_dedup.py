@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks as C
-from .shared import table
+from .shared import freed, table
 from .substring_dedup import starts_of
 from .words import _BASE, U64, ascending, flat, mix, powers, segment, span_keys
 
@@ -381,7 +381,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False, doc_id: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     n_buckets = C.width(docs.sparkSession)
-    out = C.joined(packed, first, third).mapInArrow(cut, schema)
+    out = C.joined(packed, first, third).mapInArrow(freed(cut), schema)
     return out.toDF(*names, *(("n_lines", "n_removed") if counts else ()))
 
 

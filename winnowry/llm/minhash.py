@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import BROADCAST_ROWS, stash
+from .shared import BROADCAST_ROWS, freed, stash
 from .words import U64, flat, mix, segment
 from .xxh64 import xxh64
 
@@ -105,7 +105,7 @@ def _keyed(rows: DataFrame, shingle: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(has, pa.array(band_keys(h, at).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(size)), pa.array(names(h, at).view(np.int64)), pa.array(size), keys], names=["doc_id", "node", "size", "keys"])
 
-    return rows.mapInArrow(keyed, "doc_id long, node long, size long, keys array<long>")
+    return rows.mapInArrow(freed(keyed), "doc_id long, node long, size long, keys array<long>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
                     some = has[i : i + 1000]
                     yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())], names=["node", "hashes"])
 
-    return rows.mapInArrow(held, "node long, hashes binary")
+    return rows.mapInArrow(freed(held), "node long, hashes binary")
 
 
 def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(freed(verified), "a long, b long")
 
 
 def _label(edges: DataFrame, groups: DataFrame) -> DataFrame:

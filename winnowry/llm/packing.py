@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stash, table
+from .shared import freed, stash, table
 from .token_store import grouped
 from .tokens import encoder
 from .words import flat
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, end: int, with_ids:
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "row", "ids"][: len(out)])
             row += len(of)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(freed(cut), schema)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +112,7 @@ def _packed(items: DataFrame, capacity: int, size: str, order: str, tag: int) ->
             yield from t.drop_columns("_shard").combine_chunks().to_batches(max_chunksize=1 << 14)
 
     schema = ", ".join(f"{c} {k}" for c, k in [*items.dtypes, ("bin", "long"), ("place", "long"), ("fill", "long")])
-    return items.withColumn("_shard", F.pmod(F.col(order), F.lit(shards)).cast("int")).repartitionById(shards, F.col("_shard")).mapInArrow(pack, schema)
+    return items.withColumn("_shard", F.pmod(F.col(order), F.lit(shards)).cast("int")).repartitionById(shards, F.col("_shard")).mapInArrow(freed(pack), schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,21 @@ def stash(df: DataFrame, label: str = "stash") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(work: Callable) -> Callable:
+    """work on batches, after which the Python worker, which is used again, gives back the memory that it no longer needs."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect(0)
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of an exchange: what the session is set to, which has to grow with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

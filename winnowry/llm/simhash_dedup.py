@@ -23,7 +23,7 @@ from . import chunks as C
 from .components import components
 from .golay import keys
 from .minhash import groups, shingle_hashes
-from .shared import stash, table, width, without
+from .shared import freed, stash, table, width, without
 from .words import U64, flat
 
 RADIUS = 3
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") -> DataF
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shingle_prints(b.column(at), shingle).view(np.int64))], names=[*b.schema.names, "fp"])
 
-    return rows.mapInArrow(printed, schema).toDF(*docs.columns, "fingerprint")
+    return rows.mapInArrow(freed(printed), schema).toDF(*docs.columns, "fingerprint")
 
 
 def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -132,7 +132,7 @@ def links(prints: DataFrame) -> DataFrame:
             if len(e):
                 yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
 
-    return prints.select("fp").mapInArrow(keyed, "bucket int, payload binary").repartitionById(n, F.col("bucket")).mapInArrow(verified, "a long, b long")
+    return prints.select("fp").mapInArrow(freed(keyed), "bucket int, payload binary").repartitionById(n, F.col("bucket")).mapInArrow(freed(verified), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

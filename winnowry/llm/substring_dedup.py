@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .shared import table
+from .shared import freed, table
 from .words import covered, flat, runs, segment, span_keys, windows
 
 LAST = np.iinfo(np.int64).max
@@ -170,7 +170,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts, pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), spans], names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
     buckets = C.width(docs.sparkSession)
-    return C.joined(packed, hit, gone).mapInArrow(cut, SCHEMA)
+    return C.joined(packed, hit, gone).mapInArrow(freed(cut), SCHEMA)
 
 
 def runs_by_text(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import chunks as C
 from .bwt import long_common
-from .shared import table
+from .shared import freed, table
 from .substring_dedup import runs_by_text
 from .words import U64, covered, flat, mix
 
@@ -246,7 +246,7 @@ def dedup_bytes(docs: DataFrame, least: int = 200, doc_id: str = "doc_id", text:
             spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(first - base, pa.int64()), pa.array(last - base, pa.int64())], names=["start", "end"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(np.diff(removed), pa.int64()), kept.cast(pa.binary()), spans], names=["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
-    return C.joined(packed, found).mapInArrow(cut, SCHEMA)
+    return C.joined(packed, found).mapInArrow(freed(cut), SCHEMA)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .repair import Grammar, compress, lengths, packed, unpacked
-from .shared import shared_path, table, width
+from .shared import freed, shared_path, table, width
 from .tokens import encoder
 from .words import flat
 
@@ -72,7 +72,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, termi
     # Rows of one doc_id may be many (nulls): the hash parts them too.
     rows = rows.withColumn("mixed", F.xxhash64("text"))
     dealt = rows.repartitionByRange(width(docs.sparkSession), "doc_id", "mixed").sortWithinPartitions("doc_id", "mixed", "text").drop("mixed")
-    dealt.mapInArrow(shards, SHARD).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    dealt.mapInArrow(freed(shards), SHARD).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def grouped(batches, limit: int):
@@ -131,7 +131,7 @@ def documents(store: DataFrame, with_ids: bool = True) -> DataFrame:
                     out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return store.select("terminals", "doc_ids", "tokens", "symbols", "rules", "expansions", "sequence", "before").mapInArrow(read, schema)
+    return store.select("terminals", "doc_ids", "tokens", "symbols", "rules", "expansions", "sequence", "before").mapInArrow(freed(read), schema)
 
 
 def one_document(shard, number: int) -> np.ndarray:

@@ -18,7 +18,7 @@ from .words import U64, distinct, eights, ends_of, mix
 from .xxh64 import xxh64
 
 #: Pieces that a worker remembers; beyond it the memory starts anew, which costs time only.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: New pieces that the library gets as one text.
 TOGETHER = 1 << 13
 
