@@ -9,7 +9,8 @@ into shards of SHARD pieces, packed side by side, in an order that depends on do
 open at the end of the shards is packed again as whole sequences, so shards leave next to nothing behind.
 
 Nulls: a null text is empty (the end id only); a null doc_id is returned as null. Repeated rows are packed each.
-An empty table gives an empty result. Other columns are ignored.
+Ties between gaps go to the least gap. A very long text takes memory in proportion to its length. An empty table gives
+an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

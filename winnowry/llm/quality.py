@@ -2,10 +2,10 @@
 
 Statistics of each text (words, symbols, repeated lines and words) become a vector of FEATURES. Every group of one
 language and source has its own estimate: STARTS first ones (medians and quartile ranges, mean and covariance of all
-vectors, mean and covariance of the vectors between the quartiles in every feature) each take concentration steps, in
-which the share SHARE of the vectors nearest by Mahalanobis distance gives the next mean and covariance, until none
-moves any more (at most STEPS). Of the three the one of least determinant stands. Texts farther than the CUTOFF
-quantile of chi-square are rejected.
+vectors, mean and covariance of the vectors between the quartiles in every feature) each take FIRST concentration
+steps, in which the share SHARE of the vectors nearest by Mahalanobis distance gives the next mean and covariance. Of
+the three the one of least determinant goes on, until no group's estimate moves any more (at most STEPS in all). Texts
+farther than the CUTOFF quantile of chi-square are rejected.
 
 Vectors are whole multiples of 1 / UNIT, so that sums are exact and results don't depend on how rows are dealt.
 A step is one aggregation: moments by group and by bin of distance (EDGE bins a factor of two), which are dealt by
@@ -34,7 +34,7 @@ from .shared import BROADCAST_ROWS, stash, table, without
 
 WHITE = r" \t\n\x0B\f\r"
 WINDOW = 5
-SHARE, STARTS, STEPS = 0.75, 3, 12
+SHARE, STARTS, FIRST, STEPS = 0.75, 3, 3, 12
 UNIT, EDGE = 1024, 64
 #: Texts' worth of the covariance within all groups that each group's own is drawn towards.
 PRIOR = 20
@@ -169,7 +169,7 @@ def _starts(rows: DataFrame, quarts: DataFrame, sent: Callable) -> DataFrame:
     plain = every.select("pool", F.lit(1).alias("start"), "w", *SUMS)
     spread = [F.sqrt(F.pow((F.col(f"q3_{i}") - F.col(f"q1_{i}")) / 1.349, 2) + F.lit((FLOOR[i] * UNIT) ** 2)) for i in range(D)]
     wide = quarts.select("pool", F.lit(0).alias("start"), *(F.col(f"q2_{i}").cast("double").alias(f"m{i}") for i in range(D)), *((spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS))
-    return stash(wide.unionByName(_roots(plain.unionByName(core), 1.0)), "estimate")
+    return wide.unionByName(_roots(plain.unionByName(core), 1.0))
 
 
 def distance(rows: DataFrame) -> Column:
@@ -209,7 +209,14 @@ def _step(rows: DataFrame, now: DataFrame, sent: Callable) -> DataFrame:
     bins = bins.withColumns({"before": F.sum("n").over(run.orderBy("bin")) - F.col("n"), "share": F.sum("n").over(run) * SHARE})
     part = F.least(F.lit(1.0), (F.col("share") - F.col("before")) / F.col("n"))
     near = bins.where("before < share").withColumn("f", part).groupBy("pool", "start").agg(F.sum(F.col("n") * F.col("f")).alias("w"), *(F.sum(F.col(c) * F.col("f")).alias(c) for c in SUMS))
-    return stash(_roots(near, CONSISTENT), "estimate")
+    return _roots(near, CONSISTENT)  # a few rows a group: computed from the bins where it is needed
+
+
+def _best(now: DataFrame) -> DataFrame:
+    """Of each group's estimates the one of least determinant, the first of equals, as its only one."""
+    size = sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
+    best = now.groupBy("pool").agg(F.min_by(F.struct(*MEANS, *ROOTS), F.struct(F.round(size, 6), "start")).alias("e"))
+    return best.select("pool", F.lit(0).alias("start"), "e.*")
 
 
 def _moved(now: DataFrame, before: DataFrame) -> float:
@@ -227,11 +234,11 @@ def estimates(rows: DataFrame) -> DataFrame:
     now = _starts(rows, quarts, sent)
     for turn in range(STEPS):
         now, before = _step(rows, now, sent), now
-        if turn % 3 == 2 and _moved(now, before) < SETTLED * UNIT:  # a look in three steps
+        if turn + 1 == FIRST:
+            now = _best(now)
+        elif turn > FIRST and turn % 2 == 0 and _moved(now, before) < SETTLED * UNIT:
             break
-    size = sum((F.log(f"l{i}{i}") for i in range(D)), F.lit(0.0))
-    best = now.groupBy("pool").agg(F.min_by(F.struct(*MEANS, *ROOTS), F.struct(F.round(size, 6), "start")).alias("e"))
-    return sent(stash(best.select("pool", "e.*"), "estimate"))
+    return sent(stash(now.drop("start"), "estimate"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -301,6 +308,7 @@ r{name} AS (SELECT pool, start, {means}, {", ".join(chol)} FROM own{name} JOIN a
     ]
     near = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{j} * y{j}" for j in range(i)) + f") / l{i}{i} AS y{i}" for i in range(D))
     square = " + ".join(f"y{i} * y{i}" for i in range(D))
+    size = " + ".join(f"ln(l{i}{i})" for i in range(D))
     for k in range(STEPS):
         parts = ", ".join(f"sum({c} * f) AS {c}" for c in SUMS)
         steps.append(f"""d{k} AS (SELECT pool, start, {xs}, {near}, floor(log2({square} + 1e-6) * {EDGE}) AS bin FROM v JOIN e{k} USING (pool)),
@@ -308,10 +316,9 @@ b{k} AS (SELECT pool, start, bin, count(*) AS n, {sums} FROM d{k} GROUP BY ALL),
 o{k} AS (SELECT *, sum(n) OVER (PARTITION BY pool, start ORDER BY bin) - n AS before, sum(n) OVER (PARTITION BY pool, start) * {SHARE}::DOUBLE AS share FROM b{k}),
 n{k} AS (SELECT *, least(1.0::DOUBLE, (share - before) / n) AS f FROM o{k} WHERE before < share),
 {roots(f"SELECT pool, start, sum(n * f) AS w, {parts} FROM n{k} GROUP BY pool, start", str(k), CONSISTENT)},
-e{k + 1} AS MATERIALIZED (SELECT * FROM r{k})""")
+e{k + 1} AS MATERIALIZED (SELECT * {f"REPLACE (0 AS start) FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY round({size}, 6), start) AS turn FROM r{k}) WHERE turn = 1" if k + 1 == FIRST else f"FROM r{k}"})""")
     columns = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
-    size = " + ".join(f"ln(l{i}{i})" for i in range(D))
-    last = f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY round({size}, 6), start) AS turn FROM e{STEPS}) WHERE turn = 1),\nfar AS (SELECT v.*, {near}, {square} AS far FROM v JOIN best USING (pool))"
+    last = f"far AS (SELECT v.*, {near}, {square} AS far FROM v JOIN e{STEPS} USING (pool))"
     return f"WITH {stats}\n{named}\n" + ",\n".join(steps) + f",\n{last}\nSELECT {columns}, far <= {LIMIT!r} AS kept FROM far UNION ALL SELECT {columns}, false FROM base WHERE base_failed"
 
 

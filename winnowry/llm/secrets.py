@@ -11,7 +11,8 @@ nothing is lost. Copies of a text share their postings. Candidates go to the tex
 are few (BROADCAST rows, counted), else by a join on the key, which moves the texts.
 
 All of it is DataFrame operations. Nulls: a null text is empty, a null doc_id is returned as null; repeated rows
-are all returned; an empty table gives an empty result; other columns are ignored.
+are all returned; spans of two rules that start at one place go by the order of the rules; a very long text is one
+row, scanned once a rule; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
