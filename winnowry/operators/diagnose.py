@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.fields import EMAIL, PHONE
 from ..functions.text import doubled_words, full_lines, likely_headings, looks_doubled, unmapped_glyphs, words
 
+#: A character of the private use area, which is taken out of lines.
+MARK = "\uf8ff"
 LINK = r"(?i)\b(?:https?://\S+|www\.\S+|(?:linkedin|github)\.com/\S+)"
 
 
@@ -48,10 +50,12 @@ def mask(line: Column | str, label: Column | None = None, name_words: Column | N
     """
     line = F.col(line) if isinstance(line, str) else line
     steps = ((EMAIL, "[email]"), (LINK, "[link]"), (PHONE, "[phone]"))
-    count, out = F.lit(0), line
+    # Each pattern runs once: replacements leave a mark that no line has, and the marks are counted.
+    out = F.translate(line, MARK, "")
     for pattern, word in steps:
-        count = count + F.regexp_count(out, F.lit(pattern))
-        out = F.regexp_replace(out, pattern, F.lit(word).cast("string"))
+        out = F.regexp_replace(out, pattern, F.lit(MARK + word).cast("string"))
+    count = F.length(out) - F.length(F.translate(out, MARK, ""))
+    out = F.translate(out, MARK, "")
     if name_words is not None:
         own = F.filter(F.array_distinct(name_words), lambda w: F.length(w) >= 2)
         some = F.concat(F.lit(r"(?iU)(?<!\w)(?:"), F.array_join(F.transform(own, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"), F.lit(r")(?!\w)"))

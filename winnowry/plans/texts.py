@@ -125,7 +125,16 @@ _RESUME = (
 
 QUERIES = {f.__name__: f for f in (extract_email, extract_phone, line_explode, section_fill, section_map, line_shape, neighbor_lines, heading_context, nearest_number, normal_values, guess_title, text_chunks, doubled_letters, mask_pii, resume_fields)}
 _W = "OVER (PARTITION BY doc_id ORDER BY line_no"
+_LIST = lambda x: f"list_filter(string_split_regex({x}, '[\\s\\x0B]+'), lambda w: w <> '')"
+_TRIM = lambda x: f"regexp_replace({x}, '^[\\s\\x0B\\p{{Z}}]+|[\\s\\x0B\\p{{Z}}]+$', '', 'g')"
+_JOINED = _TRIM("a.held || ' ' || x.line")
+_FLUSHED = "CASE WHEN a.held <> '' THEN list_append(a.out, a.held) ELSE a.out END"
 ORACLES = {
+    "text_chunks": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: {_TRIM("regexp_replace(x, '^[^\\pL\\pM\\pN_]+', '')")}), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, list_reduce(list_prepend({{'out': []::VARCHAR[], 'held': '', 'line': ''}}, list_transform(l, lambda x: {{'out': []::VARCHAR[], 'held': '', 'line': x}})), lambda a, x:
+ CASE WHEN len({_LIST("x.line")}) > 40 THEN {{'out': list_concat({_FLUSHED}, list_transform(range(0, (len({_LIST("x.line")}) + 39) // 40), lambda i: array_to_string(({_LIST("x.line")})[40 * i + 1:40 * i + 40], ' '))), 'held': '', 'line': ''}}
+ WHEN len({_LIST(_JOINED)}) >= 4 THEN {{'out': list_append(a.out, {_JOINED}), 'held': '', 'line': ''}} ELSE {{'out': a.out, 'held': {_JOINED}, 'line': ''}} END) AS a FROM l), f AS (SELECT doc_id, {_FLUSHED} AS c FROM s)
+SELECT doc_id, n, chunk FROM (SELECT doc_id, unnest(range(0, len(c))) AS n, unnest(c) AS chunk FROM f)""",
     "extract_email": f"SELECT doc_id, nullif(regexp_extract(text, '{fields.EMAIL}'), '') AS email FROM documents",
     "extract_phone": f"SELECT doc_id, p AS phone, right(regexp_replace(p, '\\D', '', 'g'), 10) AS digits FROM (SELECT doc_id, nullif(regexp_extract(text, '{fields.PHONE}'), '') AS p FROM documents)",
     "line_explode": f"SELECT doc_id, line_no, line FROM {_FULL}",
