@@ -113,3 +113,21 @@ def test_store_and_curves(spark, tmp_path):
     assert store.load() is not None and store.info()["corrections"] == 1
     store.reset()
     assert store.load() is not None and store.info()["corrections"] == 0 and Store(spark, str(tmp_path / "s"), 2).load() is None
+
+
+def test_tfidf_must_be_fitted(spark):
+    from winnowry.operators.scoring import NotFitted, TfIdf
+
+    docs = spark.createDataFrame([(1, "red green apples"), (2, "blue pears")], "doc_id int, text string")
+    posting = spark.createDataFrame([("p", "green apples wanted")], "posting_id string, text string")
+    with pytest.raises(NotFitted):
+        TfIdf().score(docs, posting)
+    got = TfIdf().fit(docs, posting).score(docs, posting).collect()
+    assert [(r.doc_id, r.posting_id) for r in got] == [(1, "p")] and 0 < got[0].score < 1
+
+
+def test_headings_apart(spark):
+    from winnowry.sources.html import headings_apart
+
+    rows = spark.createDataFrame([("<h1>Jo Li</h1><h2>Work</h2><h3>Work</h3><h4> </h4>", ["jo", "li"])], "h string, own array<string>")
+    assert rows.select(headings_apart("h", F.col("own")).alias("x")).first().x == ["Work"]

@@ -84,7 +84,7 @@ class Keyword:
         return reduce(Column.__add__, got) / total if got else F.lit(0.0)
 
 
-# Words that TF-IDF leaves out.
+# English words that TF-IDF leaves out where the caller gives no list of its own.
 STOP_WORDS = tuple("a about after all also an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it its just like me more most my no not of on one only or other our out over she so some such than that the their them then there these they this to under up us was we were what when where which who will with would you your".split())
 
 
@@ -110,6 +110,34 @@ def fit_idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_docs)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+class NotFitted(RuntimeError):
+    """A scorer that needs a pool was asked before it saw one."""
+
+
+class TfIdf:
+    """TF-IDF against postings, fitted once on a pool and its postings, so that variants of a text never change weights."""
+
+    name = "tfidf"
+
+    def __init__(self, stop: tuple[str, ...] = STOP_WORDS):
+        self.stop, self.idf = stop, None
+
+    def counts(self, rows: DataFrame, key: str, text: str) -> DataFrame:
+        return rows.select(F.col(key).alias("doc_id"), F.explode(term_list(F.coalesce(F.col(text), F.lit("")), self.stop)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+    def fit(self, pool: DataFrame, postings: DataFrame, doc_id: str = "doc_id", posting_id: str = "posting_id", text: str = "text") -> TfIdf:
+        both = pool.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t")).unionAll(postings.select(F.concat(F.lit("posting "), F.col(posting_id).cast("string")), F.col(text)))
+        self.idf = fit_idf(self.counts(both, "id", "t"), both.agg(F.count("*").alias("n")))
+        return self
+
+    def score(self, pool: DataFrame, postings: DataFrame, doc_id: str = "doc_id", posting_id: str = "posting_id", text: str = "text") -> DataFrame:
+        """(doc_id, posting_id, score) of the pairs with a common term."""
+        if self.idf is None:
+            raise NotFitted("fit() comes first")
+        own = weigh(self.counts(postings, posting_id, text), self.idf)
+        return cosine(weigh_against(self.counts(pool, doc_id, text), self.idf, own), own)
+
+
 def weigh(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """(doc_id, term, w): unit vectors of tf * idf; terms the fit doesn't know are left out."""
     raw = counts.join(idf.select("term", "idf"), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("x"))

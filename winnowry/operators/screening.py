@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,6 +105,20 @@ def positions(scored: DataFrame, score: str) -> DataFrame:
     )
 
 
+def warm(pool: DataFrame, postings: dict[str, list[Requirement]], path: str, scorers: list[Scorer] | None = None, text: str = "text") -> None:
+    """Write the pool's scores for each posting and scorer as counts, so that one more document is ranked without the pool."""
+    scorers = scorers or [Keyword()]
+    each = F.array(*(F.struct(F.lit(p).alias("posting_id"), F.lit(s.name).alias("scorer"), F.round(s.score(text, r), 4).alias("score")) for p, r in postings.items() for s in scorers))
+    rows = pool.select(F.inline(each)).groupBy("posting_id", "scorer", "score").agg(F.count("*").alias("n"))
+    rows.write.mode("overwrite").partitionBy("posting_id").parquet(path)
+
+
+def warmed(spark: SparkSession, path: str, posting_id: str | None = None) -> DataFrame:
+    """(posting_id, scorer, score, n) that warm() wrote; of one posting only its folder is read."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("posting_id") == posting_id) if posting_id is not None else rows
+
+
 def match(pool: DataFrame, rules: Rules, requirements: list[Requirement], policy: str = "review", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against one posting: status, reasons and missing rules, score, its place among the others, and the terms found and not found."""
     own = pool.select(F.col(doc_id).alias("doc_id"), outcome(Person.of_columns(), rules, policy).alias("o"), Keyword().explain(text, requirements).alias("e"))

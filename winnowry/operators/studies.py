@@ -155,6 +155,35 @@ def voted(parsed: DataFrame, order: list[str], key: str = "doc_id", parser: str
     return rows.select(key, F.lit("vote").alias(parser), F.struct(*fields, skills.alias("skills"), F.coalesce(jobs, empty).alias("experience")).alias(record))
 
 
+def parse_all(docs: DataFrame, parsers: dict[str, Callable[[DataFrame], DataFrame]], doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, parser, parsed): what each parser reads of each document, and the vote of all if there are two or more.
+
+    A parser takes docs and returns them with the columns of STRICT.
+    """
+    out = None
+    for name, read in parsers.items():
+        one = read(docs).select(F.col(doc_id).alias("doc_id"), F.lit(name).alias("parser"), F.struct(*STRICT).alias("parsed"))
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(voted(out, list(parsers))) if len(parsers) > 1 else out
+
+
+def analyze(docs: DataFrame, rules, requirements, parsers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Each document in one row: what may go wrong in reading it, its preferred reading, and its match with a posting.
+
+    docs: doc_id, text and what a candidate answered (the columns of Person that no document holds).
+    """
+    from ..functions.fields import parse
+    from .diagnose import level, risks
+    from .screening import match
+
+    read = preferred(parse_all(docs.select("doc_id", "text"), parsers or {"naive": parse}))
+    own = docs.drop("grad_date", "gpa", "degree_level", "field_of_study") if parsers else docs
+    if parsers:
+        own = own.join(read.select("doc_id", *(F.col(f"parsed.{c}").alias(c) for c in ("grad_date", "gpa", "degree_level", "field_of_study"))), "doc_id")
+    told = docs.select("doc_id", risks("text").alias("risks")).select("doc_id", level(F.col("risks")).alias("level"), F.transform("risks", lambda r: r["kind"]).alias("risks"))
+    return match(own, rules, requirements).join(told, "doc_id").join(read.withColumnRenamed("parser", "read_by"), "doc_id")
+
+
 def skill_groups(skills: Column, categories: dict[str, str], labels: dict[str, str], other: str = "Other") -> Column:
     """array of struct(label, skills) in the order in which labels first come. categories: of each skill; labels: of each category."""
     names = F.create_map(*(F.lit(x) for s, c in categories.items() for x in (s, labels.get(c, other)))) if categories else F.create_map().cast("map<string,string>")

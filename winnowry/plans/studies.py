@@ -12,9 +12,10 @@ from ..operators import sampling
 from ..operators import studies as S
 from ..operators.knockouts import Person, outcome
 from ..operators.scoring import Keyword, Requirement
-from ..operators.screening import in_order, match, screen, screen_postings
+from ..operators.screening import in_order, match, screen, screen_postings, warm, warmed
 from ..sources import records
 from ..streaming import feeds
+from . import linework, texts
 from .metrics import _CASES, _draws, N_BOOT
 from .screening import _SQL_POOL, POSTING, RULES, _sql_outcome, _sql_score, pool
 from .tables import scratch, table
@@ -141,6 +142,19 @@ def skill_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", F.posexplode(got).alias("n", "g")).select("o_custkey", "n", "g.label", F.array_join("g.skills", ", ").alias("skills"))
 
 
+def complete_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risks of reading, status and place of every candidate in one row."""
+    got = S.analyze(pool(spark, sf_dir), RULES, POSTING)
+    return got.select("doc_id", "level", F.array_join("risks", "; ").alias("kinds"), "read_by", "parsed.email", "status", "score", "rank", "of")
+
+
+def pool_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of the pool for two postings, written once and read for one of them."""
+    path = scratch(spark)
+    warm(table(spark, sf_dir, "documents"), {"a": POSTING, "b": POSTING[:3]}, path)
+    return warmed(spark, path, "b").select("score", "n")
+
+
 def people_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """People written as JSON and read again, and their exchange records."""
     p, path = _people(spark, sf_dir), scratch(spark)
@@ -215,7 +229,7 @@ def replay_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (layout_counts, layout_overall, layout_fields, layout_effects, layout_transitions, lenient_fields, parser_benchmark, parser_accuracy, voted_fields, match_positions, screen_two_postings, screening_order, skill_groups, people_file, postings_file, resumes_file, labels_file, vector_cache, arrivals_scored, replay_memory)
+    for f in (layout_counts, layout_overall, layout_fields, layout_effects, layout_transitions, lenient_fields, parser_benchmark, parser_accuracy, voted_fields, match_positions, screen_two_postings, screening_order, complete_analysis, pool_cache, skill_groups, people_file, postings_file, resumes_file, labels_file, vector_cache, arrivals_scored, replay_memory)
 }
 
 _P = "(" + _PERSON.format(customer="customer").replace("string", "VARCHAR").replace("0D", "0::DOUBLE").replace("array(", "list_value(").replace("element_at", "list_extract") + ")"
@@ -272,6 +286,7 @@ SELECT doc_id, status, score, 1 + (SELECT count(*) FROM s o WHERE o.score > s.sc
  {_EXPLAIN.format("")} AS found, {_EXPLAIN.format("NOT")} AS lacking FROM s"""
 
 
+RISKS, EMAILS = linework.ORACLES["document_risks"], texts.ORACLES["extract_email"]
 _SCREENED = f"WITH p AS ({_SQL_POOL}), {_sql_outcome('review')}"
 _RANK = "CASE WHEN status <> 'REJECT' THEN rank() OVER (PARTITION BY posting_id, status <> 'REJECT' ORDER BY score_keyword DESC) END"
 ORACLES = {
@@ -291,6 +306,8 @@ SELECT parser, layout, tp, fp, fn, round({_F1}, 5) AS f1, round(f1_lo, 5) AS f1_
     "match_positions": _match_sql(),
     "screen_two_postings": f"{_SCREENED}, s AS (SELECT 'a' AS posting_id, doc_id, status, {_sql_score(POSTING)} AS score_keyword FROM q UNION ALL SELECT 'b', doc_id, status, {_sql_score(POSTING[:3])} FROM q) SELECT *, {_RANK} AS rank_keyword FROM s",
     "screening_order": f"{_SCREENED}, s AS (SELECT doc_id, status, {_sql_score(POSTING)} AS score_keyword FROM q) SELECT doc_id, status, score_keyword FROM s ORDER BY status = 'REJECT', CASE WHEN status <> 'REJECT' THEN -score_keyword END, doc_id LIMIT 20",
+    "complete_analysis": f"SELECT doc_id, level, kinds, 'naive' AS read_by, email, status, score, rank, of FROM ({RISKS}) r JOIN ({_match_sql()}) m USING (doc_id) JOIN ({EMAILS}) e USING (doc_id)",
+    "pool_cache": f"SELECT score, count(*) AS n FROM (SELECT {_sql_score(POSTING[:3])} AS score FROM documents) GROUP BY ALL",
     "skill_groups": """WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority AS s, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Soon' WHEN o_orderpriority = '5-LOW' THEN 'Later' ELSE 'Other' END AS label FROM orders),
 g AS (SELECT o_custkey, label, min(s) AS first, string_agg(s, ', ' ORDER BY s) AS skills FROM a GROUP BY ALL) SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY first) - 1 AS n, label, skills FROM g""",
     "people_file": f"""SELECT doc_id::VARCHAR AS id, '{{"basics":{{"name":"' || name || '","email":"' || email || '","phone":"' || coalesce(phone, '0') || '","location":{{"city":"Town","region":"ST"}}}},"work":[{{"name":"Quell Labs","position":"Analyst","location":"There","startDate":"2019-06-01","endDate":"2020-08-01","highlights":["found things"]}}],"education":[{{"institution":"' || school || '","area":"' || field_of_study || '","studyType":"' || degree || '","endDate":"' || grad_date || '-01","score":"' || printf('%.2f', coalesce(gpa, 1.5)) || '"}}],"projects":[{{"name":"P","highlights":["made it"]}}],"skills":[{{"name":"Technical","keywords":["' || skill || '"]}}]}}' AS record FROM {_P}""",

@@ -63,6 +63,13 @@ def plain_text(html: Column | str) -> Column:
     return read(html)
 
 
+def headings_apart(html: Column | str, own: Column) -> Column:
+    """Texts of heading tags that aren't made of the person's own words: own is an array of lower-case tokens."""
+    from ..functions.text import tokens
+
+    return F.array_distinct(F.filter(heading_texts(html), lambda x: (F.size(tokens(x)) > 0) & (F.size(F.array_except(tokens(x), own)) > 0)))
+
+
 def heading_texts(html: Column | str) -> Column:
     """Texts of heading tags by patterns alone: for pages whose headings hold plain text."""
     html = F.col(html) if isinstance(html, str) else html
