@@ -22,14 +22,14 @@ def numpy_mcd(groups):
     floor = np.diag((np.array(quality.FLOOR) * quality.UNIT) ** 2)
     cov = lambda x, f: ((m := (f[:, None] * x).sum(axis=0) / f.sum()), (f[:, None, None] * x[:, :, None] * x[:, None, :]).sum(axis=0) / f.sum() - np.outer(m, m))
     far = lambda x, e: (np.linalg.solve(e[1], (x - e[0]).T) ** 2).sum(axis=0)
+    total = sum(map(len, groups.values()))
+    quarts = {k: [np.sort(x, axis=0)[int(np.ceil(len(x) * q)) - 1] for q in (0.25, 0.5, 0.75)] for k, x in groups.items()}
+    common = np.diag(sum(len(groups[k]) * ((q[2] - q[0]) / 1.349) ** 2 for k, q in quarts.items()) / total)
 
     def roots(weights, consistent):
         own = {k: cov(x, f) for k, (x, f) in weights.items()}
-        total = sum(f.sum() for _, f in weights.values())
-        common = sum(f.sum() * own[k][1] for k, (_, f) in weights.items()) / total
         return {k: (m, np.linalg.cholesky((c * (w := weights[k][1].sum()) + common * quality.PRIOR) / (w + quality.PRIOR) * consistent + floor)) for k, (m, c) in own.items()}
 
-    quarts = {k: [np.sort(x, axis=0)[int(np.ceil(len(x) * q)) - 1] for q in (0.25, 0.5, 0.75)] for k, x in groups.items()}
     inside = {k: ((x >= quarts[k][0]) & (x <= quarts[k][2])).all(axis=1) for k, x in groups.items()}
     starts = [
         {k: (q[1].astype(float), np.sqrt(np.diag(((q[2] - q[0]) / 1.349) ** 2) + floor)) for k, q in quarts.items()},

@@ -12,8 +12,9 @@ A step is one aggregation: moments by group and by bin of distance (EDGE bins a
 group and bin; no group's rows ever meet in one task. The nearest share is a prefix of the bins, and of the bin where
 it ends all vectors count with the fraction that is missing, so it is exact. The covariance gets FLOOR^2 added on its
 diagonal, for most texts have no symbol and no repeat at all and an estimate without width would reject the rest, and
-PRIOR texts' worth of the covariance within all groups, so that a group too small for a covariance of its own (five
-texts or fewer have none) takes the common one around its own mean. A group of one text rejects none.
+PRIOR texts' worth of the spread within all groups (the mean square of their quartile ranges), so that a group too small
+for a covariance of its own (five texts or fewer have none) takes the common spread around its own mean. A group of one
+text rejects none.
 
 Nulls: a null text has no words and fails the base; null language or source is a group of its own; a null doc_id is
 returned as null. Repeated rows count each; vectors at one distance are in a bin and so are treated alike. A very
@@ -36,7 +37,7 @@ WHITE = r" \t\n\x0B\f\r"
 WINDOW = 5
 SHARE, STARTS, FIRST, STEPS = 0.75, 3, 3, 12
 UNIT, EDGE = 1024, 64
-#: Texts' worth of the covariance within all groups that each group's own is drawn towards.
+#: Texts' worth of the spread within all groups that each group's covariance is drawn towards.
 PRIOR = 20
 #: Estimates that differ by less have settled.
 SETTLED = 1e-9
@@ -140,76 +141,76 @@ def _pool() -> Column:
     return F.concat(F.coalesce(F.length("lang"), F.lit(-1)), F.lit(":"), F.coalesce("lang", F.lit("")), F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
 
 
-def _moments(condition: Column | None = None) -> list[Column]:
-    at = lambda c: F.when(condition, c) if condition is not None else c
-    x = [F.col(f"x{i}") for i in range(D)]
-    return [F.sum(at(x[i])).alias(f"s{i}") for i in range(D)] + [F.sum(at(x[i] * x[j])).alias(f"p{i}{j}") for i, j in PAIRS]
-
-
 def _quartiles(rows: DataFrame) -> DataFrame:
-    """pool with q1_0.. (quartiles) and q2_0.. (medians): from exact counts of each value, which are few."""
+    """pool with its size w, q1_0.. (quartiles) and q2_0.. (medians): from exact counts of each value, which are few."""
     long = rows.select("pool", F.posexplode(F.array(*(f"x{i}" for i in range(D)))).alias("j", "v")).groupBy("pool", "j", "v").count()
     long = stash(long, "counts")  # dealt by value; the running sums below see a row a value
     run = Window.partitionBy("pool", "j")
     long = long.select("pool", "j", "v", F.sum("count").over(run.orderBy("v")).alias("upto"), F.sum("count").over(run).alias("n"))
     at = {k: F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("v"))).alias(k) for k, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
-    each = long.groupBy("pool", "j").agg(*at.values())
-    return each.groupBy("pool").agg(*(F.max(F.when(F.col("j") == i, F.col(k))).alias(f"{k}_{i}") for k in at for i in range(D)))
+    each = long.groupBy("pool", "j").agg(F.max("n").alias("n"), *at.values())
+    return each.groupBy("pool").agg(F.max("n").cast("double").alias("w"), *(F.max(F.when(F.col("j") == i, F.col(k))).alias(f"{k}_{i}") for k in at for i in range(D)))
+
 
+def _spread(i: int) -> Column:
+    """Variance that the quartile range of a feature stands for, of a normal population."""
+    return F.pow((F.col(f"q3_{i}") - F.col(f"q1_{i}")) / 1.349, 2)
 
-def _starts(rows: DataFrame, quarts: DataFrame, sent: Callable) -> DataFrame:
+
+def _starts(rows: DataFrame, quarts: DataFrame, common: list[float], sent: Callable) -> DataFrame:
     """The first estimates: pool, start, means and roots."""
-    inside = F.lit(True)
-    for i in range(D):
-        inside = inside & F.col(f"x{i}").between(F.col(f"q1_{i}"), F.col(f"q3_{i}"))
-    both = rows.join(sent(quarts), "pool")
-    every = both.groupBy("pool").agg(F.count("*").cast("double").alias("w"), *_moments(), F.count_if(inside).cast("double").alias("cw"), *(m.alias(f"c{n}") for m, n in zip(_moments(inside), SUMS, strict=True)))
+    inside = " AND ".join(f"x{i} BETWEEN q1_{i} AND q3_{i}" for i in range(D))
+    both = rows.join(sent(quarts.drop("w")), "pool")
+    every = both.groupBy("pool").agg(F.expr("cast(count(*) AS double) AS w"), *_moments(), F.expr(f"cast(count_if({inside}) AS double) AS cw"), *_moments(inside, "c"))
     every = stash(every, "moments")
     core = every.select("pool", F.lit(2).alias("start"), F.col("cw").alias("w"), *(F.col(f"c{n}").alias(n) for n in SUMS)).where("w > 0")
     plain = every.select("pool", F.lit(1).alias("start"), "w", *SUMS)
-    spread = [F.sqrt(F.pow((F.col(f"q3_{i}") - F.col(f"q1_{i}")) / 1.349, 2) + F.lit((FLOOR[i] * UNIT) ** 2)) for i in range(D)]
+    spread = [F.sqrt(_spread(i) + F.lit((FLOOR[i] * UNIT) ** 2)) for i in range(D)]
     wide = quarts.select("pool", F.lit(0).alias("start"), *(F.col(f"q2_{i}").cast("double").alias(f"m{i}") for i in range(D)), *((spread[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS))
-    return wide.unionByName(_roots(plain.unionByName(core), 1.0))
-
-
-def distance(rows: DataFrame) -> Column:
-    """Squared Mahalanobis distance of x0.. from m0.. with the lower triangular root l00.. of the covariance."""
-    y: list[Column] = []
-    for i in range(D):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * y[j]
-        y.append(rest / F.col(f"l{i}{i}"))
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
-    return total
-
-
-def _roots(near: DataFrame, consistent: float) -> DataFrame:
-    """Means and the root of the covariance from weighted moments (w, SUMS) by pool and start."""
-    own = near.select("pool", "start", "w", *((F.col(f"s{i}") / F.col("w")).alias(f"m{i}") for i in range(D)), *(F.col(f"p{i}{j}") / F.col("w") - F.col(f"s{i}") / F.col("w") * F.col(f"s{j}") / F.col("w") for i, j in PAIRS))
-    own = own.toDF("pool", "start", "w", *MEANS, *(f"c{i}{j}" for i, j in PAIRS))
-    common = own.groupBy("start").agg(*((F.sum(F.col("w") * F.col(f"c{i}{j}")) / F.sum("w")).alias(f"g{i}{j}") for i, j in PAIRS))
-    out = own.join(F.broadcast(common), "start")  # STARTS rows
-    for i, j in PAIRS:  # Cholesky decomposition, row by row
-        rest = (F.col(f"c{i}{j}") * F.col("w") + F.col(f"g{i}{j}") * PRIOR) / (F.col("w") + PRIOR) * consistent + (F.lit((FLOOR[i] * UNIT) ** 2) if i == j else F.lit(0.0))
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("pool", "start", *MEANS, *ROOTS)
-
-
-def _step(rows: DataFrame, now: DataFrame, sent: Callable) -> DataFrame:
+    return wide.unionByName(_roots(plain.unionByName(core), common, 1.0))
+
+
+# Expressions as text: a step has hundreds of parts, and each would be a call from Python to the planner.
+XS = [f"x{i}" for i in range(D)]
+#: Coordinates in which the estimate m, l is the standard normal one: the lower triangular root solved row by row.
+COORDINATES = [f"(x{i} - m{i}{''.join(f' - l{i}{j} * y{j}' for j in range(i))}) / l{i}{i} AS y{i}" for i in range(D)]
+DISTANCE = " + ".join(f"y{i} * y{i}" for i in range(D))
+CENTRED = [f"s{i} / w AS m{i}" for i in range(D)] + [f"p{i}{j} / w - s{i} / w * s{j} / w AS c{i}{j}" for i, j in PAIRS]
+
+
+def _moments(condition: str | None = None, prefix: str = "") -> list[Column]:
+    at = lambda c: f"CASE WHEN {condition} THEN {c} END" if condition else c
+    return [F.expr(f"sum({at(f'x{i}')}) AS {prefix}s{i}") for i in range(D)] + [F.expr(f"sum({at(f'x{i} * x{j}')}) AS {prefix}p{i}{j}") for i, j in PAIRS]
+
+
+def _cholesky(common: list[float], consistent: float) -> list[str]:
+    """The root of the covariance, row by row."""
+    out = []
+    for i, j in PAIRS:
+        prior, floor = (f" + {common[i] * PRIOR!r}D", f" + {(FLOOR[i] * UNIT) ** 2!r}D") if i == j else ("", "")
+        rest = f"((c{i}{j} * w{prior}) / (w + {PRIOR}) * {consistent!r}D{floor}{''.join(f' - l{i}{k} * l{j}{k}' for k in range(j))})"
+        out.append(f"sqrt{rest} AS l{i}{j}" if i == j else f"{rest} / l{j}{j} AS l{i}{j}")
+    return out
+
+
+def _roots(near: DataFrame, common: list[float], consistent: float) -> DataFrame:
+    """Means and the root of the covariance from weighted moments (w, SUMS) by pool and start. common: the spread within all groups."""
+    return near.selectExpr("pool", "start", "w", *CENTRED).selectExpr("pool", "start", *MEANS, *_cholesky(common, consistent))
+
+
+_PART = "greatest(0D, least(1D, (share - acc.before) / x.n))"
+_NEAREST = f"""aggregate(bins, named_struct('before', 0L, 'w', 0D, {", ".join(f"'{c}', 0D" for c in SUMS)}),
+ (acc, x) -> named_struct('before', acc.before + x.n, 'w', acc.w + x.n * {_PART}, {", ".join(f"'{c}', acc.{c} + x.{c} * {_PART}" for c in SUMS)}))"""
+
+
+def _step(rows: DataFrame, now: DataFrame, common: list[float], sent: Callable) -> DataFrame:
     """The estimates from the share of the vectors that is nearest by each of the estimates `now`."""
-    bin_ = F.floor(F.log2(distance(rows) + 1e-6) * EDGE).alias("bin")
-    bins = rows.join(sent(now), "pool").select("pool", "start", *(f"x{i}" for i in range(D)), bin_).groupBy("pool", "start", "bin").agg(F.count("*").alias("n"), *_moments())
-    bins = stash(bins, "bins")  # dealt by bin; the running sum below sees a row a bin
-    run = Window.partitionBy("pool", "start")
-    bins = bins.withColumns({"before": F.sum("n").over(run.orderBy("bin")) - F.col("n"), "share": F.sum("n").over(run) * SHARE})
-    part = F.least(F.lit(1.0), (F.col("share") - F.col("before")) / F.col("n"))
-    near = bins.where("before < share").withColumn("f", part).groupBy("pool", "start").agg(F.sum(F.col("n") * F.col("f")).alias("w"), *(F.sum(F.col(c) * F.col("f")).alias(c) for c in SUMS))
-    return _roots(near, CONSISTENT)  # a few rows a group: computed from the bins where it is needed
+    far = rows.join(sent(now), "pool").selectExpr("pool", "start", *XS, *COORDINATES)
+    bins = far.selectExpr("pool", "start", *XS, f"floor(log2({DISTANCE} + 1e-6D) * {EDGE}) AS bin").groupBy("pool", "start", "bin").agg(F.count("*").alias("n"), *_moments())
+    bins = stash(bins, "bins")  # dealt by bin; what follows has a row a group, an array of its bins, some 3,000 at most
+    each = bins.groupBy("pool", "start").agg(F.expr(f"sort_array(collect_list(struct(bin, n, {', '.join(SUMS)}))) AS bins"), F.expr(f"sum(n) * {SHARE}D AS share"))
+    near = each.selectExpr("pool", "start", f"{_NEAREST} AS near").selectExpr("pool", "start", "near.*")
+    return _roots(near, common, CONSISTENT)  # a few rows: computed from the bins where it is needed
 
 
 def _best(now: DataFrame) -> DataFrame:
@@ -231,9 +232,11 @@ def estimates(rows: DataFrame) -> DataFrame:
     quarts = stash(_quartiles(rows), "quartiles")
     # Groups are counted: while their estimates fit a broadcast, vectors stay where they are and only sums are dealt.
     sent = F.broadcast if STARTS * quarts.count() <= BROADCAST_ROWS else lambda table: table
-    now = _starts(rows, quarts, sent)
+    # One row: the mean of the groups' spreads, by their sizes.
+    common = [v or 0.0 for v in quarts.agg(*(F.sum(F.col("w") * _spread(i)) / F.sum("w") for i in range(D))).first()]
+    now = _starts(rows, quarts, common, sent)
     for turn in range(STEPS):
-        now, before = _step(rows, now, sent), now
+        now, before = _step(rows, now, common, sent), now
         if turn + 1 == FIRST:
             now = _best(now)
         elif turn > FIRST and turn % 2 == 0 and _moved(now, before) < SETTLED * UNIT:
@@ -246,8 +249,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     stats = stash(features(statistics(docs, doc_id, text, lang, source)).withColumn("pool", _pool()), "statistics")
     passed = stats.where(~F.col("base_failed"))
     best = estimates(passed.select("pool", *(f"x{i}" for i in range(D))))
-    judged = passed.join(best, "pool").withColumn("distance", distance(passed))
-    out = judged.withColumn("kept", F.col("distance") <= LIMIT)
+    out = passed.join(best, "pool").selectExpr("*", *COORDINATES).selectExpr("*", f"{DISTANCE} AS distance").withColumn("kept", F.col("distance") <= LIMIT)
     columns = ["doc_id", "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = stats.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return out.select(*columns, "distance", "kept").unionByName(failed)
@@ -291,18 +293,19 @@ base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_f
     def roots(source: str, name: str, consistent: float) -> str:
         """Means and roots from weighted moments."""
         own = ", ".join([f"s{i} / w AS m{i}" for i in range(D)] + [f"p{i}{j} / w - s{i} / w * s{j} / w AS c{i}{j}" for i, j in PAIRS])
-        common = ", ".join(f"sum(w * c{i}{j}) / sum(w) AS g{i}{j}" for i, j in PAIRS)
         chol = []
         for i, j in PAIRS:
-            rest = f"((c{i}{j} * w + g{i}{j} * {PRIOR}) / (w + {PRIOR}) * {consistent!r}" + (f" + {(FLOOR[i] * UNIT) ** 2!r})" if i == j else ")") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            prior = f" + g{i} * {PRIOR}" if i == j else ""
+            rest = f"((c{i}{j} * w{prior}) / (w + {PRIOR}) * {consistent!r}" + (f" + {(FLOOR[i] * UNIT) ** 2!r})" if i == j else ")") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
             chol.append((f"sqrt({rest})" if i == j else f"({rest}) / l{j}{j}") + f" AS l{i}{j}")
-        return f"""own{name} AS (SELECT pool, start, w, {own} FROM ({source})), all{name} AS (SELECT start, {common} FROM own{name} GROUP BY start),
-r{name} AS (SELECT pool, start, {means}, {", ".join(chol)} FROM own{name} JOIN all{name} USING (start))"""
+        return f"""own{name} AS (SELECT pool, start, w, {own} FROM ({source})),
+r{name} AS (SELECT pool, start, {means}, {", ".join(chol)} FROM own{name}, common)"""
 
     spread = ", ".join((f"sqrt(pow((q3_{i} - q1_{i}) / 1.349::DOUBLE, 2) + {(FLOOR[i] * UNIT) ** 2!r})" if i == j else "0.0::DOUBLE") + f" AS l{i}{j}" for i, j in PAIRS)
     first = f"SELECT pool, 1 AS start, count(*)::DOUBLE AS w, {sums} FROM v GROUP BY pool UNION ALL SELECT pool, 2, count(*)::DOUBLE, {sums} FROM v JOIN quarts USING (pool) WHERE {inside} GROUP BY pool"
     steps = [
-        f"quarts AS MATERIALIZED (SELECT pool, {quarts} FROM v GROUP BY pool)",
+        f"quarts AS MATERIALIZED (SELECT pool, count(*)::DOUBLE AS w, {quarts} FROM v GROUP BY pool)",
+        f"common AS MATERIALIZED (SELECT {', '.join(f'sum(w * pow((q3_{i} - q1_{i}) / 1.349::DOUBLE, 2)) / sum(w) AS g{i}' for i in range(D))} FROM quarts)",
         roots(first, "s", 1.0),
         f"e0 AS MATERIALIZED (SELECT pool, 0 AS start, {', '.join(f'q2_{i}::DOUBLE AS m{i}' for i in range(D))}, {spread} FROM quarts UNION ALL SELECT pool, start, {means}, {', '.join(ROOTS)} FROM rs)",
     ]
