@@ -160,15 +160,14 @@ def join_items(items: Column) -> Column:
     return F.aggregate(items, none(), step)
 
 
-def join_letters(parts: Column) -> Column:
-    """Runs of single letters become words."""
+#: Stands between parts that are joined for one pattern to run over; no text holds it.
+_BETWEEN = "\u0001"
 
-    def step(acc, w):
-        run = w.rlike(r"(?U)^\p{L}$")
-        grown = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat(_last(acc["out"]), w)))
-        return F.struct(F.when(run & acc["run"], grown).otherwise(F.concat(acc["out"], F.array(w))).alias("out"), run.alias("run"))
 
-    return F.aggregate(parts, F.struct(none().alias("out"), F.lit(False).alias("run")), step, lambda a: a["out"])
+def join_letters(parts: Column) -> Column:
+    """Runs of single letters become words: one pattern over all parts, in time proportional to their length."""
+    merged = F.regexp_replace(F.array_join(parts, _BETWEEN), rf"(?<=(?:\A|{_BETWEEN})\p{{L}}){_BETWEEN}(?=\p{{L}}(?:{_BETWEEN}|\z))", "")
+    return F.when(F.size(parts) > 0, F.split(merged, _BETWEEN)).otherwise(none())
 
 
 def clean_skill(name: Column | str) -> Column:
