@@ -95,3 +95,29 @@ def test_streams(spark, tmp_path):
     seen = []
     feeds.learn_from(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda b, n: seen.append((n, b.count())), str(tmp_path / "k")).awaitTermination(120)
     assert seen == [(0, 2)]
+
+
+def test_section_codes():
+    page = "<div>Jo</div><div id='SECTION_NAME1'>Jo Li</div><div id='SECTION_EXPR2'><div class='x sectiontitle'>Work</div><p>did it</p></div><div id='SECTION_ZZZZ'>more</div>"
+    assert html.section_events(page) == [("Jo", None), ("Jo Li", None), ("Work", "heading"), ("did it", "experience"), ("more", "other")]
+    assert html.section_events(None) == []
+
+
+def test_docx_geometry(spark, tmp_path):
+    from winnowry.operators.tagger import GEOMETRY
+
+    run = "<w:r><w:rPr>{}</w:rPr><w:t>{}</w:t></w:r>"
+    body = "<w:p><w:pPr><w:jc w:val='center'/></w:pPr>" + run.format("<w:sz w:val='44'/><w:b/>", "Jo Li") + "</w:p>"
+    body += "<w:p><w:pPr><w:pStyle w:val='Heading1'/><w:spacing w:before='240'/></w:pPr>" + run.format("<w:color w:val='FF0000'/>", "WORK") + "</w:p>"
+    body += "<w:p><w:pPr><w:ind w:left='720'/></w:pPr>" + run.format("<w:i/>", "a b") + run.format("", " long plain") + "</w:p>" + P.format("x") + TABLE + BOX
+    docx(tmp_path / "g.docx", body)
+    docx(tmp_path / "h.docx", "")
+    (tmp_path / "i.docx").write_text("broken")
+    rows = spark.read.format("binaryFile").load(str(tmp_path)).select("path", files.docx_geometry("content").alias("g")).collect()
+    got = {r.path[-6:]: None if r.g is None else [(x.line, dict(zip(GEOMETRY, x.geometry))) for x in r.g] for r in rows}
+    assert got["i.docx"] is None and got["h.docx"] == []
+    name, head, item, *rest = got["g.docx"]
+    assert name[0] == "Jo Li" and name[1]["is_largest"] == name[1]["bold"] == name[1]["centered"] == 1 and name[1]["size_ratio"] == pytest.approx(2 / 3)
+    assert head[1]["rule_below"] == head[1]["colored"] == 1 and head[1]["gap_above"] == pytest.approx(12 / 11 / 4)
+    assert item[0] == "a b long plain" and item[1]["italic"] == pytest.approx(3 / 14) and item[1]["indent_change"] == pytest.approx(36 / 612) and item[1]["single_letter_words"] == 0.5
+    assert [(t, g["in_table"], g["in_box"]) for t, g in rest] == [("x", 0, 0), ("one", 1, 1), ("deep", 1, 1), ("anchor", 0, 0), ("in box", 0, 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -45,6 +46,62 @@ def html_events(page: str | None) -> list[dict]:
     return reader.out
 
 
+# Ids of sections in exported resumes, the class of their titles, and the label of each section's lines.
+SECTION_ID = re.compile(r"SECTION_([A-Z]{4})")
+SECTION_TITLE = "sectiontitle"
+CODE_LABELS = {
+    "NAME": None,
+    "EXPR": "experience", "WRKH": "experience", "MILI": "experience", "EXFU": "experience", "EEXP": "experience",
+    "EDUC": "education",
+    "SKLL": "skills", "HILT": "skills", "TSKL": "skills", "LANG": "skills",
+    "SUMM": "summary", "OBJC": "summary",
+    "PRIN": "contact", "ALNK": "contact",
+}
+
+
+class _Sections(HTMLParser):
+    """Texts with the code of the last section that began, and whether a title holds them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.code, self.titles = None, []  # for each open div whether it is a title
+        self.out: list[tuple[str, str | None, bool]] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "div":
+            own = dict(attrs)
+            found = SECTION_ID.match(own.get("id") or "")
+            self.code = found[1] if found else self.code
+            self.titles.append(SECTION_TITLE in (own.get("class") or "").split())
+
+    def handle_endtag(self, tag):
+        if tag == "div" and self.titles:
+            self.titles.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.out.append((data, self.code, any(self.titles)))
+
+
+def section_events(page: str | None) -> list[tuple[str, str | None]]:
+    """(text, label) in order: headings, else what the section's code says; none before the first section and for the name."""
+    reader = _Sections()
+    reader.feed(page or "")
+    reader.close()
+    unknown = lambda code: code is None or code == "NAME"
+    return [(text, None if unknown(code) else "heading" if title else CODE_LABELS.get(code, "other")) for text, code, title in reader.out]
+
+
+def labelled(html: Column | str) -> Column:
+    """section_events() of pages, as align_labels() takes them."""
+
+    @F.pandas_udf("array<struct<text:string,label:string>>")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: [{"text": t, "label": n} for t, n in section_events(p)])
+
+    return read(html)
+
+
 def events(html: Column | str) -> Column:
     @F.pandas_udf(EVENTS)
     def read(pages: pd.Series) -> pd.Series:
