@@ -2,7 +2,7 @@
 
 1. quality: documents that fail the base rules or lie outside their language and source go.
 2. line_dedup: lines that occur earlier, up to one edit, are cut from the texts.
-3. near_dedup: of each group of near duplicates (five-word shingles) the one of least doc_id stays.
+3. near_dedup: of each group of near duplicates (five-word shingles, by SimHash and Golay keys, verified) the one of least doc_id stays.
 4. decontamination: documents that hold a benchmark item at a similarity of 0.8 or more go.
 5. packing: what is left, as token pieces in sequences of at most 4096.
 

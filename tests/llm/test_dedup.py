@@ -257,3 +257,28 @@ def test_keep_one_compares_all_of_a_key(spark):
                 root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
     kept = {x.doc_id for x in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(root)
+
+
+def test_fingerprints_and_golay_keys_find_similar_sets():
+    """Majority bits as a plain count gives them; sets of a similarity of 0.8 share a Golay key and lie within the radius."""
+    from winnowry.llm import near_groups as G
+    from winnowry.llm.words import mix
+
+    r = np.random.default_rng(11)
+    sets, at = [], [0]
+    for shared, more, other in [(4, 0, 1), (8, 1, 1), (240, 0, 60), (272, 34, 34)] + 100 * [(56, 7, 7)]:
+        both = r.integers(0, 1 << 63, shared).astype(np.uint64)
+        for n in (more, other):
+            sets.append(np.concatenate([both, r.integers(0, 1 << 63, n).astype(np.uint64)]))
+            at.append(at[-1] + len(sets[-1]))
+    got = G.fingerprints(np.concatenate(sets), np.array(at))
+    for k in (0, 4, 7):
+        for w in (0, G.WORDS - 1):
+            h = mix(sets[k] ^ G._SEEDS[w]).tolist()
+            assert int(got[k, w]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    for nodes in (1, 1 << 24):
+        keys, extra = G.layout(nodes)
+        k = G.cell_keys(got, keys, extra)
+        assert (k[::2] == k[1::2]).any(axis=1).all()
+        assert ((k[:-2:2] == k[2::2]).sum() < 40) and len(np.unique(k)) > 0
+    assert (np.bitwise_count(got[8::2] ^ got[9::2]).sum(axis=1) <= G.RADIUS).all()

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import chunks as C
 from .components import components
 from .golay import keys
-from .minhash import groups, shingle_hashes
+from .near_groups import groups, shingle_hashes
 from .shared import freed, stash, table, width, without
 from .words import U64, flat
 
@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", t
 def keep_one(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay if one document of each group of near duplicates does, the one of least doc_id.
 
-    Near duplicates are texts of a Jaccard similarity of 0.8 or more over their shingles, found by minhash.py and
-    verified there. A row without doc_id has no group and stays. Of repeated rows with the same doc_id all stay.
+    Near duplicates are texts of a Jaccard similarity of 0.8 or more over their shingles, found by fingerprints and Golay
+    keys in near_groups.py and verified there. A row without doc_id has no group and stays. Of repeated rows with the same doc_id all stay.
     """
     own = groups(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), shingle)
     gone = own.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
