@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from winnowry.functions import fields, text
+from winnowry.operators import layout
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +29,26 @@ def test_sections_of_a_long_text(spark):
     long = "\n".join(f"line {i}" for i in range(20_000)) + "\nSkills\nGo\n\nEducation:\nskills\nSQL"
     got = spark.createDataFrame([(long,)], "t string").select(fields.sections("t").alias("s")).first().s
     assert got["skills"] == "Go\n\nSQL" and "education" not in got and got["header"].count("\n") == 19_999
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_page_of_many_words(spark):
+    """The words of one height are counted before a page is folded, and the fold grows with the rows alone."""
+    plan = _plan(__spark_entry__.queries()["row_words"](spark, SF))
+    assert "Aggregate [doc_id" in plan and plan.count("Aggregate [") == 2
+    words = [(float(t), float(x)) for t in (5, 0, 1, 2, 3, 40) for x in range(2)]
+    got = spark.createDataFrame([(words,), ([],)], "w array<struct<top:double,x0:double>>").select(layout.rows_of("w").alias("r")).collect()
+    assert [[w.top for w in r] for r in got[0].r] == [[0, 0, 1, 1, 2, 2], [3, 3, 5, 5], [40, 40]] and got[1].r == []
+
+
+def test_boxes_meet_words_of_their_tile(spark):
+    edges = "x0 double, top double, x1 double, bottom double"
+    own = [(d, 0, 100.0, *e) for d, e in ((1, (49.0, 49.0, 51.0, 51.0)), (1, (0.0, 0.0, 2.0, 2.0)), (1, (6000.0, 1.0, 6002.0, 3.0)), (2, (49.0, 49.0, 51.0, 51.0)))]
+    words = spark.createDataFrame(own, f"doc_id int, page int, width double, {edges}")
+    held = spark.createDataFrame([(1, 0, 50.0, 50.0, 90.0, 90.0), (1, 0, 50.0, 50.0, 90.0, 90.0), (1, 0, 10.0, 0.0, 9000.0, 10.0), (1, 0, 5.0, 9.0, 0.0, 0.0)], f"doc_id int, page int, {edges}")
+    assert sorted((r.doc_id, r.x0) for r in layout.in_box(words, held, "left_anti").collect()) == [(1, 0.0), (2, 49.0)]
+    assert sorted(r.x0 for r in layout.in_box(words, held).collect()) == [49.0, 49.0, 6000.0]
+    assert "_tx" in _plan(__spark_entry__.queries()["page_boxes"](spark, SF))

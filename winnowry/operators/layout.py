@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import let
+
 
 def visible_chars(chars: Column | str, smallest: float = 4.0, white: float = 0.95) -> Column:
     """Of array<struct<c, size, color: array<double>>> those large enough and not white: gray or RGB all near one, CMYK all near zero."""
@@ -78,16 +80,22 @@ def row_numbers(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
 
 
 def rows_of(words: Column | str, tolerance: float = 2.0) -> Column:
-    """array of rows: words from the top down; one belongs to a row if it is within the tolerance of the row's first word. words: array<struct<top, x0, ...>>."""
-    own = F.array_sort(words)
+    """array of rows: words from the top down; one belongs to a row if it is within the tolerance of the row's first word. words: array<struct<top, x0, ...>>.
+
+    The fold keeps where each row starts, and grows with a page's rows only; the words of a row are a slice.
+    """
+
+    def cut(own):
+        def step(acc, w):
+            near = (F.size(acc["at"]) > 0) & (F.abs(w["top"].cast("double") - acc["top"]) <= tolerance)
+            new = F.struct((acc["n"] + 1).alias("n"), w["top"].cast("double").alias("top"), F.concat(acc["at"], F.array(acc["n"])).alias("at"))
+            return F.when(near, F.struct((acc["n"] + 1).alias("n"), acc["top"].alias("top"), acc["at"].alias("at"))).otherwise(new)
 
-    def step(acc, w):
-        last = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & (F.abs(w["top"] - F.get(last, F.lit(0))["top"]) <= tolerance)
-        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, F.array(w))))).otherwise(F.concat(acc, F.array(F.array(w))))
+        start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("top"), F.array().cast("array<int>").alias("at"))
+        starts = F.aggregate(own, start, step, lambda a: a["at"])
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.slice(own, i + 1, F.coalesce(F.get(at, k + 1), F.size(own)) - i)))
 
-    empty = F.filter(F.transform(own, lambda w: F.array(w)), lambda r: F.lit(False))
-    return F.aggregate(own, empty, step)
+    return let(F.array_sort(words), cut)
 
 
 def right_aligned(rows: DataFrame, *by: str) -> DataFrame:
@@ -107,8 +115,11 @@ def cuts_a_line(words: DataFrame, x: str = "x", gap: float = 8.0) -> DataFrame:
 def boxes(rectangles: DataFrame, tables: DataFrame) -> DataFrame:
     """Rectangles (doc_id, page, width, x0, top, x1, bottom) large enough for text, not nearly as wide as the page, whose centre no table holds."""
     own = rectangles.where((F.col("x1") - F.col("x0") >= 40) & (F.col("bottom") - F.col("top") >= 20) & (F.col("x1") - F.col("x0") <= 0.9 * F.col("width")))
-    t = tables.select(F.col("doc_id").alias("td"), F.col("page").alias("tp"), *(F.col(c).alias(f"t_{c}") for c in ("x0", "top", "x1", "bottom")))
-    return own.join(t, (F.col("doc_id") == F.col("td")) & (F.col("page") == F.col("tp")) & inside("t_"), "left_anti")
+    return in_box(own, tables, "left_anti")
+
+
+#: The side of a tile in points, and the tiles that a box may cover in either direction.
+TILE, BOX_TILES = 50.0, 100
 
 
 def inside(prefix: str) -> Column:
@@ -118,9 +129,25 @@ def inside(prefix: str) -> Column:
 
 
 def in_box(words: DataFrame, box: DataFrame, how: str = "inner") -> DataFrame:
-    """Words with the box their centre lies in, or (left_anti) those in none. Equality on document and page leaves a page's boxes to compare."""
-    b = box.select(F.col("doc_id").alias("bd"), F.col("page").alias("bp"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "top", "x1", "bottom")))
-    return words.join(b, (F.col("doc_id") == F.col("bd")) & (F.col("page") == F.col("bp")) & inside("b_"), how)
+    """Words with the box their centre lies in, or (left_anti) those in none.
+
+    A page's words meet the boxes of their own tile only, so that no word is compared with all of a page. A box of more
+    tiles than BOX_TILES lies in none and is compared by page. For left_anti a box that comes again is one.
+    """
+    edges = ("x0", "top", "x1", "bottom")
+    b = box.select(F.col("doc_id").alias("bd"), F.col("page").alias("bp"), *(F.col(c).alias(f"b_{c}") for c in edges))
+    b = b.distinct() if how == "left_anti" else b
+    tile = lambda c: F.floor(c / TILE)
+    span = lambda a, z: tile(F.col(f"b_{z}")) - tile(F.col(f"b_{a}")) + 1
+    far = (span("x0", "x1") > BOX_TILES) | (span("top", "bottom") > BOX_TILES)
+    numbers = lambda a, z: F.sequence(tile(F.col(f"b_{a}")), tile(F.col(f"b_{z}")))
+    own = b.where((F.col("b_x0") <= F.col("b_x1")) & (F.col("b_top") <= F.col("b_bottom")))
+    near = own.where(~far).withColumn("_tx", F.explode(numbers("x0", "x1"))).withColumn("_ty", F.explode(numbers("top", "bottom")))
+    page = (F.col("doc_id") == F.col("bd")) & (F.col("page") == F.col("bp")) & inside("b_")
+    at = (tile((F.col("x0") + F.col("x1")) / 2) == F.col("_tx")) & (tile((F.col("top") + F.col("bottom")) / 2) == F.col("_ty"))
+    if how == "left_anti":
+        return words.join(near, page & at, how).join(own.where(far), page, how)
+    return words.join(near, page & at, how).drop("_tx", "_ty").unionByName(words.join(own.where(far), page, how))
 
 
 def table_text(cells: Column | str) -> Column:

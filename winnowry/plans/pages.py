@@ -32,9 +32,11 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As page_rows, by one fold over a page's words."""
-    words = _words(spark, sf_dir).groupBy("doc_id", "page").agg(F.collect_list(F.struct("top", "x0")).alias("w"))
-    return words.select("doc_id", "page", F.posexplode(layout.rows_of("w")).alias("row", "r")).select("doc_id", "page", "row", F.size("r").cast("long").alias("n"))
+    """As page_rows, by one fold over a page's lines: words of one height are counted before, since a row is told by heights alone."""
+    tops = _words(spark, sf_dir).groupBy("doc_id", "page", "top").agg(F.count("*").alias("n"))
+    pages = tops.groupBy("doc_id", "page").agg(F.collect_list(F.struct("top", "n")).alias("w"))
+    rows = pages.select("doc_id", "page", F.posexplode(layout.rows_of("w")).alias("row", "r"))
+    return rows.select("doc_id", "page", "row", F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n"))
 
 
 def line_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
