@@ -52,3 +52,15 @@ def test_boxes_meet_words_of_their_tile(spark):
     assert sorted((r.doc_id, r.x0) for r in layout.in_box(words, held, "left_anti").collect()) == [(1, 0.0), (2, 49.0)]
     assert sorted(r.x0 for r in layout.in_box(words, held).collect()) == [49.0, 49.0, 6000.0]
     assert "_tx" in _plan(__spark_entry__.queries()["page_boxes"](spark, SF))
+
+
+def test_lines_go_on_as_in_sql(spark):
+    """ASCII edges of words and very ends of lines, each line judged by the one before it."""
+    texts = ["que chllaía\nEs bueno", "a b,\t\nC d", "one. \nTwo and\n\nthree", "x\n  \ny z", "we want a\nphysics  \nDegree of\nArts"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(text.unwrap("t").alias("u"), text.sentences("t").alias("s")).collect()
+    assert [r.u for r in got] == ["que chllaía Es bueno", "a b,\t\nC d", "one. \nTwo and\n\nthree", "x\n  \ny z", "we want a physics\nDegree of Arts"]
+    assert got[0].s == ["que chllaía Es bueno"]
+
+
+def test_postings_are_read_in_many_tasks(spark):
+    assert "RepartitionByExpression [id" in _plan(__spark_entry__.queries()["prose_rules"](spark, SF))

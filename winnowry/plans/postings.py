@@ -9,7 +9,7 @@ from ..operators import layout, postings
 from ..operators.alignment import align_labels
 from ..operators.taxonomy import Skill, Taxonomy, skill_share
 from ..sources import html
-from .tables import table
+from .tables import dealt, table
 
 #: Words of the driver's texts as skills, with other spellings and a broader one.
 TAXONOMY = Taxonomy((Skill("the", ("this",), "a"), Skill("that", ("than",), "a", "the"), Skill("que", ("qui",), "b"), Skill("und", ("der", "die"), "b"), Skill("of", (), "c")))
@@ -20,7 +20,7 @@ _PROSE = """concat('Requirements:\\n- ', element_at(array('Bachelor''s', 'M.S.',
 
 def prose_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings made of customer rows, and the rules read from their prose."""
-    rows = spark.sql(f"SELECT c_custkey AS id, {_PROSE} AS text FROM {{c}}", c=table(spark, sf_dir, "customer"))
+    rows = dealt(spark.sql(f"SELECT c_custkey AS id, {_PROSE} AS text FROM {{c}}", c=table(spark, sf_dir, "customer")), "id")
     got = rows.select("id", postings.prose_rules("text").alias("r"))
     return got.select("id", "r.min_degree_level", F.array_join("r.degree_fields", "; ").alias("fields"), "r.fields_enforced", F.round("r.min_gpa", 2).alias("min_gpa"), "r.grad_window.low", "r.grad_window.high", "r.require_work_authorization", "r.no_sponsorship")
 
