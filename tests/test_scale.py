@@ -70,3 +70,19 @@ def test_topk_asks_for_every_word_of_its_sql(spark, tmp_path):
     """An unquoted "and" is an operator: texts without the word came into the result."""
     spark.createDataFrame([(1, "the of the of"), (2, "The and of"), (3, "and of"), (4, None)], "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [(r.doc_id, r.score) for r in __spark_entry__.queries()["search_topk"](spark, str(tmp_path)).collect()] == [(2, 2.0)]
+
+
+def test_scores_shuffle_no_pairs(spark):
+    """Documents meet postings in one row; what comes out equals the joins that stay for postings too many to send."""
+    from winnowry.operators import scoring as S
+
+    docs = spark.createDataFrame([(1, "red green apples red"), (2, "blue pears"), (3, None), (4, "green pears wanted apples")], "doc_id int, text string")
+    items = spark.createDataFrame([(7, "green apples wanted"), (8, "pears red pears")], "doc_id int, text string")
+    d, b, n = S.term_counts(docs), S.term_counts(items), spark.range(1).select(F.lit(6).cast("long").alias("n"))
+    idf = S.fit_idf(d.unionAll(b.withColumn("doc_id", -F.col("doc_id"))), n)
+    own = S.weigh(b, idf)
+    want = {(r.doc_id, r.posting_id): r.score for r in S.cosine(S.weigh_against(d, idf, own), own).collect()}
+    got = S.against_postings(d, b, n)
+    assert {(r.doc_id, r.posting_id): r.score for r in got.collect()} == pytest.approx(want) and len(want) == 5
+    assert sorted(map(tuple, S.against_postings(d, b, n, 2).collect())) == sorted(map(tuple, S.contributions(S.weigh_against(d, idf, own), own, 2).collect()))
+    assert "posting_id" not in _plan(got).split("MapInArrow")[1].split("\n", 1)[1]
